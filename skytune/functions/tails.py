@@ -18,7 +18,13 @@ from pyspark.sql import functions as F
 STEPS = 2000
 
 
+def _d(x: str) -> str:
+    """Inputs as DOUBLE: literals such as 2.0 are DECIMAL in both dialects."""
+    return f"CAST(({x}) AS DOUBLE)"
+
+
 def lgamma_sql(x: str) -> str:
+    x = _d(x)
     z = f"(({x}) + 8.0)"
     shift = " * ".join(f"(({x}) + {k}.0)" for k in range(8))
     series = (f"(({z} - 0.5) * ln({z}) - {z} + 0.5 * ln(2.0 * pi())"
@@ -33,7 +39,7 @@ def lbeta_sql(a: str, b: str) -> str:
 
 def simpson_sql(lo: str, hi: str, integrand, dialect: str, steps: int = STEPS) -> str:
     """Composite Simpson rule of ``integrand(x_text)`` on [lo, hi]."""
-    h = f"((({hi}) - ({lo})) / {steps}.0)"
+    h = f"((CAST(({hi}) AS DOUBLE) - CAST(({lo}) AS DOUBLE)) / {float(steps)!r})"
     x = f"(({lo}) + i * {h})"
     w = f"(CASE WHEN i = 0 OR i = {steps} THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END)"
     term = f"{w} * ({integrand(x)})"
@@ -50,6 +56,7 @@ def _clip01(e: str) -> str:
 
 def t_two_sided_sql(t: str, nu: str, dialect: str) -> str:
     """P(|T_nu| >= |t|) = 2/B(nu/2, 1/2) * int_{theta0}^{pi/2} cos^(nu-1)."""
+    t, nu = _d(t), _d(nu)
     th0 = f"atan(abs({t}) / sqrt({nu}))"
     hi = f"least(pi() / 2.0, {th0} + 12.0 / sqrt({nu}))"
     integral = simpson_sql(th0, hi, lambda x: f"pow(greatest(cos({x}), 0.0), ({nu}) - 1.0)", dialect)
@@ -58,6 +65,7 @@ def t_two_sided_sql(t: str, nu: str, dialect: str) -> str:
 
 def f_upper_sql(f: str, d1: str, d2: str, dialect: str) -> str:
     """P(F_{d1,d2} >= f) = 2/B(d2/2, d1/2) * int_0^{phi0} sin^(d2-1) cos^(d1-1)."""
+    f, d1, d2 = _d(f), _d(d1), _d(d2)
     phi0 = f"asin(sqrt(({d2}) / (({d2}) + ({d1}) * ({f}))))"
     lo = f"greatest(0.0, {phi0} - 12.0 / sqrt({d2}))"
     integral = simpson_sql(lo, phi0, lambda x: f"pow(greatest(sin({x}), 0.0), ({d2}) - 1.0) * pow(greatest(cos({x}), 0.0), ({d1}) - 1.0)", dialect)
@@ -66,6 +74,7 @@ def f_upper_sql(f: str, d1: str, d2: str, dialect: str) -> str:
 
 def chi2_upper_sql(h: str, k: str, dialect: str) -> str:
     """P(X2_k >= h) = 2/(2^(k/2) Gamma(k/2)) * int_{sqrt h}^inf s^(k-1) e^(-s^2/2)."""
+    h, k = _d(h), _d(k)
     lo = f"sqrt(greatest({h}, 0.0))"
     hi = f"(greatest({lo}, sqrt(greatest(({k}) - 1.0, 0.0))) + 12.0)"
     integral = simpson_sql(lo, hi, lambda x: f"pow({x}, ({k}) - 1.0) * exp(-({x}) * ({x}) / 2.0)", dialect)

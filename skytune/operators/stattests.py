@@ -33,8 +33,16 @@ def _rank_fn(scale: str):
     return average_rank_global if scale == "global" else average_rank
 
 
+def with_all_keys(src: DataFrame, res: DataFrame, keys: list[str], zero: list[str]) -> DataFrame:
+    """Give every key of ``src`` a result row (counts 0 when no row qualified)."""
+    k = src.select(*keys).distinct()
+    out = k.join(res, keys, "left")
+    return out.select(*[F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) if c in zero else F.col(c)
+                        for c in res.columns])
+
+
 def correlation_tests(df: DataFrame, keys: list[str], x: str, y: str,
-                      min_n: int = 10, rank_scale: str = "group") -> DataFrame:
+                      min_n: int = 10, rank_scale: str = "group", all_keys: bool = True) -> DataFrame:
     """Pearson r and Spearman rho with two-sided p per ``keys``.
 
     Pairwise complete rows only; r is NULL unless n >= min_n and both sides
@@ -66,7 +74,8 @@ def correlation_tests(df: DataFrame, keys: list[str], x: str, y: str,
                                                      F.sqrt(F.lit(1.0) - F.col(r) * F.col(r))))
         out = out.withColumn(p, F.when(F.abs(F.col(r)) >= 1.0, F.lit(0.0))
                              .otherwise(tails.t_two_sided(f"_t_{r}", "(n - 2.0)")))
-    return out.select(*keys, F.col("n").cast("long").alias("n"), "pearson_r", "pearson_p", "spearman_rho", "spearman_p")
+    res = out.select(*keys, F.col("n").cast("long").alias("n"), "pearson_r", "pearson_p", "spearman_rho", "spearman_p")
+    return with_all_keys(df, res, keys, ["n"]) if all_keys else res
 
 
 def _tie_term(d: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -76,7 +85,7 @@ def _tie_term(d: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def two_group_tests(df: DataFrame, keys: list[str], group_col: str, value: str,
-                    group_a: str, group_b: str, rank_scale: str = "group") -> DataFrame:
+                    group_a: str, group_b: str, rank_scale: str = "group", all_keys: bool = True) -> DataFrame:
     """Welch t, Mann-Whitney U (normal approximation with tie and
     continuity correction; U of side a) and Cohen's d, per ``keys``."""
     d = df.select(*keys, F.col(group_col).alias("_g"), F.col(value).cast("double").alias("_v")) \
@@ -112,10 +121,14 @@ def two_group_tests(df: DataFrame, keys: list[str], group_col: str, value: str,
                        .when(F.col("_z").isNotNull(), tails.norm_two_sided("_z")))
            .withColumn("_pooled", F.sqrt(((na - 1.0) * F.col("_va") + (nb - 1.0) * F.col("_vb")) / (na + nb - 2.0)))
            .withColumn("cohens_d", F.when(two & (F.col("_pooled") > 0), F.col("difference_a_minus_b") / F.col("_pooled"))))
-    return out.select(*keys, F.lit(group_a).alias("group_a"), F.lit(group_b).alias("group_b"),
-                      F.col("n_a").cast("long").alias("n_a"), F.col("n_b").cast("long").alias("n_b"),
-                      "mean_a", "mean_b", "median_a", "median_b", "difference_a_minus_b",
-                      "welch_t", "welch_p", "mannwhitney_u", "mannwhitney_p", "cohens_d")
+    res = out.select(*keys, F.lit(group_a).alias("group_a"), F.lit(group_b).alias("group_b"),
+                     F.col("n_a").cast("long").alias("n_a"), F.col("n_b").cast("long").alias("n_b"),
+                     "mean_a", "mean_b", "median_a", "median_b", "difference_a_minus_b",
+                     "welch_t", "welch_p", "mannwhitney_u", "mannwhitney_p", "cohens_d")
+    if not all_keys:
+        return res
+    full = with_all_keys(df, res, keys, ["n_a", "n_b"])
+    return full.withColumn("group_a", F.lit(group_a)).withColumn("group_b", F.lit(group_b))
 
 
 def anova_kruskal(df: DataFrame, keys: list[str], group_col: str, value: str) -> DataFrame:

@@ -198,3 +198,148 @@ SELECT e.*, w.prcp, w.tsun,
        CASE WHEN w.prcp IS NOT NULL THEN w.prcp > 0 END AS rainy_day,
        CASE WHEN w.prcp IS NOT NULL THEN w.prcp > 5.0 END AS heavy_rain
 FROM early_metrics e LEFT JOIN weather_cal w ON e.date = w.date""")
+
+
+# -- statistical test generators (mirror operators.stattests) --------------
+from ..functions import tails as _T  # noqa: E402
+
+
+def _k(keys, prefix=""):
+    return ", ".join(f"{prefix}{k}" for k in keys)
+
+
+def _rank(keys, v):
+    part = f"PARTITION BY {_k(keys)}" if keys else ""
+    sep = ", " if keys else ""
+    return (f"(rank() OVER ({part} ORDER BY {v}) + (count(*) OVER (PARTITION BY {_k(keys)}{sep}{v}) - 1) / 2.0)")
+
+
+def corr_tests(name: str, src: str, keys: list[str], x: str, y: str, min_n: int = 10,
+               all_keys: bool = True) -> None:
+    """CTE ``name``: keys, n, pearson_r, pearson_p, spearman_rho, spearman_p."""
+    K = _k(keys)
+    part(f"{name}_d", (src,), f"""
+SELECT {K}, CAST({x} AS DOUBLE) AS _x, CAST({y} AS DOUBLE) AS _y FROM {src}
+WHERE {x} IS NOT NULL AND {y} IS NOT NULL""")
+    part(f"{name}_r", (f"{name}_d",), f"""
+SELECT *, {_rank(keys, '_x')} AS _rx, {_rank(keys, '_y')} AS _ry FROM {name}_d""")
+    part(f"{name}_a", (f"{name}_r",), f"""
+SELECT {K}, count(*) AS n, min(_x) < max(_x) AS vx, min(_y) < max(_y) AS vy,
+       covar_samp(_x, _y) AS cxy, stddev_samp(_x) AS sx, stddev_samp(_y) AS sy,
+       covar_samp(_rx, _ry) AS crr, stddev_samp(_rx) AS srx, stddev_samp(_ry) AS sry
+FROM {name}_r GROUP BY {K}""")
+    part(f"{name}_b", (f"{name}_a",), f"""
+SELECT {K}, n,
+       CASE WHEN n >= {min_n} AND vx AND vy THEN least(1.0, greatest(-1.0, cxy / nullif(sx * sy, 0))) END AS pearson_r,
+       CASE WHEN n >= {min_n} AND vx AND vy THEN least(1.0, greatest(-1.0, crr / nullif(srx * sry, 0))) END AS spearman_rho
+FROM {name}_a""")
+    tp = _T.t_two_sided_sql("(pearson_r * sqrt(n - 2.0) / nullif(sqrt(1.0 - pearson_r * pearson_r), 0))", "(n - 2.0)", "duckdb")
+    ts = _T.t_two_sided_sql("(spearman_rho * sqrt(n - 2.0) / nullif(sqrt(1.0 - spearman_rho * spearman_rho), 0))", "(n - 2.0)", "duckdb")
+    if all_keys:
+        part(f"{name}_keys", (src,), f"SELECT DISTINCT {K} FROM {src}")
+        body = f"""
+SELECT {_k(keys, 'k.')}, coalesce(b.n, 0) AS n, b.pearson_r,
+       CASE WHEN abs(b.pearson_r) >= 1.0 THEN 0.0 ELSE {tp} END AS pearson_p,
+       b.spearman_rho,
+       CASE WHEN abs(b.spearman_rho) >= 1.0 THEN 0.0 ELSE {ts} END AS spearman_p
+FROM {name}_keys k LEFT JOIN {name}_b b ON {' AND '.join(f'k.{c} IS NOT DISTINCT FROM b.{c}' for c in keys)}"""
+        part(name, (f"{name}_keys", f"{name}_b"), body)
+    else:
+        part(name, (f"{name}_b",), f"""
+SELECT {K}, n, pearson_r, CASE WHEN abs(pearson_r) >= 1.0 THEN 0.0 ELSE {tp} END AS pearson_p,
+       spearman_rho, CASE WHEN abs(spearman_rho) >= 1.0 THEN 0.0 ELSE {ts} END AS spearman_p
+FROM {name}_b""")
+
+
+def two_group(name: str, src: str, keys: list[str], g: str, v: str, a: str, b: str) -> None:
+    """CTE ``name``: Welch, Mann-Whitney, Cohen's d per keys (two_group_tests)."""
+    K = _k(keys)
+    part(f"{name}_d", (src,), f"""
+SELECT {K}, {g} AS _g, CAST({v} AS DOUBLE) AS _v FROM {src} WHERE {g} IN ('{a}', '{b}') AND {v} IS NOT NULL""")
+    part(f"{name}_r", (f"{name}_d",), f"SELECT *, {_rank(keys, '_v')} AS _r FROM {name}_d")
+    part(f"{name}_t", (f"{name}_d",), f"""
+SELECT {K}, sum(t * t * t - t) AS ties FROM (SELECT {K}, _v, CAST(count(*) AS DOUBLE) AS t FROM {name}_d GROUP BY {K}, _v) GROUP BY {K}""")
+    part(f"{name}_a", (f"{name}_r", f"{name}_t"), f"""
+SELECT {_k(keys, 'r.')}, count(*) FILTER (WHERE _g = '{a}') AS n_a, count(*) FILTER (WHERE _g = '{b}') AS n_b,
+       avg(_v) FILTER (WHERE _g = '{a}') AS ma, avg(_v) FILTER (WHERE _g = '{b}') AS mb,
+       median(_v) FILTER (WHERE _g = '{a}') AS meda, median(_v) FILTER (WHERE _g = '{b}') AS medb,
+       var_samp(_v) FILTER (WHERE _g = '{a}') AS va, var_samp(_v) FILTER (WHERE _g = '{b}') AS vb,
+       sum(_r) FILTER (WHERE _g = '{a}') AS ra, any_value(t.ties) AS ties
+FROM {name}_r r LEFT JOIN {name}_t t ON {' AND '.join(f'r.{c} = t.{c}' for c in keys)} GROUP BY {_k(keys, 'r.')}""")
+    part(f"{name}_b", (f"{name}_a",), f"""
+SELECT *, CASE WHEN n_a > 0 AND n_b > 0 THEN ma END AS mean_a, CASE WHEN n_a > 0 AND n_b > 0 THEN mb END AS mean_b,
+       CASE WHEN n_a > 0 AND n_b > 0 THEN meda END AS median_a, CASE WHEN n_a > 0 AND n_b > 0 THEN medb END AS median_b,
+       CASE WHEN n_a >= 2 AND n_b >= 2 THEN va / n_a + vb / n_b END AS se2,
+       CASE WHEN n_a >= 2 AND n_b >= 2 THEN ra - n_a * (n_a + 1.0) / 2.0 END AS mannwhitney_u,
+       sqrt(((n_a - 1.0) * va + (n_b - 1.0) * vb) / (n_a + n_b - 2.0)) AS pooled
+FROM {name}_a""")
+    part(f"{name}_c", (f"{name}_b",), f"""
+SELECT *, mean_a - mean_b AS difference_a_minus_b,
+       (mean_a - mean_b) / sqrt(nullif(se2, 0)) AS welch_t,
+       se2 * se2 / nullif((va / n_a) * (va / n_a) / (n_a - 1.0) + (vb / n_b) * (vb / n_b) / (n_b - 1.0), 0) AS dfw,
+       (abs(mannwhitney_u - n_a * n_b / 2.0) - 0.5)
+         / nullif(sqrt(n_a * n_b / 12.0 * ((n_a + n_b + 1.0) - ties / nullif((n_a + n_b) * (n_a + n_b - 1.0), 0))), 0) AS z
+FROM {name}_b""")
+    part(f"{name}_keys", (src,), f"SELECT DISTINCT {K} FROM {src}")
+    part(f"{name}_ck", (f"{name}_keys", f"{name}_c"), f"""
+SELECT {_k(keys, 'k.')}, c.* EXCLUDE ({K}, n_a, n_b), coalesce(c.n_a, 0) AS n_a, coalesce(c.n_b, 0) AS n_b
+FROM {name}_keys k LEFT JOIN {name}_c c ON {' AND '.join(f'k.{c} = c.{c}' for c in keys)}""")
+    part(name, (f"{name}_ck",), f"""
+SELECT {K}, '{a}' AS group_a, '{b}' AS group_b, n_a, n_b, mean_a, mean_b, median_a, median_b, difference_a_minus_b,
+       welch_t, CASE WHEN welch_t IS NOT NULL THEN {_T.t_two_sided_sql('welch_t', 'dfw', 'duckdb')} END AS welch_p,
+       mannwhitney_u,
+       CASE WHEN z <= 0 THEN 1.0 WHEN z IS NOT NULL THEN {_T.norm_two_sided_sql('z', 'duckdb')} END AS mannwhitney_p,
+       CASE WHEN n_a >= 2 AND n_b >= 2 AND pooled > 0 THEN difference_a_minus_b / pooled END AS cohens_d
+FROM {name}_ck""")
+
+
+def anova(name: str, src: str, keys: list[str], g: str, v: str) -> None:
+    """CTE ``name``: n_total, groups, anova_f/p, kruskal_h/p per keys."""
+    K = _k(keys)
+    part(f"{name}_d", (src,), f"""
+SELECT {K}, {g} AS _g, CAST({v} AS DOUBLE) AS _v FROM {src} WHERE {g} IS NOT NULL AND {v} IS NOT NULL""")
+    part(f"{name}_s", (f"{name}_d",), f"SELECT {K}, _g, count(*) AS ng FROM {name}_d GROUP BY {K}, _g")
+    part(f"{name}_tot", (f"{name}_s",), f"SELECT {K}, sum(ng)::BIGINT AS n_total, count(*) AS groups FROM {name}_s GROUP BY {K}")
+    part(f"{name}_v", (f"{name}_d", f"{name}_s"), f"""
+SELECT d.*, {_rank(['d.' + k for k in keys], 'd._v')} AS _r FROM {name}_d d JOIN {name}_s s
+  ON {' AND '.join(f'd.{c} = s.{c}' for c in keys + ['_g'])} WHERE s.ng >= 2""")
+    part(f"{name}_g", (f"{name}_v",), f"""
+SELECT *, sum(_s) OVER (PARTITION BY {K}) / sum(_n) OVER (PARTITION BY {K}) AS gm FROM (
+  SELECT {K}, _g, CAST(count(*) AS DOUBLE) AS _n, avg(_v) AS _m, var_samp(_v) AS _var, sum(_r) AS _R, sum(_v) AS _s
+  FROM {name}_v GROUP BY {K}, _g)""")
+    part(f"{name}_t", (f"{name}_v",), f"""
+SELECT {K}, sum(t * t * t - t) AS ties FROM (SELECT {K}, _v, CAST(count(*) AS DOUBLE) AS t FROM {name}_v GROUP BY {K}, _v) GROUP BY {K}""")
+    part(f"{name}_a", (f"{name}_g", f"{name}_t"), f"""
+SELECT {_k(keys, 'g.')}, CAST(count(*) AS DOUBLE) AS k, sum(_n) AS nn, sum(_n * (_m - gm) * (_m - gm)) AS ssb,
+       sum((_n - 1.0) * _var) AS ssw, sum(_R * _R / _n) AS r2n, any_value(t.ties) AS ties
+FROM {name}_g g LEFT JOIN {name}_t t ON {' AND '.join(f'g.{c} = t.{c}' for c in keys)} GROUP BY {_k(keys, 'g.')}""")
+    part(f"{name}_b", (f"{name}_a",), f"""
+SELECT {K}, k - 1.0 AS d1, nn - k AS d2,
+       CASE WHEN k >= 2 THEN (ssb / (k - 1.0)) / (nullif(ssw, 0) / (nn - k)) END AS anova_f,
+       CASE WHEN k >= 2 THEN (12.0 / (nn * (nn + 1.0)) * r2n - 3.0 * (nn + 1.0)) / nullif(1.0 - ties / (nn * nn * nn - nn), 0) END AS kruskal_h
+FROM {name}_a""")
+    part(name, (f"{name}_tot", f"{name}_b"), f"""
+SELECT {_k(keys, 't.')}, t.n_total, t.groups, b.anova_f,
+       CASE WHEN b.anova_f IS NOT NULL THEN {_T.f_upper_sql('b.anova_f', 'b.d1', 'b.d2', 'duckdb')} END AS anova_p,
+       b.kruskal_h,
+       CASE WHEN b.kruskal_h IS NOT NULL THEN {_T.chi2_upper_sql('b.kruskal_h', 'b.d1', 'duckdb')} END AS kruskal_p
+FROM {name}_tot t LEFT JOIN {name}_b b ON {' AND '.join(f't.{c} = b.{c}' for c in keys)}""")
+
+
+def bh(name: str, src: str, family: list[str], pairs: list[tuple[str, str]]) -> None:
+    """CTE ``name`` = ``src`` plus BH-adjusted columns (p, out) per family."""
+    def part_by(p):
+        return ", ".join(family + [f"({p} IS NULL)"])
+    step = ", ".join(f"row_number() OVER (PARTITION BY {part_by(p)} ORDER BY {p}) AS _rn_{p}, "
+                     f"count({p}) OVER (PARTITION BY {part_by(p)}) AS _m_{p}" for p, _ in pairs)
+    part(f"{name}_rn", (src,), f"SELECT *, {step} FROM {src}")
+    outs = ", ".join(
+        f"CASE WHEN {p} IS NOT NULL THEN least(1.0, min({p} * _m_{p} / _rn_{p}) OVER (PARTITION BY {part_by(p)} "
+        f"ORDER BY _rn_{p} DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) END AS {o}" for p, o in pairs)
+    drop = ", ".join(f"_rn_{p}, _m_{p}" for p, _ in pairs)
+    part(name, (f"{name}_rn",), f"SELECT * EXCLUDE ({drop}), {outs} FROM {name}_rn")
+
+
+def conclusion_sql(p: str, p_adj: str | None = None) -> str:
+    use = f"coalesce({p_adj}, {p})" if p_adj else p
+    return f"CASE WHEN {use} IS NULL THEN 'GEEN TEST' WHEN {use} < 0.05 THEN 'SIGNIFICANT' ELSE 'NIET SIGNIFICANT' END"
