@@ -85,12 +85,17 @@ def _tie_term(d: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def two_group_tests(df: DataFrame, keys: list[str], group_col: str, value: str,
-                    group_a: str, group_b: str, rank_scale: str = "group", all_keys: bool = True) -> DataFrame:
+                    group_a: str, group_b: str, rank_scale: str = "group", all_keys: bool = True,
+                    mann_whitney: bool = True) -> DataFrame:
     """Welch t, Mann-Whitney U (normal approximation with tie and
-    continuity correction; U of side a) and Cohen's d, per ``keys``."""
+    continuity correction; U of side a) and Cohen's d, per ``keys``.
+    ``mann_whitney=False`` skips the rank pass (U and its p are NULL)."""
     d = df.select(*keys, F.col(group_col).alias("_g"), F.col(value).cast("double").alias("_v")) \
         .where(F.col("_g").isin(group_a, group_b) & F.col("_v").isNotNull())
-    d = _rank_fn(rank_scale)(d, keys, "_v", "_r")
+    if mann_whitney:
+        d = _rank_fn(rank_scale)(d, keys, "_v", "_r")
+    else:
+        d = d.withColumn("_r", F.lit(None).cast("double"))
     isa, isb = F.col("_g") == group_a, F.col("_g") == group_b
     agg = d.groupBy(*keys).agg(
         F.count_if(isa).alias("n_a"), F.count_if(isb).alias("n_b"),
@@ -98,7 +103,11 @@ def two_group_tests(df: DataFrame, keys: list[str], group_col: str, value: str,
         F.median(F.when(isa, F.col("_v"))).alias("_meda"), F.median(F.when(isb, F.col("_v"))).alias("_medb"),
         F.var_samp(F.when(isa, F.col("_v"))).alias("_va"), F.var_samp(F.when(isb, F.col("_v"))).alias("_vb"),
         F.sum(F.when(isa, F.col("_r"))).alias("_ra"),
-    ).join(_tie_term(d, keys, "_v"), keys, "left")
+    )
+    if mann_whitney:
+        agg = agg.join(_tie_term(d, keys, "_v"), keys, "left")
+    else:
+        agg = agg.withColumn("_ties", F.lit(None).cast("double"))
     na, nb = F.col("n_a").cast("double"), F.col("n_b").cast("double")
     both = (F.col("n_a") > 0) & (F.col("n_b") > 0)
     two = (F.col("n_a") >= 2) & (F.col("n_b") >= 2)

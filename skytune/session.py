@@ -48,3 +48,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     loss of any executor; never a machine-local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_MATERIALIZED: dict[tuple, DataFrame] = {}
+
+
+def materialize_once(spark: SparkSession, key: tuple, build) -> DataFrame:
+    """Build ``build()`` once per application and key, checkpointed (reliable)
+    into the shared checkpoint folder; later calls reuse it.
+
+    Meant for day-grain tables (one row per calendar day) that many report
+    queries read: the fact table is scanned once instead of once per report,
+    and downstream plans stay shallow."""
+    k = (spark.sparkContext.applicationId,) + tuple(key)
+    df = _MATERIALIZED.get(k)
+    if df is None:
+        df = cut_lineage(build())
+        _MATERIALIZED[k] = df
+    return df
