@@ -61,7 +61,7 @@ def vote_label(day_votes: Column, month_votes: Column) -> Column:
 
 def to_date_lenient(c: str | Column) -> Column:
     """First 10 characters as yyyy-MM-dd; invalid dates -> NULL."""
-    return F.try_to_date(F.substring(col_of(c).cast("string"), 1, 10), F.lit("yyyy-MM-dd"))
+    return F.try_to_date(F.substring(col_of(c).cast("string"), 1, 10), "yyyy-MM-dd")
 
 
 # Fixed season names (month -> season) and their order.
