@@ -24,14 +24,17 @@ def _iso(y: Column, m: Column, d: Column) -> Column:
     return F.when(ok, F.format_string("%04d-%02d-%02d", y, m, d))
 
 
-def normalize_date_text(c: str | Column, slash_order: str | Column = "dayfirst") -> Column:
+def normalize_date_text(c: str | Column, slash_order: str | Column = "dayfirst",
+                        cleaned: bool = False) -> Column:
     """Y-M-D, Y/M/D, D/M/Y or M/D/Y text -> 'YYYY-MM-DD' text, else NULL.
 
     Only month 1-12 and day 1-31 are checked (2020-02-31 survives as text and
     becomes NULL in ``to_date_lenient``).  ``slash_order`` may be a Column
-    (e.g. the one-row vote of ``date_order_vote`` joined in).
+    (e.g. the one-row vote of ``date_order_vote`` joined in).  With
+    ``cleaned=True`` the input is already ``clean_raw_date`` output (project
+    it once in a prior ``select`` so it is not re-evaluated per branch).
     """
-    s = clean_raw_date(c)
+    s = col_of(c) if cleaned else clean_raw_date(c)
     order = F.lit(slash_order) if isinstance(slash_order, str) else slash_order
 
     def part(rx, i):

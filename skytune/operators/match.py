@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import normalize_date_text, slash_votes, vote_label
+from ..functions.dates import clean_raw_date, normalize_date_text, slash_votes, vote_label
 from ..functions.nulls import flag, to_double
 from ..functions.text import clean_key, first_artist, norm_text_key, track_id, uri_tail
 from .dedup import keep_first
@@ -39,7 +39,8 @@ def chart_filter(charts: DataFrame, country: str, order: list[str], max_rank: fl
     chart_text = F.lower(F.col("chart").cast("string"))
     c = c.where(flag(chart_text.contains("top") & chart_text.contains("200") & ~chart_text.contains("viral")))
     c = c.withColumn("rank", to_double("rank")).where(F.col("rank").between(1, max_rank))
-    c = c.crossJoin(vote).withColumn("date", normalize_date_text("date_raw", F.col("slash_order")))
+    c = c.crossJoin(vote).withColumn("_ds", clean_raw_date("date_raw")) \
+        .withColumn("date", normalize_date_text(F.col("_ds"), F.col("slash_order"), cleaned=True))
     c = c.where(F.col("date").isNotNull())
     keyed = c.select(
         "date", "rank", F.col("title").cast("string").alias("title"), F.col("artist").cast("string").alias("artist"),

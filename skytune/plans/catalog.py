@@ -66,7 +66,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from . import q_daily, q_weather, q_analysis, q_entity, q_match  # noqa: F401  (registration side effects)
+    from . import q_daily, q_weather, q_analysis, q_entity, q_match, q_profile  # noqa: F401  (registration side effects)
     for mod in ("q_analysis", "q_entity", "q_match", "q_profile", "q_cache"):
         try:
             __import__(f"{__package__}.{mod}")

@@ -128,8 +128,10 @@ def date_normalise(spark, sf):
     """Raw date text -> ISO text (voted slash order) -> DATE."""
     c = X.charts_raw(spark, sf)
     vote = F.broadcast(M.date_order_vote(c, "date_raw").select("slash_order"))
-    d = c.crossJoin(vote).select("ordinal", "suppkey", "price", "date_raw",
-                                 DT.normalize_date_text("date_raw", F.col("slash_order")).alias("date_text"))
+    d = c.crossJoin(vote).select("ordinal", "suppkey", "price", "date_raw", "slash_order",
+                                 DT.clean_raw_date("date_raw").alias("_ds"))
+    d = d.select("ordinal", "suppkey", "price", "date_raw",
+                 DT.normalize_date_text(F.col("_ds"), F.col("slash_order"), cleaned=True).alias("date_text"))
     return d.withColumn("date", DT.to_date_lenient("date_text"))
 
 
