@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import clean_raw_date, normalize_date_text, slash_votes, vote_label
-from ..functions.nulls import flag, to_double
+from ..functions.nulls import exact_mean, flag, to_double
 from ..functions.text import clean_key, first_artist, norm_text_key, track_id, uri_tail
 from .dedup import keep_first
 
@@ -133,7 +133,7 @@ def popularity_enrich(final: DataFrame, popularity: DataFrame, uri_col: str, fin
     p = popularity.where(F.col(uri_col).isNotNull())
     if both_country:
         p = p.withColumn("_country_key", norm_text_key(country_col))
-    agg = p.groupBy(*groups).agg(*[F.avg(c).alias(c) for c in numeric])
+    agg = p.groupBy(*groups).agg(*[exact_mean(c).alias(c) for c in numeric])
     agg = agg.withColumn("_track_id", uri_tail(uri_col)).drop(uri_col)
     f = final.withColumn("_track_id", uri_tail(final_uri_col))
     keys = ["_track_id"]

@@ -69,11 +69,12 @@ def correlation_tests(df: DataFrame, keys: list[str], x: str, y: str,
 
     out = agg.withColumn("pearson_r", r_of("_cxy", "_sx", "_sy")) \
              .withColumn("spearman_rho", r_of("_crr", "_srx", "_sry"))
+    out = out.withColumn("_nu", F.col("n") - 2.0)
     for r, p in (("pearson_r", "pearson_p"), ("spearman_rho", "spearman_p")):
         out = out.withColumn(f"_t_{r}", F.try_divide(F.col(r) * F.sqrt(F.col("n") - 2.0),
                                                      F.sqrt(F.lit(1.0) - F.col(r) * F.col(r))))
-        out = out.withColumn(p, F.when(F.abs(F.col(r)) >= 1.0, F.lit(0.0))
-                             .otherwise(tails.t_two_sided(f"_t_{r}", "(n - 2.0)")))
+        out = tails.with_t_two_sided(out, f"_t_{r}", "_nu", f"_p_{r}")
+        out = out.withColumn(p, F.when(F.abs(F.col(r)) >= 1.0, F.lit(0.0)).otherwise(F.col(f"_p_{r}")))
     res = out.select(*keys, F.col("n").cast("long").alias("n"), "pearson_r", "pearson_p", "spearman_rho", "spearman_p")
     return with_all_keys(df, res, keys, ["n"]) if all_keys else res
 
@@ -120,14 +121,16 @@ def two_group_tests(df: DataFrame, keys: list[str], group_col: str, value: str,
            .withColumn("welch_t", F.try_divide(F.col("difference_a_minus_b"), F.sqrt(F.nullif(F.col("_se2"), F.lit(0.0)))))
            .withColumn("_df", F.try_divide(F.col("_se2") * F.col("_se2"),
                                            sa * sa / (na - 1.0) + sb * sb / (nb - 1.0)))
-           .withColumn("welch_p", F.when(F.col("welch_t").isNotNull(), tails.t_two_sided("welch_t", "_df")))
+           .transform(lambda x: tails.with_t_two_sided(x, "welch_t", "_df", "_wp"))
+           .withColumn("welch_p", F.when(F.col("welch_t").isNotNull(), F.col("_wp")))
            .withColumn("mannwhitney_u", F.when(two, F.col("_ra") - na * (na + 1.0) / 2.0))
            .withColumn("_n", na + nb)
            .withColumn("_sig", F.sqrt(na * nb / 12.0 * ((F.col("_n") + 1.0)
                                                          - F.try_divide(F.col("_ties"), F.col("_n") * (F.col("_n") - 1.0)))))
            .withColumn("_z", F.try_divide(F.abs(F.col("mannwhitney_u") - na * nb / 2.0) - 0.5, F.nullif(F.col("_sig"), F.lit(0.0))))
+           .transform(lambda x: tails.with_norm_two_sided(x, "_z", "_zp"))
            .withColumn("mannwhitney_p", F.when(F.col("_z") <= 0, F.lit(1.0))
-                       .when(F.col("_z").isNotNull(), tails.norm_two_sided("_z")))
+                       .when(F.col("_z").isNotNull(), F.col("_zp")))
            .withColumn("_pooled", F.sqrt(((na - 1.0) * F.col("_va") + (nb - 1.0) * F.col("_vb")) / (na + nb - 2.0)))
            .withColumn("cohens_d", F.when(two & (F.col("_pooled") > 0), F.col("difference_a_minus_b") / F.col("_pooled"))))
     res = out.select(*keys, F.lit(group_a).alias("group_a"), F.lit(group_b).alias("group_b"),
@@ -167,11 +170,13 @@ def anova_kruskal(df: DataFrame, keys: list[str], group_col: str, value: str) ->
            .withColumn("anova_f", F.when(ok, F.try_divide(F.col("_ssb") / (F.col("_k") - 1.0),
                                                             F.nullif(F.col("_ssw"), F.lit(0.0)) / (N - F.col("_k")))))
            .withColumn("_d1", F.col("_k") - 1.0).withColumn("_d2", N - F.col("_k"))
-           .withColumn("anova_p", F.when(F.col("anova_f").isNotNull(), tails.f_upper("anova_f", "_d1", "_d2")))
+           .transform(lambda x: tails.with_f_upper(x, "anova_f", "_d1", "_d2", "_ap"))
+           .withColumn("anova_p", F.when(F.col("anova_f").isNotNull(), F.col("_ap")))
            .withColumn("_h0", 12.0 / (N * (N + 1.0)) * F.col("_r2n") - 3.0 * (N + 1.0))
            .withColumn("_c", F.lit(1.0) - F.try_divide(F.col("_ties"), N * N * N - N))
            .withColumn("kruskal_h", F.when(ok, F.try_divide(F.col("_h0"), F.nullif(F.col("_c"), F.lit(0.0)))))
-           .withColumn("kruskal_p", F.when(F.col("kruskal_h").isNotNull(), tails.chi2_upper("kruskal_h", "_d1"))))
+           .transform(lambda x: tails.with_chi2_upper(x, "kruskal_h", "_d1", "_kp"))
+           .withColumn("kruskal_p", F.when(F.col("kruskal_h").isNotNull(), F.col("_kp"))))
     res = out.select(*keys, "anova_f", "anova_p", "kruskal_h", "kruskal_p")
     return totals.join(res, keys, "left").select(*keys, "n_total", "groups", "anova_f", "anova_p", "kruskal_h", "kruskal_p")
 

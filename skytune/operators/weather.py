@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.nulls import flag, round_abs
+from ..functions.nulls import exact_mean, flag, round_abs
 from .dedup import keep_first
 
 # Thresholds of the authoritative versions.
@@ -50,12 +50,6 @@ def station_daily_mean(raw: DataFrame, station: str | None = "station",
     return r.groupBy("date").agg(exact_mean("prcp").alias("prcp"), exact_mean("tsun").alias("tsun"))
 
 
-def exact_mean(c: str) -> Column:
-    """Mean with an exact decimal sum (order-independent: the same bits on
-    every executor layout and in the SQL oracle), then one division."""
-    return F.try_divide(F.sum(F.col(c).cast("decimal(24,10)")).cast("double"), F.count(c).cast("double"))
-
-
 def date_bounds(df: DataFrame, date: str = "date") -> DataFrame:
     return one_row(df, F.min(date).alias("_start"), F.max(date).alias("_end"))
 

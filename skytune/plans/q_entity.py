@@ -10,6 +10,7 @@ from ..operators import reshape as R
 from ..operators import stattests as S
 from ..operators.weather import STRICT_RAINY, STRICT_SUNNY
 from . import pipelines as P
+from ..session import cut_lineage, materialize_once
 from .catalog import O, query
 
 WEATHER_VARS = ("prcp", "tsun")
@@ -57,8 +58,12 @@ FROM ent_bh_{_e}""")
 
 
 def entity_day(spark, sf, entity):
-    days = P.analysis_daily(spark, sf).select("date", *DAY_ATTRS)
-    return EN.entity_daily_shares(P.song_level(spark, sf), entity, days)
+    """Entity x day table, materialized once per application: five reports
+    read it, and it is far smaller than the song rows it is built from."""
+    def build():
+        days = P.analysis_daily(spark, sf).select("date", *DAY_ATTRS)
+        return EN.entity_daily_shares(P.song_level(spark, sf), entity, days)
+    return materialize_once(spark, ("entity_day", sf, entity), build)
 
 
 def entity_corr(spark, sf, entity):
@@ -171,6 +176,10 @@ def feature_rank_corr(spark, sf):
     weight = F.when(F.coalesce(has, F.lit(False)), F.col("streams")).otherwise(F.col("analysis_weight"))
     long = R.long_of(s, [], [{"feature": f, "x": F.col(f).cast("double"), "r": F.col("rank").cast("double"),
                               "w": weight.cast("double"), "top": F.col("top_50").cast("string")} for f in SONG_FEATURES])
+    # Three tests make several passes over these rows (exact ranks need a
+    # count pass and a join back): write the narrow long frame once instead of
+    # re-running the fact join per pass.
+    long = cut_lineage(long)
     a = S.correlation_tests(long, ["feature"], "x", "r", min_n=30, rank_scale="global")
     b = S.correlation_tests(long, ["feature"], "x", "w", min_n=30, rank_scale="global")
     t = S.two_group_tests(long, ["feature"], "top", "x", "true", "false", mann_whitney=False)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as DT
 from ..functions import text as TX
+from ..functions.nulls import exact_mean_sql
 from ..operators import match as M
 from ..sources import fixtures as X
 from .catalog import O, query
@@ -223,7 +224,7 @@ def sql_match(spark, sf):
 # -- G10 J9 P8 P9: popularity enrichment ---------------------------------------
 @query("popularity_enrich", O.build(f"""
 SELECT f.* EXCLUDE (tid), p.rank, p.streams FROM (SELECT *, {uri_tail_sql('track_url')} AS tid FROM features_raw) f
-LEFT JOIN (SELECT {uri_tail_sql('url')} AS tid, avg(rank) AS rank, avg(streams) AS streams
+LEFT JOIN (SELECT {uri_tail_sql('url')} AS tid, {exact_mean_sql('rank')} AS rank, {exact_mean_sql('streams')} AS streams
            FROM charts_raw WHERE url IS NOT NULL GROUP BY url) p ON f.tid = p.tid""", "features_raw", "charts_raw"))
 def popularity_enrich(spark, sf):
     """Per-URI means of the chart numbers joined to the lookup by URI tail."""
