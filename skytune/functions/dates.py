@@ -21,7 +21,9 @@ def clean_raw_date(c: str | Column) -> Column:
 
 def _iso(y: Column, m: Column, d: Column) -> Column:
     ok = m.between(1, 12) & d.between(1, 31)
-    return F.when(ok, F.format_string("%04d-%02d-%02d", y, m, d))
+    iso = F.concat(F.lpad(y.cast("string"), 4, "0"), F.lit("-"), F.lpad(m.cast("string"), 2, "0"),
+                   F.lit("-"), F.lpad(d.cast("string"), 2, "0"))
+    return F.when(ok, iso)
 
 
 def normalize_date_text(c: str | Column, slash_order: str | Column = "dayfirst",
@@ -33,16 +35,15 @@ def normalize_date_text(c: str | Column, slash_order: str | Column = "dayfirst",
     (e.g. the one-row vote of ``date_order_vote`` joined in).  With
     ``cleaned=True`` the input is already ``clean_raw_date`` output (project
     it once in a prior ``select`` so it is not re-evaluated per branch).
+    The shape is checked with two anchored patterns; the numbers come from
+    one split on the separators.
     """
     s = col_of(c) if cleaned else clean_raw_date(c)
     order = F.lit(slash_order) if isinstance(slash_order, str) else slash_order
-
-    def part(rx, i):
-        return F.regexp_extract(s, rx, i).try_cast("int")
-
-    ymd = _iso(part(YMD, 1), part(YMD, 2), part(YMD, 3))
-    a, b, y = part(DMY, 1), part(DMY, 2), part(DMY, 3)
-    dmy = F.when(order == "dayfirst", _iso(y, b, a)).otherwise(_iso(y, a, b))
+    parts = F.split(F.translate(s, "/", "-"), "-")  # single-char split: no regex per row
+    p0, p1, p2 = (parts.getItem(i).try_cast("int") for i in range(3))
+    ymd = _iso(p0, p1, p2)
+    dmy = F.when(order == "dayfirst", _iso(p2, p1, p0)).otherwise(_iso(p2, p0, p1))
     return (F.when(s.rlike(YMD), ymd)
             .when(s.rlike(DMY), dmy))
 

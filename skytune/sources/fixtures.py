@@ -54,7 +54,7 @@ def _md5_22(k: str):
 
 
 def features_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spread(table(spark, sf_dir, "part"))
+    p = spread(table(spark, sf_dir, "part"), "p_partkey")
     k = F.col("p_partkey")
     url = (F.when(k % 7 == 0, F.lit(None).cast("string"))
            .when(k % 2 == 0, F.concat(F.lit("https://open.spotify.com/track/"), _md5_22("p_partkey")))
@@ -76,7 +76,7 @@ def features_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def charts_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = spread(table(spark, sf_dir, "lineitem"))
+    li = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
     p = table(spark, sf_dir, "part")
     j = li.join(p, li.l_partkey == p.p_partkey)
     ln = F.col("l_linenumber")

@@ -10,11 +10,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over the session's parallelism, but only when the
-    scan yields fewer input splits than that (a file written as one row group
-    cannot be split).  On a large input this is a no-op: no extra shuffle."""
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread the rows over the session's parallelism, but only when the scan
+    yields fewer input splits than that (a file written as one row group
+    cannot be split).  On a large input this is a no-op: no extra shuffle.
+
+    With ``keys`` the rows are hash-partitioned on them (deterministic on a
+    retry without the per-partition sort a round-robin needs)."""
     parallelism = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < parallelism:
-        return df.repartition(parallelism)
+        return df.repartition(parallelism, *keys) if keys else df.repartition(parallelism)
     return df
