@@ -52,7 +52,7 @@ UNION ALL SELECT 'n_good_weather_days', CAST(count(*) FILTER (WHERE good_weather
 UNION ALL SELECT 'n_bad_weather_days', CAST(count(*) FILTER (WHERE bad_weather) AS DOUBLE), NULL, 'Aantal geselecteerde regenachtige/slechte dagen' FROM benchmarked
 UNION ALL SELECT 'benchmark_version', NULL, benchmark_version, 'Gebruikte definitie' FROM bth""", "bth", "benchmarked"))
 def benchmark_thresholds(spark, sf):
-    """P11 over X16: the seven-row threshold table (values as text)."""
+    """P11 over X16: the seven-row threshold table (numbers in value, version in label)."""
     return W.benchmark_thresholds(P.final_daily(spark, sf))
 
 
