@@ -106,6 +106,20 @@ def weather_types(weather: DataFrame, heavy_inclusive: bool = True, dry_rule: st
     )
 
 
+def rain_dry_classes(daily: DataFrame) -> DataFrame:
+    """X12b/X13 (v3 split without a neutral class): rainy = prcp > 0,
+    dry = prcp == 0 (both False when prcp is missing), label Regenachtig /
+    Droog (missing prcp is labelled dry), and the sunny/rainy score pair."""
+    stats = one_row(daily, F.avg("prcp").alias("_mp"), F.stddev_samp("prcp").alias("_sp"),
+                    F.avg("tsun").alias("_mt"), F.stddev_samp("tsun").alias("_st"))
+    p = F.col("prcp")
+    zt, zp = _z("tsun", "_mt", "_st"), _z("prcp", "_mp", "_sp")
+    return daily.crossJoin(stats).select(
+        *daily.columns, flag(p > 0).alias("rainy_day"), flag(p == 0).alias("dry_day"),
+        F.when(flag(p > 0), RAIN_LABEL).otherwise(DRY_LABEL).alias("rain_dry_type"),
+        round_abs(zt - zp).alias("weather_score_sunny"), round_abs(zp - zt).alias("weather_score_rainy"))
+
+
 def strict_thresholds(weather: DataFrame) -> DataFrame:
     """Threshold table of the strict type (q40/q60; +-inf when tsun is empty)."""
     q = weather.agg(F.percentile(F.col("tsun"), F.array(F.lit(0.40), F.lit(0.60))).alias("q"))

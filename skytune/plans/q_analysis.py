@@ -312,3 +312,42 @@ def rolling_14(spark, sf):
     d = P.analysis_daily(spark, sf)
     long = R.long_of(d, ["date"], [{"metric": m, "value": F.col(m).cast("double")} for m, _ in MAIN_METRICS])
     return R.trailing_mean(long, ["metric"], "date", "value")
+
+
+# -- v3: rain / dry split without a neutral class (X12b X13 T5-T7) -----------
+from ..operators import weather as W  # noqa: E402
+from ..operators.weather import DRY_LABEL as DRY, RAIN_LABEL as RAIN  # noqa: E402
+
+O.part("rd_stats", ("analysis_daily",), """
+SELECT avg(prcp) AS mp, stddev_samp(prcp) AS sp, avg(tsun) AS mt, stddev_samp(tsun) AS st FROM analysis_daily""")
+
+
+@query("weather_classes_rain_dry", O.build(f"""
+SELECT date, prcp, tsun, coalesce(prcp > 0, false) AS rainy_day, coalesce(prcp = 0, false) AS dry_day,
+       CASE WHEN coalesce(prcp > 0, false) THEN 'Regenachtig' ELSE 'Droog' END AS rain_dry_type,
+       {O.round_abs_sql(O.zsql('tsun', 'mt', 'st') + ' - ' + O.zsql('prcp', 'mp', 'sp'))} AS weather_score_sunny,
+       {O.round_abs_sql(O.zsql('prcp', 'mp', 'sp') + ' - ' + O.zsql('tsun', 'mt', 'st'))} AS weather_score_rainy
+FROM analysis_daily, rd_stats""", "analysis_daily", "rd_stats"))
+def weather_classes_rain_dry(spark, sf):
+    """Rainy / dry day split of the final daily table (v3 definition)."""
+    d = P.analysis_daily(spark, sf).select("date", "prcp", "tsun")
+    return W.rain_dry_classes(d)
+
+
+O.part("rd_long", ("analysis_daily",), _union([
+    f"SELECT '{m}' AS metric, '{lab}' AS metric_label, CASE WHEN coalesce(prcp > 0, false) THEN 'Regenachtig' ELSE 'Droog' END AS g, "
+    f"CAST({m} AS DOUBLE) AS v FROM analysis_daily" for m, lab in MAIN_METRICS]))
+O.two_group("rd_tg", "rd_long", ["metric", "metric_label"], "g", "v", RAIN, DRY)
+
+
+@query("rain_dry_tests", O.build(f"""
+SELECT *, {O.conclusion_sql('welch_p')} AS welch_conclusion_005,
+       {O.conclusion_sql('mannwhitney_p')} AS mannwhitney_conclusion_005 FROM rd_tg""", "rd_tg"))
+def rain_dry_tests(spark, sf):
+    """T5 T6 T7 (v3): main metrics on rainy vs dry days."""
+    d = W.rain_dry_classes(P.analysis_daily(spark, sf).select("date", "prcp", "tsun", *[m for m, _ in MAIN_METRICS]))
+    long = R.long_of(d, [], [{"metric": m, "metric_label": lab, "g": F.col("rain_dry_type"),
+                              "v": F.col(m).cast("double")} for m, lab in MAIN_METRICS])
+    t = S.two_group_tests(long, ["metric", "metric_label"], "g", "v", RAIN, DRY)
+    return t.select("*", S.conclusion(F.col("welch_p")).alias("welch_conclusion_005"),
+                    S.conclusion(F.col("mannwhitney_p")).alias("mannwhitney_conclusion_005"))

@@ -35,11 +35,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     The folder named by ``spark.checkpoint.dir`` is used as is; only when the
     session has none (local tests) a private scratch folder is created.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the folder
+        sc = None
+    path = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
     if not path:
         path = tempfile.mkdtemp(prefix="skytune-ckpt-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
+        spark.conf.set("spark.checkpoint.dir", path)
+    if sc is not None and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(path)
     return path
 
 
@@ -60,7 +65,11 @@ def materialize_once(spark: SparkSession, key: tuple, build) -> DataFrame:
     Meant for day-grain tables (one row per calendar day) that many report
     queries read: the fact table is scanned once instead of once per report,
     and downstream plans stay shallow."""
-    k = (spark.sparkContext.applicationId,) + tuple(key)
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - Spark Connect
+        app = spark.conf.get("spark.app.id", "connect")
+    k = (app, id(spark)) + tuple(key)
     df = _MATERIALIZED.get(k)
     if df is None:
         df = cut_lineage(build())

@@ -17,7 +17,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
     With ``keys`` the rows are hash-partitioned on them (deterministic on a
     retry without the per-partition sort a round-robin needs)."""
-    parallelism = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < parallelism:
+    try:
+        parallelism = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: leave the scan as is
+        return df
+    if splits < parallelism:
         return df.repartition(parallelism, *keys) if keys else df.repartition(parallelism)
     return df
