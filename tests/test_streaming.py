@@ -1,5 +1,6 @@
 import os
 import tempfile
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,10 +17,11 @@ def test_stream_rollup_equals_batch(spark):
     songs = song_day(spark, SF).select("date", "streams", "valence")
     src = tempfile.mkdtemp(prefix="skytune-stream-src-")
     songs.repartition(4, "date").write.mode("overwrite").parquet(src + "/songs")
-    q = start_daily_stream(spark, src + "/songs", songs.schema, "memory", "skytune_daily_test",
+    name = f"skytune_daily_test_{uuid.uuid4().hex[:8]}"  # a new stream: fresh checkpoint state
+    q = start_daily_stream(spark, src + "/songs", songs.schema, "memory", name,
                            files_per_trigger=1, available_now=True, output_mode="complete")
     q.awaitTermination(300)
-    got = {r.date: r for r in spark.table("skytune_daily_test").collect()}
+    got = {r.date: r for r in spark.table(name).collect()}
     exp = {r.date: r for r in daily_stream_metrics(songs).collect()}
     assert set(got) == set(exp)
     for d, e in exp.items():
