@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import exact_quantiles
+
 
 def key_values(row: DataFrame, entries: list[tuple[str, Column | None, Column | None]]) -> DataFrame:
     """One aggregate row -> (metric, value, label) rows; numbers in
@@ -32,14 +34,18 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, mean, sample sd, min, quartiles (linear), max per column;
-    one pass over the rows (unpivot, then one grouped aggregate)."""
+    """Count, mean, sample sd, min, quartiles (linear), max per column.
+
+    Unpivot once; moments in one grouped aggregate; exact quartiles from
+    distributed value counts (``ranks.exact_quantiles``) - no per-column
+    buffer of all values in one task."""
     long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))
                                         for c in columns])))
-    return long.groupBy("column").agg(
+    moments = long.groupBy("column").agg(
         F.count("v").alias("n_values"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
-        F.min("v").alias("min"), F.percentile("v", 0.25).alias("q25"), F.percentile("v", 0.5).alias("median"),
-        F.percentile("v", 0.75).alias("q75"), F.max("v").alias("max"))
+        F.min("v").alias("min"), F.max("v").alias("max"))
+    qs = exact_quantiles(long, ["column"], "v", {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    return moments.join(qs, "column", "left")
 
 
 def off_size_days(df: DataFrame, expected: int = 200) -> DataFrame:

@@ -20,19 +20,16 @@ def average_rank(df: DataFrame, keys: list[str], value: str, out: str) -> DataFr
     return df.withColumn(out, F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
 
 
-def average_rank_global(df: DataFrame, keys: list[str], value: str, out: str,
-                        buckets: int = 4096) -> DataFrame:
-    """Exact average ranks without a single-task window.
+def cumulative_counts(df: DataFrame, keys: list[str], value: str, buckets: int = 4096) -> DataFrame:
+    """(keys, value, _n, _end): rows per distinct value and the 1-based
+    position of its last row in value order, without a single-task window.
 
     1. collapse ties: ``groupBy(keys, value).count`` (map-side combined);
     2. equal-width bucket from the exact min/max of each key;
     3. rows per bucket -> cumulative offset (<= ``buckets`` rows per key);
-    4. running count inside each (key, bucket) window;
-    5. rank = offset + running count - (ties - 1) / 2, joined back on
-       (keys, value).
+    4. running count inside each (key, bucket) window.
     A hot value collapses to one row in step 1, so skew cannot concentrate
-    rows in one task.
-    """
+    rows in one task."""
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     bounds = counts.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     span = F.col("_hi") - F.col("_lo")
@@ -46,7 +43,37 @@ def average_rank_global(df: DataFrame, keys: list[str], value: str, out: str,
                                               .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     running = F.sum("_n").over(Window.partitionBy(*keys, "_b").orderBy(value)
                                .rowsBetween(Window.unboundedPreceding, 0))
-    ranked = (binned.join(offsets.select(*keys, "_b", "_off"), keys + ["_b"])
-              .withColumn(out, F.col("_off") + running - (F.col("_n") - 1) / 2.0)
-              .select(*keys, value, out))
+    return (binned.join(offsets.select(*keys, "_b", "_off"), keys + ["_b"])
+            .withColumn("_end", F.col("_off") + running).select(*keys, value, "_n", "_end"))
+
+
+def average_rank_global(df: DataFrame, keys: list[str], value: str, out: str,
+                        buckets: int = 4096) -> DataFrame:
+    """Exact average ranks for row-grain data: rank = last position of the
+    value - (ties - 1) / 2 (``cumulative_counts``), joined back on
+    (keys, value)."""
+    ranked = cumulative_counts(df, keys, value, buckets).select(
+        *keys, value, (F.col("_end") - (F.col("_n") - 1) / 2.0).alias(out))
     return df.join(ranked, keys + [value])
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float],
+                    buckets: int = 4096) -> DataFrame:
+    """Exact linear-interpolation quantiles (``percentile`` semantics) per
+    keys without holding a column's values in one buffer: the target
+    positions (a few per key) are broadcast against the distinct values with
+    their cumulative positions."""
+    d = df.where(F.col(value).isNotNull())
+    cum = cumulative_counts(d, keys, value, buckets)
+    total = cum.groupBy(*keys).agg(F.sum("_n").alias("_N"))
+    targets = total.select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(name).alias("_q"), ((F.col("_N") - 1) * q).alias("_h")) for name, q in qs.items()])))
+    targets = targets.select(*keys, "_q", "_h", F.floor("_h").cast("long").alias("_i0"),
+                             F.ceil("_h").cast("long").alias("_i1"))
+    # 0-based position p lies in the value whose rows occupy (_end - _n, _end - 1]
+    hit = lambda i: (F.col(i) >= F.col("_end") - F.col("_n")) & (F.col(i) <= F.col("_end") - 1)
+    j = cum.join(F.broadcast(targets), keys).where(hit("_i0") | hit("_i1"))
+    picked = j.groupBy(*keys, "_q", "_h", "_i0").agg(
+        F.max(F.when(hit("_i0"), F.col(value))).alias("_v0"), F.max(F.when(hit("_i1"), F.col(value))).alias("_v1"))
+    res = picked.select(*keys, "_q", (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_h") - F.col("_i0"))).alias("_x"))
+    return res.groupBy(*keys).pivot("_q", list(qs)).agg(F.first("_x"))

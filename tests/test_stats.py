@@ -136,3 +136,17 @@ def test_conclusion_labels(spark):
     df = spark.createDataFrame([(0.01, None), (0.2, 0.01), (None, None), (0.01, 0.3)], "p double, a double")
     got = [r[0] for r in df.select(S.conclusion(F.col("p"), F.col("a"))).collect()]
     assert got == ["SIGNIFICANT", "SIGNIFICANT", "GEEN TEST", "NIET SIGNIFICANT"]
+
+
+def test_exact_quantiles_match_percentile(spark):
+    rnd = random.Random(11)
+    rows = [("a", float(rnd.randint(0, 20))) for _ in range(301)] + [("b", rnd.random()) for _ in range(50)] \
+        + [("c", 5.0)] + [("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    qs = {"q25": 0.25, "median": 0.5, "q75": 0.75, "q67": 0.67}
+    got = {r.k: r for r in RK.exact_quantiles(df, ["k"], "v", qs, buckets=8).collect()}
+    exp = {r.k: r for r in df.groupBy("k").agg(*[F.percentile("v", q).alias(n) for n, q in qs.items()]).collect()}
+    assert set(got) == {"a", "b", "c"}
+    for k in got:
+        for n in qs:
+            assert got[k][n] == pytest.approx(exp[k][n], abs=1e-12)
