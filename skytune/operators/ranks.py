@@ -20,7 +20,8 @@ def average_rank(df: DataFrame, keys: list[str], value: str, out: str) -> DataFr
     return df.withColumn(out, F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
 
 
-def cumulative_counts(df: DataFrame, keys: list[str], value: str, buckets: int = 4096) -> DataFrame:
+def cumulative_counts(df: DataFrame, keys: list[str], value: str, buckets: int = 4096,
+                      keep_bucket: bool = False) -> DataFrame:
     """(keys, value, _n, _end): rows per distinct value and the 1-based
     position of its last row in value order, without a single-task window.
 
@@ -43,8 +44,9 @@ def cumulative_counts(df: DataFrame, keys: list[str], value: str, buckets: int =
                                               .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     running = F.sum("_n").over(Window.partitionBy(*keys, "_b").orderBy(value)
                                .rowsBetween(Window.unboundedPreceding, 0))
-    return (binned.join(offsets.select(*keys, "_b", "_off"), keys + ["_b"])
-            .withColumn("_end", F.col("_off") + running).select(*keys, value, "_n", "_end"))
+    out = (binned.join(offsets.select(*keys, "_b", "_off"), keys + ["_b"])
+           .withColumn("_end", F.col("_off") + running))
+    return out.select(*keys, value, "_n", "_end", *(["_b"] if keep_bucket else []))
 
 
 def average_rank_global(df: DataFrame, keys: list[str], value: str, out: str,

@@ -26,9 +26,18 @@ def trailing_mean(df: DataFrame, keys: list[str], order: str, value: str, rows:
     return d.withColumn(out, F.when(F.count(value).over(w) >= min_periods, F.avg(value).over(w)))
 
 
-def top_bottom_k(df: DataFrame, family: list[str], label: str, score: str, k: int = 6) -> DataFrame:
-    """ST3: k highest and k lowest ``score`` per family, de-duplicated by label."""
-    d = df.where(F.col(score).isNotNull())
+def top_bottom_k(df: DataFrame, family: list[str], label: str, score: str, k: int = 6,
+                 salts: int = 64) -> DataFrame:
+    """ST3: k highest and k lowest ``score`` per family, de-duplicated by label.
+
+    Two phases so no task sorts a whole family: keep the top/bottom k inside
+    each of ``salts`` hash groups of the label (the family's top k is always
+    among them), then rank the <= salts * k survivors per family."""
+    d = df.where(F.col(score).isNotNull()).withColumn("_salt", F.abs(F.hash(F.col(label))) % salts)
+    hi = Window.partitionBy(*family, "_salt").orderBy(F.col(score).desc(), F.col(label))
+    lo = Window.partitionBy(*family, "_salt").orderBy(F.col(score).asc(), F.col(label))
+    d = d.withColumn("_h0", F.row_number().over(hi)).withColumn("_l0", F.row_number().over(lo))
+    d = d.where((F.col("_h0") <= k) | (F.col("_l0") <= k)).drop("_salt", "_h0", "_l0")
     hi = Window.partitionBy(*family).orderBy(F.col(score).desc(), F.col(label))
     lo = Window.partitionBy(*family).orderBy(F.col(score).asc(), F.col(label))
     d = d.withColumn("_hi", F.row_number().over(hi)).withColumn("_lo", F.row_number().over(lo))

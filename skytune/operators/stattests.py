@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tails
-from .ranks import average_rank, average_rank_global
+from .ranks import average_rank, average_rank_global, cumulative_counts
 
 # Significance level and conclusion labels.
 ALPHA = 0.05
@@ -181,15 +181,39 @@ def anova_kruskal(df: DataFrame, keys: list[str], group_col: str, value: str) ->
     return totals.join(res, keys, "left").select(*keys, "n_total", "groups", "anova_f", "anova_p", "kruskal_h", "kruskal_p")
 
 
-def bh_adjust(df: DataFrame, family: list[str], p_col: str, out_col: str) -> DataFrame:
+def bh_adjust(df: DataFrame, family: list[str], p_col: str, out_col: str, buckets: int = 1024) -> DataFrame:
     """Benjamini-Hochberg within ``family`` (NULL p stay NULL).
 
-    Runs on result rows (one per test)."""
-    part = Window.partitionBy(*family, F.col(p_col).isNull())
-    asc = part.orderBy(F.col(p_col).asc())
-    rev = part.orderBy(F.col("_bh_rn").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return (df.withColumn("_bh_rn", F.row_number().over(asc))
-            .withColumn("_bh_m", F.count(p_col).over(part))
-            .withColumn("_bh_raw", F.col(p_col) * F.col("_bh_m") / F.col("_bh_rn"))
-            .withColumn(out_col, F.when(F.col(p_col).isNotNull(), F.least(F.lit(1.0), F.min("_bh_raw").over(rev))))
-            .drop("_bh_rn", "_bh_m", "_bh_raw"))
+    BH only depends on the distinct p values: with m tests and end(v) the
+    number of p <= v, adj(v) = min(1, min over v' >= v of v' * m / end(v')).
+    Positions come from bucketed cumulative counts and the suffix minimum is
+    taken inside each bucket and across buckets, so no window holds a whole
+    family (millions of entity tests stay spread over tasks)."""
+    # The result rows are joined back to their own adjusted values by p: write
+    # them once (shared checkpoint folder) so both sides read identical bits;
+    # a recomputed aggregate may differ in its last bit.
+    from ..session import cut_lineage
+    df = cut_lineage(df)
+    keys = list(family)
+    fam = [F.col(c) for c in keys]
+    pv = df.where(F.col(p_col).isNotNull()).select(*fam, F.col(p_col).alias("_p"))
+    if not keys:
+        pv = pv.withColumn("_all", F.lit(0))
+        keys = ["_all"]
+    cum = cumulative_counts(pv, keys, "_p", buckets, keep_bucket=True)
+    m = cum.groupBy(*keys).agg(F.sum("_n").alias("_m"))
+    raw = cum.join(m, keys).withColumn("_raw", F.col("_p") * F.col("_m") / F.col("_end"))
+    within = Window.partitionBy(*keys, "_b").orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    raw = raw.withColumn("_in", F.min("_raw").over(within))
+    later = (raw.groupBy(*keys, "_b").agg(F.min("_raw").alias("_bmin"))
+             .withColumn("_after", F.min("_bmin").over(Window.partitionBy(*keys).orderBy(F.col("_b").desc())
+                                                        .rowsBetween(Window.unboundedPreceding, -1))))
+    adj = raw.join(later.select(*keys, "_b", "_after"), keys + ["_b"]).select(
+        *keys, "_p", F.least(F.lit(1.0), F.least(F.col("_in"), F.coalesce(F.col("_after"), F.col("_in")))).alias("_adj"))
+    adj = adj.select(*[F.col(c).alias(f"_bhk{i}") for i, c in enumerate(family)],
+                     F.col("_p").alias("_bhp"), F.col("_adj").alias("_bha"))
+    cond = F.col(p_col) == F.col("_bhp")
+    for i, c in enumerate(family):
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_bhk{i}"))
+    joined = df.join(adj, cond, "left")
+    return joined.select(*[F.col(c) for c in df.columns], F.col("_bha").alias(out_col))
