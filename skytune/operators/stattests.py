@@ -181,7 +181,8 @@ def anova_kruskal(df: DataFrame, keys: list[str], group_col: str, value: str) ->
     return totals.join(res, keys, "left").select(*keys, "n_total", "groups", "anova_f", "anova_p", "kruskal_h", "kruskal_p")
 
 
-def bh_adjust(df: DataFrame, family: list[str], p_col: str, out_col: str, buckets: int = 1024) -> DataFrame:
+def bh_adjust(df: DataFrame, family: list[str], p_col: str, out_col: str, buckets: int = 1024,
+              materialize: bool = True) -> DataFrame:
     """Benjamini-Hochberg within ``family`` (NULL p stay NULL).
 
     BH only depends on the distinct p values: with m tests and end(v) the
@@ -192,8 +193,11 @@ def bh_adjust(df: DataFrame, family: list[str], p_col: str, out_col: str, bucket
     # The result rows are joined back to their own adjusted values by p: write
     # them once (shared checkpoint folder) so both sides read identical bits;
     # a recomputed aggregate may differ in its last bit.
+    # (``materialize=False`` when ``df`` already reads its p values from a
+    # written table, e.g. the output of a previous bh_adjust.)
     from ..session import cut_lineage
-    df = cut_lineage(df)
+    if materialize:
+        df = cut_lineage(df)
     keys = list(family)
     fam = [F.col(c) for c in keys]
     pv = df.where(F.col(p_col).isNotNull()).select(*fam, F.col(p_col).alias("_p"))

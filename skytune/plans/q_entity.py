@@ -76,7 +76,7 @@ def entity_corr(spark, sf, entity):
     mean = ed.groupBy(entity).agg(F.avg("entity_share").alias("mean_entity_share"))
     t = t.withColumnRenamed("n", "n_days").join(mean, entity)
     t = S.bh_adjust(S.bh_adjust(t, ["weather_var"], "pearson_p", "pearson_p_adj_bh"),
-                    ["weather_var"], "spearman_p", "spearman_p_adj_bh")
+                    ["weather_var"], "spearman_p", "spearman_p_adj_bh", materialize=False)
     pc = S.conclusion(F.col("pearson_p"), F.col("pearson_p_adj_bh"))
     sc = S.conclusion(F.col("spearman_p"), F.col("spearman_p_adj_bh"))
     return t.select("*", pc.alias("pearson_conclusion_005"), sc.alias("spearman_conclusion_005"),
@@ -195,8 +195,8 @@ def feature_rank_corr(spark, sf):
                        F.col("mean_b").alias("rest_mean")), "feature")
     out = out.select("*", F.when(F.coalesce(has, F.lit(False)), F.lit("streams")).otherwise(F.lit("analysis_weight")).alias("weight_var"),
                      F.greatest(F.abs("spearman_rho_with_rank"), F.abs("spearman_rho_with_weight")).alias("abs_best_corr_rank_or_weight"))
-    for p in ("spearman_p_with_rank", "spearman_p_with_weight", "top50_vs_rest_welch_p"):
-        out = S.bh_adjust(out, [], p, p + "_adj_bh")
+    for i, p in enumerate(("spearman_p_with_rank", "spearman_p_with_weight", "top50_vs_rest_welch_p")):
+        out = S.bh_adjust(out, [], p, p + "_adj_bh", materialize=i == 0)
     return out.select("*", *[F.coalesce(F.col(p + "_adj_bh") < 0.05, F.lit(False)).alias(n) for p, n in (
         ("spearman_p_with_rank", "significant_rank_005"), ("spearman_p_with_weight", "significant_weight_005"),
         ("top50_vs_rest_welch_p", "significant_top50_005"))])
