@@ -213,3 +213,23 @@ def answer(chunks: DataFrame, replies: DataFrame, fn: Callable[[int, pa.RecordBa
 
 def total_bytes(chunks: DataFrame) -> int:
     return int(chunks.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0])
+
+
+def repeated(lists: list[np.ndarray], counts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A judge for ``gather``: the places of hashes that two documents or
+    more hold, with the number of these documents."""
+    h = np.concatenate(lists)
+    order = np.argsort(h, kind="stable")
+    s = h[order]
+    first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
+    c = np.concatenate(counts).astype(np.int64)[order]
+    total = np.empty(len(h), np.int64)
+    sums = np.add.reduceat(c, first) if len(s) else c
+    total[order] = np.repeat(sums, np.diff(np.append(first, len(s))))
+    out, i = [], 0
+    for one in lists:
+        t = total[i:i + len(one)]
+        at = np.flatnonzero(t > 1)
+        out.append((at, np.minimum(t[at], 2**32 - 1)))
+        i += len(one)
+    return out

@@ -47,3 +47,12 @@ FROM keyed k LEFT JOIN hot h ON k.key = h.key
 GROUP BY k.doc_id
 """
 register(op7_line_dedup, OP7_SQL)
+
+
+def op2_suffix_dedup(spark, sf_dir):
+    from .suffix_dedup import remove_repeats
+    out = remove_repeats(pick(documents(spark, sf_dir), "doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+register(op2_suffix_dedup)
