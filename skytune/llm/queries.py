@@ -56,3 +56,11 @@ def op2_suffix_dedup(spark, sf_dir):
 
 
 register(op2_suffix_dedup)
+
+
+def op10_near_dedup(spark, sf_dir):
+    from .near_dedup import near_duplicates
+    return near_duplicates(pick(documents(spark, sf_dir), "doc_id", "text"))
+
+
+register(op10_near_dedup)
