@@ -64,3 +64,76 @@ def op10_near_dedup(spark, sf_dir):
 
 
 register(op10_near_dedup)
+
+
+def op1_quality_rules(spark, sf_dir):
+    from .quality import score_quality
+    return score_quality(pick(documents(spark, sf_dir), "doc_id", "text", "lang"), table(spark, sf_dir, "labels")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
+
+
+def _op1_sql() -> str:
+    from .quality import ALPHA, DELTA, MAX_STRATA, SIGNALS
+    m = len(SIGNALS)
+    a = ALPHA / m
+    signals = ", ".join(f"CASE WHEN {den} > 0 THEN CAST(floor(1000 * {num} / {den}) AS BIGINT) ELSE 0 END AS {s}"
+                        for s, (num, den, _) in SIGNALS.items())
+    per_signal = "\nUNION ALL ".join(f"SELECT stratum, good, '{s}' AS signal, {s} AS v FROM labelled" for s in SIGNALS)
+    grid = ", ".join(f"('{s}', {c})" for s, (_, _, g) in SIGNALS.items() for c in g)
+    rejects = ", ".join(f"CASE WHEN {s} > (SELECT cutoff FROM cutoffs k WHERE k.stratum = j.stratum AND k.signal = '{s}') THEN '{s}' END"
+                        for s in SIGNALS)
+    return rf"""
+WITH w AS (
+  SELECT doc_id, lang, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+grams AS (
+  SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+hit AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) WHERE n > 1),
+cover AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM hit) GROUP BY doc_id),
+base AS (
+  SELECT w.doc_id, lang, len(words)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')))::BIGINT AS n_capitals,
+         (length(t) - length(replace(t, '!', '')))::BIGINT AS n_exclaims,
+         (length(t) - length(regexp_replace(t, '[0-9]', '', 'g')))::BIGINT AS n_digits,
+         len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+         coalesce(c.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN cover c ON w.doc_id = c.doc_id),
+counted AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {signals} FROM base),
+one_label AS (
+  SELECT doc_id, min(CASE WHEN quality > 0 THEN 1 ELSE 0 END) AS good FROM labels
+  WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+own AS (
+  SELECT '=' || lang AS own FROM counted JOIN one_label USING (doc_id) WHERE NOT base_failed AND lang IS NOT NULL
+  GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT {MAX_STRATA}),
+judged AS (SELECT counted.*, coalesce(own, 'other') AS stratum FROM counted LEFT JOIN own ON '=' || lang = own),
+labelled AS (SELECT * FROM judged JOIN one_label USING (doc_id) WHERE NOT base_failed),
+each AS ({per_signal}),
+tested AS (
+  SELECT stratum, e.signal, c AS cutoff, sum(good) AS n_good, sum(1 - good) AS n_bad,
+         sum(CASE WHEN v > c THEN good ELSE 0 END) AS k_good, sum(CASE WHEN v > c THEN 1 - good ELSE 0 END) AS k_bad
+  FROM each e JOIN (VALUES {grid}) g(signal, c) ON e.signal = g.signal GROUP BY ALL),
+walked AS (
+  SELECT *, bool_and(CASE WHEN n_good > 0 AND k_good <= {a!r} * n_good THEN list_sum(list_transform(range(0, k_good::BIGINT + 1), lambda i:
+             exp(lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1) + i * ln({a!r}::DOUBLE) + (n_good - i) * ln(1 - {a!r}::DOUBLE))))
+           ELSE 1 END <= {DELTA!r} / ((SELECT count(DISTINCT stratum) FROM labelled) * {m}))
+           OVER (PARTITION BY stratum, signal ORDER BY cutoff DESC) AS ok,
+         k_bad * n_good - k_good * n_bad AS gain
+  FROM tested),
+cutoffs AS (
+  SELECT stratum, signal, cutoff FROM walked WHERE ok AND gain > 0
+  QUALIFY row_number() OVER (PARTITION BY stratum, signal ORDER BY gain DESC, cutoff DESC) = 1),
+final AS (
+  SELECT *, concat_ws(',', {rejects}) AS rejected_by FROM judged j)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND rejected_by = '' AS kept, rejected_by
+FROM final
+"""
+
+
+register(op1_quality_rules, _op1_sql())
