@@ -137,3 +137,13 @@ FROM final
 
 
 register(op1_quality_rules, _op1_sql())
+
+
+def op8_secret_scan(spark, sf_dir):
+    from .secret_scan import joined, scan_secrets
+    out = scan_secrets(pick(documents(spark, sf_dir), "doc_id", "text"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
+                      joined(F.col("found")).alias("spans"))
+
+
+register(op8_secret_scan)
