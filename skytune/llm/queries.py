@@ -147,3 +147,12 @@ def op8_secret_scan(spark, sf_dir):
 
 
 register(op8_secret_scan)
+
+
+def op6_language_id(spark, sf_dir):
+    from .lang_id import held_out, identify
+    out = identify(pick(documents(spark, sf_dir), "doc_id", "text", "lang"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+register(op6_language_id)
