@@ -44,7 +44,7 @@ from .common import ship, stored
 DIMENSIONS = 1 << 14
 SAMPLE_ROWS = 4000
 MAX_LANGUAGES = 256
-AMBIGUITY = 0.1
+AMBIGUITY = 0.05
 SMOOTHING = 0.5
 UND = "und"
 _PIECE = 1 << 16                   # characters at a time
