@@ -156,3 +156,11 @@ def op6_language_id(spark, sf_dir):
 
 
 register(op6_language_id)
+
+
+def op9_embedding_dedup(spark, sf_dir):
+    from .embed_dedup import link_vectors
+    return link_vectors(pick(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
+
+
+register(op9_embedding_dedup)
