@@ -164,3 +164,11 @@ def op9_embedding_dedup(spark, sf_dir):
 
 
 register(op9_embedding_dedup)
+
+
+def op5_source_mixing(spark, sf_dir):
+    from .mixing import mix_sources
+    return mix_sources(pick(documents(spark, sf_dir), "doc_id", "source"))
+
+
+register(op5_source_mixing)
