@@ -172,3 +172,11 @@ def op5_source_mixing(spark, sf_dir):
 
 
 register(op5_source_mixing)
+
+
+def op3_lm_scoring(spark, sf_dir):
+    from .lm_score import score_documents
+    return score_documents(pick(documents(spark, sf_dir), "doc_id", "text")).select("doc_id", "n_tokens", "pll", "mean_pll")
+
+
+register(op3_lm_scoring)
