@@ -180,3 +180,16 @@ def op3_lm_scoring(spark, sf_dir):
 
 
 register(op3_lm_scoring)
+
+
+def op4_sentencepiece(spark, sf_dir):
+    """Each sample as digests: its number of pieces and a hash of its ids."""
+    from .sp_lattice import sample_segmentations
+    out = sample_segmentations(pick(documents(spark, sf_dir), "doc_id", "text"))
+    digest = F.transform("samples", lambda s: F.struct(
+        F.size(s["ids"]).alias("pieces"), F.xxhash64(s["ids"]).alias("ids_hash"), s["logp"].alias("logp"),
+        s["log_inclusion"].alias("log_inclusion")))
+    return out.select("doc_id", digest.alias("samples"), "exact")
+
+
+register(op4_sentencepiece)
