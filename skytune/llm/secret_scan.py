@@ -53,7 +53,7 @@ ENCODINGS = [
     (r"^[A-Za-z0-9]+$", 62, 3.1),
     (r"", 64, 3.3),
 ]
-CHANGE_RATE = 0.12
+CHANGE_RATE = 0.25
 CORRELATION = 0.3
 FDR = 0.001
 LENGTH_CLASSES = (32, 64, 128)
