@@ -45,3 +45,17 @@ def test_stages_take_effect_and_stand_edges(spark, make, edge_rows):
 def test_a_query_for_each_operator():
     assert {int(n[2:].split("_")[0]) for n in Q.QUERIES} == set(range(1, 11))
     assert set(Q.ORACLE_SQL) <= set(Q.QUERIES)
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="driver tables not present")
+@pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
+def test_queries_match_their_sql(spark, name):
+    import duckdb
+    con = duckdb.connect()
+    for t in ("documents", "labels", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    rel = con.execute(Q.ORACLE_SQL[name])
+    cols = [d[0] for d in rel.description]
+    df = Q.QUERIES[name](spark, SF)
+    assert sorted(cols) == sorted(df.columns)
+    assert sorted(map(repr, rel.fetchall())) == sorted(repr(tuple(r[c] for c in cols)) for r in df.collect())
