@@ -37,29 +37,6 @@ def safe_ratio(num: str | Column, den: str | Column) -> Column:
     return F.when(d > 0, F.try_divide(n, d))
 
 
-def safe_div(num: str | Column, den: str | Column) -> Column:
-    """num / den, NULL when den is 0 or NULL (sign of den kept)."""
-    n, d = col_of(num), col_of(den)
-    return F.try_divide(n, F.when(d != 0, d))
-
-
-def exact_mean(c: str | Column) -> Column:
-    """Mean with an exact decimal sum: the same bits whatever the executor
-    layout or summation order (and in the SQL oracle), then one division.
-    For measured quantities with a fixed number of decimals."""
-    x = col_of(c)
-    return F.try_divide(F.sum(x.cast("decimal(24,10)")).cast("double"), F.count(x).cast("double"))
-
-
-def exact_mean_sql(c: str) -> str:
-    return f"(CAST(sum(CAST({c} AS DECIMAL(24, 10))) AS DOUBLE) / nullif(count({c}), 0))"
-
-
-def sum0(c: str | Column) -> Column:
-    """pandas ``sum``: all-missing sums to 0."""
-    return F.coalesce(F.sum(col_of(c)), F.lit(0.0))
-
-
 SIG_DIGITS = 10
 
 

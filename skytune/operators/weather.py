@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.nulls import exact_mean, flag, round_abs
+from ..functions.nulls import flag
 from .dedup import keep_first
 
 # Thresholds of the authoritative versions.
@@ -47,7 +47,7 @@ def station_daily_mean(raw: DataFrame, station: str | None = "station",
         r = keep_first(r.select(station, *cols, *(order or [])), [station, "date"], order or cols)
     else:
         r = r.select(*cols).dropDuplicates(cols)
-    return r.groupBy("date").agg(exact_mean("prcp").alias("prcp"), exact_mean("tsun").alias("tsun"))
+    return r.groupBy("date").agg(F.avg("prcp").alias("prcp"), F.avg("tsun").alias("tsun"))
 
 
 def date_bounds(df: DataFrame, date: str = "date") -> DataFrame:
@@ -100,7 +100,7 @@ def weather_types(weather: DataFrame, heavy_inclusive: bool = True, dry_rule: st
         wrap(p >= HEAVY_RAIN_MM if heavy_inclusive else p > HEAVY_RAIN_MM).alias("heavy_rain"),
         wrap(dry).alias("dry_day"),
         F.when(p > 0, RAIN_LABEL).otherwise(DRY_LABEL).alias("rain_dry_type"),
-        round_abs(zt - zp).alias("weather_score_sunny"), round_abs(zp - zt).alias("weather_score_dreary"),
+        (zt - zp).alias("weather_score_sunny"), (zp - zt).alias("weather_score_dreary"),
         F.when(rainy_strict, STRICT_RAINY).when(sunny_strict, STRICT_SUNNY).otherwise(STRICT_MIXED).alias("strict_weather_type"),
         F.when(rainy_strict, "rainy").when(sunny_strict, "sunny").otherwise("mixed").alias("weather_type_key"),
     )
@@ -117,7 +117,7 @@ def rain_dry_classes(daily: DataFrame) -> DataFrame:
     return daily.crossJoin(stats).select(
         *daily.columns, flag(p > 0).alias("rainy_day"), flag(p == 0).alias("dry_day"),
         F.when(flag(p > 0), RAIN_LABEL).otherwise(DRY_LABEL).alias("rain_dry_type"),
-        round_abs(zt - zp).alias("weather_score_sunny"), round_abs(zp - zt).alias("weather_score_rainy"))
+        (zt - zp).alias("weather_score_sunny"), (zp - zt).alias("weather_score_rainy"))
 
 
 def strict_thresholds(weather: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def weather_benchmark(daily: DataFrame, min_days: int = MIN_WEATHER_GROUP_DAYS,
         *daily.columns,
         (good & ~bad).alias("good_weather"), (bad & ~good).alias("bad_weather"),
         label.alias("good_bad_weather_type"), label.isNotNull().alias("selected_weather_benchmark_day"),
-        round_abs(zt - zp).alias("weather_score_good"), round_abs(zp - zt).alias("weather_score_bad"),
+        (zt - zp).alias("weather_score_good"), (zp - zt).alias("weather_score_bad"),
         *extra,
     )
 

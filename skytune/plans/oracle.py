@@ -95,8 +95,8 @@ SELECT station, date, prcp, tsun FROM weather_station, sd_bounds
 WHERE date IS NOT NULL AND date BETWEEN d0 AND d1
 QUALIFY row_number() OVER (PARTITION BY station, date ORDER BY ordinal) = 1""")
 part("weather_daily", ("ws_first",), """
-SELECT date, CAST(sum(CAST(prcp AS DECIMAL(24, 10))) AS DOUBLE) / nullif(count(prcp), 0) AS prcp,
-       CAST(sum(CAST(tsun AS DECIMAL(24, 10))) AS DOUBLE) / nullif(count(tsun), 0) AS tsun
+SELECT date, avg(prcp) AS prcp,
+       avg(tsun) AS tsun
 FROM ws_first GROUP BY date""")
 part("calendar_days", ("sd_bounds",), """
 SELECT CAST(unnest(generate_series(d0, d1, INTERVAL 1 DAY)) AS DATE) AS date FROM sd_bounds""")

@@ -26,6 +26,11 @@ SONG_SHARE_LABEL = "aandeel sad songs"
 EARLY_HEAVY_RAIN_MM = 5.0
 
 
+def source_files(sf: str) -> tuple[str, ...]:
+    """The tables behind the day-grain tables."""
+    return tuple(f"{sf.rstrip('/')}/{t}.parquet" for t in ("lineitem", "part", "orders"))
+
+
 def songs(spark: SparkSession, sf: str) -> DataFrame:
     return X.song_day(spark, sf)
 
@@ -49,7 +54,7 @@ def final_daily(spark: SparkSession, sf: str) -> DataFrame:
 
     Materialized once per application (day grain, checkpointed)."""
     return materialize_once(spark, ("final_daily", sf), lambda: daily(spark, sf).join(
-        F.broadcast(weather_typed(spark, sf)), "date", "left"))
+        F.broadcast(weather_typed(spark, sf)), "date", "left"), source_files(sf))
 
 
 def main_metrics(df: DataFrame) -> DataFrame:
@@ -82,7 +87,7 @@ def analysis_daily(spark: SparkSession, sf: str, min_days: int = W.MIN_WEATHER_G
     def build():
         d = W.weather_benchmark(final_daily(spark, sf), min_days)
         return main_metrics(d).select("*", *calendar_fields("date"))
-    return materialize_once(spark, ("analysis_daily", sf, min_days), build)
+    return materialize_once(spark, ("analysis_daily", sf, min_days), build, source_files(sf))
 
 
 # Day attributes carried to song rows.
@@ -119,7 +124,7 @@ def early_final(spark: SparkSession, sf: str) -> DataFrame:
         return early_daily(spark, sf).join(F.broadcast(w), "date", "left").select(
             "*", F.when(p.isNotNull(), p > 0).alias("rainy_day"),
             F.when(p.isNotNull(), p > EARLY_HEAVY_RAIN_MM).alias("heavy_rain"))
-    return materialize_once(spark, ("early_final", sf), build)
+    return materialize_once(spark, ("early_final", sf), build, source_files(sf))
 
 
 def early_inner(spark: SparkSession, sf: str) -> DataFrame:

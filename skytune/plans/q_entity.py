@@ -63,7 +63,7 @@ def entity_day(spark, sf, entity):
     def build():
         days = P.analysis_daily(spark, sf).select("date", *DAY_ATTRS)
         return EN.entity_daily_shares(P.song_level(spark, sf), entity, days)
-    return materialize_once(spark, ("entity_day", sf, entity), build)
+    return materialize_once(spark, ("entity_day", sf, entity), build, P.source_files(sf))
 
 
 def entity_corr(spark, sf, entity):

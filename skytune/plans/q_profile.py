@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import os
 
 from pyspark.sql import functions as F
 
@@ -11,7 +10,7 @@ from ..operators import daily as D
 from ..operators import profile as PR
 from ..operators import stattests as S
 from ..operators.weather import BAD_WEATHER_LABEL as BAD, GOOD_WEATHER_LABEL as GOOD
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, fingerprint, remove_at_exit
 from ..sources import fixtures as X
 from ..sources.cache import DailyCache
 from . import pipelines as P
@@ -188,8 +187,10 @@ def significance_counts(spark, sf):
 # -- S5-S7: keyed daily cache ------------------------------------------------
 def _cache(spark, sf) -> DailyCache:
     root = ensure_checkpoint_dir(spark)
-    tag = hashlib.sha1(os.path.abspath(sf).encode()).hexdigest()[:12]
-    cache = DailyCache(spark, f"{root.rstrip('/')}/skytune-weather-cache-{tag}")
+    state = repr((spark.sparkContext.applicationId, fingerprint(spark, *P.source_files(sf))))
+    path = f"{root.rstrip('/')}/skytune-weather-cache-{hashlib.sha1(state.encode()).hexdigest()[:16]}"
+    remove_at_exit(spark, path)
+    cache = DailyCache(spark, path)
     readings = P.weather_calendar(spark, sf).where(F.col("prcp").isNotNull() | F.col("tsun").isNotNull())
     cache.append(readings)
     return cache

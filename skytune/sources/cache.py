@@ -7,18 +7,26 @@ filter that reaches the Parquet scan as a pushed predicate.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.dedup import keep_first
+from ..session import cut_lineage
+
 
 class DailyCache:
     def __init__(self, spark: SparkSession, path: str, key: str = "date"):
         self.spark, self.path, self.key = spark, path, key
 
     def _existing(self) -> DataFrame | None:
+        """The table, None only where there is none; any other failure of the
+        read is raised (an append must not take it for an empty table)."""
         try:
             return self.spark.read.parquet(self.path)
-        except Exception:  # noqa: BLE001 - no table written yet
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
 
     def read_range(self, start, end) -> DataFrame:
@@ -51,14 +59,15 @@ class DailyCache:
         return rows.select("rows", days.alias("days"), (F.col("rows") >= F.lit(min_ratio) * days).alias("complete"))
 
     def new_rows(self, df: DataFrame) -> DataFrame:
-        """S7 plan: rows of ``df`` whose key is not cached yet (first per key)."""
-        fresh = df.dropDuplicates([self.key])
+        """S7 plan: rows of ``df`` whose key is not cached yet (one per
+        key: the first in the order of the other columns)."""
+        fresh = keep_first(df.where(F.col(self.key).isNotNull()), [self.key], [c for c in df.columns if c != self.key] or [self.key])
         old = self._existing()
         return fresh if old is None else fresh.join(old.select(self.key), self.key, "left_anti")
 
     def append(self, df: DataFrame) -> int:
         """Append the new keys; returns how many rows were added."""
-        new = self.new_rows(df).checkpoint(eager=True)
+        new = cut_lineage(self.new_rows(df))
         n = new.count()
         if n:
             new.write.mode("append").parquet(self.path)

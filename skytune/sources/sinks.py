@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType
 
+from ..session import cut_lineage
+
 
 def iso_dates(df: DataFrame) -> DataFrame:
     """DATE columns as 'yyyy-MM-dd' text for CSV consumers."""
@@ -26,9 +28,9 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
 
 
 def write_many(df: DataFrame, targets: list[tuple[str, str]], mode: str = "overwrite") -> None:
-    """One result to several destinations; computed once (reliable
-    checkpoint in the shared folder), then written per target."""
-    done = df.checkpoint(eager=True)
+    """One result to several destinations; computed once (one table in the
+    shared folder), then written per target."""
+    done = cut_lineage(df)
     for fmt, path in targets:
         write_table(done, path, fmt, mode)
 

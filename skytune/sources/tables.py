@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import SPREAD
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table; Catalyst prunes columns and pushes filters."""
@@ -11,17 +13,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread the rows over the session's parallelism, but only when the scan
-    yields fewer input splits than that (a file written as one row group
-    cannot be split).  On a large input this is a no-op: no extra shuffle.
-
-    With ``keys`` the rows are hash-partitioned on them (deterministic on a
-    retry without the per-partition sort a round-robin needs)."""
-    try:
-        parallelism = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: leave the scan as is
-        return df
-    if splits < parallelism:
-        return df.repartition(parallelism, *keys) if keys else df.repartition(parallelism)
-    return df
+    """Rows hash-partitioned on ``keys`` if the session asks for it
+    (``session.SPREAD``, an explicit choice of tests and benches whose files
+    cannot be split); otherwise the scan as it is, at every size."""
+    parts = df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(parts), *keys) if parts else df
