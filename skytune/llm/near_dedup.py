@@ -119,8 +119,8 @@ def shingle_sets(batch: pa.RecordBatch, text: str = "text") -> tuple[np.ndarray,
     document and hash."""
     h, off = shingles(*C.texts_of(batch, text))
     doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
+    for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
+        h[a:b].sort()
     new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]) if len(h) else np.zeros(0, np.int64)
     return h[new], np.diff(np.append(new, len(h))), doc[new]
 
@@ -130,7 +130,13 @@ def document_frequency(h: np.ndarray, reply: pa.Table, n: int) -> np.ndarray:
     df = np.ones(len(sent), np.int64)
     at, v = C.read_reply(reply, sent, n)
     df[at] = v
-    return df[np.searchsorted(sent, h & ~np.uint64((1 << DROP_BITS) - 1))] if len(h) else np.zeros(0, np.int64)
+    if not len(h):
+        return df
+    order = np.argsort(h)              # the sent list is the distinct prefixes of these, in order
+    prefix = h[order] >> np.uint64(DROP_BITS)
+    out = np.empty(len(h), np.int64)
+    out[order] = df[np.cumsum(np.r_[False, prefix[1:] != prefix[:-1]])]
+    return out
 
 
 def idf(df: np.ndarray, docs: int, power: float) -> np.ndarray:
