@@ -36,8 +36,9 @@ def chart_filter(charts: DataFrame, country: str, order: list[str], max_rank: fl
     text and matching keys; keep-first per (date, rank, title key, artist key)."""
     vote = F.broadcast(date_order_vote(charts, "date_raw").select("slash_order"))
     c = charts.where(norm_text_key("country") == country.strip().lower())
-    chart_text = F.lower(F.col("chart").cast("string"))
-    c = c.where(flag(chart_text.contains("top") & chart_text.contains("200") & ~chart_text.contains("viral")))
+    if "chart" in c.columns:          # a source without that column holds one chart
+        chart_text = F.lower(F.col("chart").cast("string"))
+        c = c.where(flag(chart_text.contains("top") & chart_text.contains("200") & ~chart_text.contains("viral")))
     c = c.withColumn("rank", to_double("rank")).where(F.col("rank").between(1, max_rank))
     c = c.crossJoin(vote).withColumn("_ds", clean_raw_date("date_raw")) \
         .withColumn("date", normalize_date_text(F.col("_ds"), F.col("slash_order"), cleaned=True))
