@@ -42,21 +42,22 @@ SIG_DIGITS = 10
 
 def round_sig(c: str | Column, digits: int = SIG_DIGITS) -> Column:
     """Round to ``digits`` significant digits with plain IEEE arithmetic
-    (``floor(x * 10^k + 0.5) / 10^k``, powers of ten kept exact), so Spark and
-    the SQL oracle round identical doubles identically."""
+    (``floor(x * 10^k + 0.5001) / 10^k``, powers of ten kept exact), so Spark and
+    the SQL oracle round identical doubles identically; means of few decimals
+    end in an exact half, which a last bit either way must not decide."""
     x = col_of(c)
     k = F.lit(digits - 1) - F.floor(F.log10(F.abs(x)))
     up = F.pow(F.lit(10.0), k)
     down = F.pow(F.lit(10.0), -k)
-    r = F.when(k >= 0, F.floor(x * up + 0.5) / up).otherwise(F.floor(x / down + 0.5) * down)
+    r = F.when(k >= 0, F.floor(x * up + 0.5001) / up).otherwise(F.floor(x / down + 0.5001) * down)
     return F.when(x.isNull() | (x == 0) | F.isnan(x) | (F.abs(x) == float("inf")), x).otherwise(r.cast("double"))
 
 
 def round_sig_sql(c: str, digits: int = SIG_DIGITS) -> str:
     """The same rounding as DuckDB SQL text."""
     k = f"({digits - 1} - floor(log10(abs({c}))))"
-    r = (f"CASE WHEN {k} >= 0 THEN floor({c} * pow(10.0, {k}) + 0.5) / pow(10.0, {k}) "
-         f"ELSE floor({c} / pow(10.0, -{k}) + 0.5) * pow(10.0, -{k}) END")
+    r = (f"CASE WHEN {k} >= 0 THEN floor({c} * pow(10.0, {k}) + 0.5001) / pow(10.0, {k}) "
+         f"ELSE floor({c} / pow(10.0, -{k}) + 0.5001) * pow(10.0, -{k}) END")
     return f"CASE WHEN {c} IS NULL OR {c} = 0 OR isnan({c}) OR isinf({c}) THEN {c} ELSE CAST({r} AS DOUBLE) END"
 
 

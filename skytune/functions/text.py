@@ -1,13 +1,18 @@
 """Matching keys for titles, artists and track ids (pure Column expressions).
 
-Spark has no Unicode normaliser, so accent folding is a ``translate`` (plus a
-few ``replace`` calls for letters that decompose into two letters) whose map
-is *generated* from ``unicodedata`` by the NFKD-minus-combining-marks rule.
+Spark has no Unicode normaliser, so compatibility folding (NFKD, combining
+marks removed) is driven by a map *generated* from ``unicodedata`` over all
+code points.  Characters that fold to at most one character are one
+``translate``; those that fold to several (ligatures, fractions, units) are
+rare, so only texts that hold one go through a second step, a lookup per
+character in a literal map.
 """
 
 from __future__ import annotations
 
 import functools
+import re
+import sys
 import unicodedata
 
 from pyspark.sql import Column
@@ -15,11 +20,6 @@ from pyspark.sql import functions as F
 
 from .nulls import col_of
 
-# Code-point blocks whose letters carry diacritics (Latin-1 Supplement through
-# Latin Extended-B, and Latin Extended Additional) plus the combining marks.
-_FOLD_BLOCKS = ((0x00C0, 0x0250), (0x1E00, 0x1F00))
-_COMBINING = (0x0300, 0x0370)
-
 
 def _fold(ch: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
@@ -27,60 +27,70 @@ def _fold(ch: str) -> str:
 
 @functools.lru_cache(maxsize=1)
 def accent_fold_map() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """(matching, replacement, multi-letter pairs) derived by rule."""
-    src, dst, multi = [], [], []
-    for lo, hi in _FOLD_BLOCKS:
-        for cp in range(lo, hi):
-            ch = chr(cp)
-            folded = _fold(ch)
-            if folded == ch:
-                continue
-            if len(folded) == 1:
-                src.append(ch)
-                dst.append(folded)
-            else:
-                multi.append((ch, folded))
-    # combining marks have no counterpart in ``dst`` -> translate deletes them
-    deletions = [chr(cp) for cp in range(*_COMBINING)]
-    return "".join(src) + "".join(deletions), "".join(dst), tuple(multi)
+    """(matching, replacement, several-letter pairs) derived by rule: every
+    code point whose folded form is another text that holds an ASCII letter or
+    digit, and every combining mark (no counterpart: ``translate`` deletes it)."""
+    src, dst, several, marks = [], [], [], []
+    for cp in range(0x80, sys.maxunicode + 1):
+        ch = chr(cp)
+        if unicodedata.combining(ch):
+            marks.append(ch)
+            continue
+        folded = _fold(ch)
+        if folded == ch or not re.search("[A-Za-z0-9]", folded):
+            continue
+        if len(folded) == 1:
+            src.append(ch)
+            dst.append(folded)
+        else:
+            several.append((ch, folded))
+    return "".join(src + marks), "".join(dst), tuple(several)
+
+
+@functools.lru_cache(maxsize=1)
+def _several_class() -> str:
+    """Regex class of the characters that fold to several, as ranges."""
+    codes = sorted(ord(c) for c, _ in accent_fold_map()[2])
+    runs: list[list[int]] = []
+    for c in codes:
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in runs) + "]"
 
 
 def strip_accents(c: str | Column) -> Column:
-    """Accent folding (NFKD, combining marks removed)."""
+    """Compatibility folding (NFKD, combining marks removed)."""
     x = col_of(c)
-    matching, replacement, multi = accent_fold_map()
-    for ch, folded in multi:
-        x = F.replace(x, F.lit(ch), F.lit(folded))
-    return F.translate(x, matching, replacement)
+    matching, replacement, several = accent_fold_map()
+    table = F.str_to_map(F.lit("\x01".join(f"{ch}\x02{to}" for ch, to in several)), F.lit("\x01"), F.lit("\x02"))
+    spelled = F.array_join(F.transform(F.split(x, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")
+    return F.translate(F.when(F.rlike(x, F.lit(_several_class())), spelled).otherwise(x), matching, replacement)
 
 
 def _strip(x: Column) -> Column:
     return F.regexp_replace(x, r"^\s+|\s+$", "")
 
 
-def _drop_noise(x: Column) -> Column:
-    x = F.replace(x, F.lit("&"), F.lit(" and "))
-    x = F.regexp_replace(x, r"\(.*?\)", " ")
-    x = F.regexp_replace(x, r"\[.*?\]", " ")
-    x = F.regexp_replace(x, r"\bfeat\.?\b.*", " ")
-    x = F.regexp_replace(x, r"\bfeaturing\b.*", " ")
-    return F.regexp_replace(x, r"\bft\.?\b.*", " ")
+# Fixed patterns of the matching keys: what stands for nothing in a title or
+# artist, in the order of removal (each becomes a space).
+NOISE = (r"\(.*?\)", r"\[.*?\]", r"\bfeat\.?\b.*", r"\bfeaturing\b.*", r"\bft\.?\b.*")
+#: What is left over, and what it becomes, by variant of the key.
+REST = {
+    "standard": ((r"[^a-z0-9 ]+", " "), (r"\s+", " ")),
+    "compact": ((r"\s+", " "), (r"[^a-z0-9 ]+", "")),
+}
 
 
 def clean_key(c: str | Column, variant: str = "standard") -> Column:
     """Normalised title/artist key; NULL becomes ''.
 
-    ``variant="standard"``: symbols become spaces, then spaces are squeezed.
-    ``variant="compact"``: spaces are squeezed first and symbols deleted
-    (older cleaning order).
-    """
-    x = _drop_noise(strip_accents(_strip(F.lower(col_of(c)))))
-    if variant == "compact":
-        x = F.regexp_replace(x, r"\s+", " ")
-        x = F.regexp_replace(x, r"[^a-z0-9 ]+", "")
-    else:
-        x = F.regexp_replace(x, r"[^a-z0-9 ]+", " ")
-        x = F.regexp_replace(x, r"\s+", " ")
+    ``standard``: symbols become spaces, then spaces are squeezed.  ``compact``
+    (older order): spaces are squeezed first and symbols deleted."""
+    x = F.replace(strip_accents(_strip(F.lower(col_of(c)))), F.lit("&"), F.lit(" and "))
+    for pattern, by in [*((p, " ") for p in NOISE), *REST[variant]]:
+        x = F.regexp_replace(x, pattern, by)
     return F.coalesce(_strip(x), F.lit(""))
 
 
@@ -90,8 +100,12 @@ FIRST_ARTIST_SPLIT = r"\s*(?:,|;|/| x | and )\s*"
 
 def first_artist(c: str | Column, variant: str = "standard") -> Column:
     """Part of the cleaned artist key before the first separator."""
-    key = clean_key(c, variant)
-    return _strip(F.split(key, FIRST_ARTIST_SPLIT, 2).getItem(0))
+    return first_of_key(clean_key(c, variant))
+
+
+def first_of_key(key: str | Column) -> Column:
+    """X3 of a key that is cleaned already (a projected column)."""
+    return _strip(F.split(col_of(key), FIRST_ARTIST_SPLIT, 2).getItem(0))
 
 
 def first_artist_simple(c: str | Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import flag, safe_ratio
+from .ranks import exact_quantiles
 
 # Thresholds and labels of the authoritative version.
 SAD_THRESHOLD = 0.40
@@ -42,56 +43,82 @@ def sad_flag(valence: str = "valence", threshold: float = SAD_THRESHOLD,
     return flag(F.when(e.isNull(), low_v).otherwise(low_v & (e <= energy_threshold)))
 
 
-def song_flags(df: DataFrame, threshold: float = SAD_THRESHOLD) -> DataFrame:
-    """X11 flags on song rows: sad, low energy, depressive, top 50, top 20."""
-    return df.select(
-        "*",
-        rank_weight("rank").alias("rank_weight"),
-        sad_flag("valence", threshold).alias("sad_song"),
-        flag(F.col("energy") <= LOW_ENERGY_THRESHOLD).alias("low_energy_song"),
-        (sad_flag("valence", threshold) & flag(F.col("energy") <= LOW_ENERGY_THRESHOLD)).alias("depressive_song"),
-        flag(F.col("rank") <= 50).alias("top_50"),
-        flag(F.col("rank") <= 20).alias("top_20"),
-    )
+# ---- measures of a day -------------------------------------------------------
+#
+# A roll-up is declared: what is taken (rows, total, mean, ...), of which value,
+# under which condition.  Batch and streaming roll-ups are built from the same
+# lists; ratios are formed from the measures afterwards.
+
+_TAKE = {
+    "rows": lambda value, when: F.count_if(when),
+    "total": lambda value, when: F.sum(F.when(when, value).otherwise(F.lit(0.0))),
+    "mean": lambda value, when: F.avg(F.when(when, value)),
+    "spread": lambda value, when: F.stddev_samp(F.when(when, value)),
+    "least": lambda value, when: F.min(F.when(when, value)),
+    "most": lambda value, when: F.max(F.when(when, value)),
+}
+
+#: measure -> (take, value, condition) of the early stream path (G1).
+STREAM_MEASURES = {
+    **{f"{stat}_valence": (take, "valence", "known")
+       for stat, take in (("avg", "mean"), ("std", "spread"), ("min", "least"), ("max", "most"))},
+    **{f"{what}_count" if what == "sad_songs" else what: ("rows", None, when)
+       for what, when in (("song_rows", "any"), ("tracks_with_valence", "known"), ("sad_songs", "sad"))},
+    **{f"{when}": ("total", "streams", cond)
+       for when, cond in (("total_streams", "any"), ("streams_with_valence", "known"), ("sad_streams", "sad"))},
+    "valence_streams": ("total", "valence_streams", "known"),
+}
+#: ratio -> (part, whole); NULL unless the whole is positive.
+STREAM_RATIOS = {
+    "valence_coverage": ("tracks_with_valence", "song_rows"),
+    "share_sad_songs": ("sad_songs_count", "tracks_with_valence"),
+    "stream_coverage": ("streams_with_valence", "total_streams"),
+    "share_sad_streams": ("sad_streams", "streams_with_valence"),
+    "weighted_avg_valence": ("valence_streams", "streams_with_valence"),
+}
+
+
+def take_measures(measures: dict, values: dict[str, Column], conditions: dict[str, Column]) -> list[Column]:
+    """The aggregates of a list of measures, named."""
+    return [_TAKE[take](None if value is None else values[value], conditions[when]).alias(name)
+            for name, (take, value, when) in measures.items()]
+
+
+def form_ratios(day: DataFrame, ratios: dict[str, tuple[str, str]], helpers: tuple[str, ...] = ()) -> DataFrame:
+    """``day`` with its ratios, without the measures that only serve them."""
+    return day.withColumns({r: safe_ratio(*parts) for r, parts in ratios.items()}).drop(*helpers)
+
+
+def stream_rows(songs: DataFrame, negatives: str = "drop") -> DataFrame:
+    """The rows a stream roll-up counts: dated, with streams; negative streams
+    go (``drop``) or count as unknown (``null``)."""
+    rows = songs.select("date", "streams", "valence").where("date IS NOT NULL AND streams IS NOT NULL")
+    if negatives == "drop":
+        return rows.where("streams >= 0")
+    return rows.withColumn("streams", F.when(F.col("streams") >= 0, F.col("streams")))
 
 
-def daily_stream_metrics(songs: DataFrame, sad_threshold: float = SAD_THRESHOLD,
-                         inclusive: bool = False, negatives: str = "drop",
-                         median: str = "exact") -> DataFrame:
-    """G1 (early Spark path): stream metrics per day.
+def stream_measures(sad_threshold: float = SAD_THRESHOLD, inclusive: bool = False) -> list[Column]:
+    """G1's aggregates over ``stream_rows``."""
+    valence, streams = F.col("valence"), F.col("streams")
+    return take_measures(
+        STREAM_MEASURES, {"valence": valence, "streams": streams, "valence_streams": valence * streams},
+        {"any": F.lit(True), "known": valence.isNotNull(), "sad": sad_flag("valence", sad_threshold, inclusive)})
 
-    Input columns: date, streams, valence.  Rows without date or streams are
-    dropped; negative streams are dropped (``negatives="drop"``) or nulled.
-    """
-    s = songs.select("date", "streams", "valence").where(F.col("date").isNotNull() & F.col("streams").isNotNull())
-    if negatives == "drop":
-        s = s.where(F.col("streams") >= 0)
-    else:
-        s = s.withColumn("streams", F.when(F.col("streams") >= 0, F.col("streams")))
-    v, st = F.col("valence"), F.col("streams")
-    sad = flag(v <= sad_threshold if inclusive else v < sad_threshold)
-    med = (F.median(v) if median == "exact" else F.percentile_approx(v, 0.5)).alias("median_valence")
-    daily = s.groupBy("date").agg(
-        F.count(F.lit(1)).alias("song_rows"),
-        F.sum(st).alias("total_streams"),
-        F.count(v).alias("tracks_with_valence"),
-        F.sum(F.when(v.isNotNull(), st).otherwise(F.lit(0.0))).alias("streams_with_valence"),
-        F.sum(F.when(sad, st).otherwise(F.lit(0.0))).alias("sad_streams"),
-        F.count_if(sad).alias("sad_songs_count"),
-        F.avg(v).alias("avg_valence"), med,
-        F.stddev_samp(v).alias("std_valence"), F.min(v).alias("min_valence"), F.max(v).alias("max_valence"),
-        F.sum(F.when(v.isNotNull(), v * st).otherwise(F.lit(0.0))).alias("_wnum"),
-    )
-    return daily.select(
-        "date", "song_rows", "total_streams", "tracks_with_valence", "streams_with_valence",
-        "sad_streams", "sad_songs_count", "avg_valence", "median_valence", "std_valence",
-        "min_valence", "max_valence",
-        safe_ratio("tracks_with_valence", "song_rows").alias("valence_coverage"),
-        safe_ratio("streams_with_valence", "total_streams").alias("stream_coverage"),
-        safe_ratio("sad_streams", "streams_with_valence").alias("share_sad_streams"),
-        safe_ratio("sad_songs_count", "tracks_with_valence").alias("share_sad_songs"),
-        safe_ratio("_wnum", "streams_with_valence").alias("weighted_avg_valence"),
-    )
+
+def with_daily_median(day: DataFrame, songs: DataFrame, value: str, out: str) -> DataFrame:
+    """``day`` with the exact median of ``value`` per date, from counts of the
+    distinct values (``ranks.exact_quantiles``): no task holds a day's rows."""
+    median = exact_quantiles(songs.select("date", value).where(F.col("date").isNotNull()), ["date"], value, {out: 0.5})
+    return day.join(median, "date", "left")
+
+
+def daily_stream_metrics(songs: DataFrame, sad_threshold: float = SAD_THRESHOLD,
+                         inclusive: bool = False, negatives: str = "drop") -> DataFrame:
+    """G1 (early Spark path): stream metrics per day of (date, streams, valence)."""
+    rows = stream_rows(songs, negatives)
+    day = rows.groupBy("date").agg(*stream_measures(sad_threshold, inclusive))
+    return with_daily_median(form_ratios(day, STREAM_RATIOS, ("valence_streams",)), rows, "valence", "median_valence")
 
 
 def daily_totals_early(songs: DataFrame, sad_threshold: float = 0.35) -> DataFrame:
@@ -153,7 +180,7 @@ def daily_summary(songs: DataFrame, features: list[str] | None = None,
     aggs = [
         F.count("rank").alias("top200_rows"),
         F.count(v).alias("tracks_with_valence"),
-        F.avg(v).alias("avg_valence"), F.median(v).alias("median_valence"),
+        F.avg(v).alias("avg_valence"),
         F.stddev_samp(v).alias("std_valence"), F.min(v).alias("min_valence"), F.max(v).alias("max_valence"),
         F.count_if(v.isNotNull() & sad).alias("_sad_n"),
         F.sum(F.coalesce(F.col("streams"), F.lit(0.0))).alias("_stream_sum_all"),
@@ -169,6 +196,7 @@ def daily_summary(songs: DataFrame, features: list[str] | None = None,
     # day), never over song rows.
     has_streams = F.sum("_stream_sum_all").over(Window.partitionBy()) > 0
     per_day = per_day.withColumn("_has_streams", F.coalesce(has_streams, F.lit(False))).where(F.col("date").isNotNull())
+    per_day = with_daily_median(per_day, songs, "valence", "median_valence")
 
     used = F.col("tracks_with_valence") > 0
     hs = F.col("_has_streams")

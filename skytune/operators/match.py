@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import clean_raw_date, normalize_date_text, slash_votes, vote_label
 from ..functions.nulls import flag, to_double
-from ..functions.text import clean_key, first_artist, norm_text_key, track_id, uri_tail
+from ..functions.text import clean_key, first_artist, first_of_key, norm_text_key, track_id, uri_tail
+from ..session import cut_lineage
 from .dedup import keep_first
 
 # The ten audio features and the match-method labels.
@@ -43,11 +44,15 @@ def chart_filter(charts: DataFrame, country: str, order: list[str], max_rank: fl
     c = c.crossJoin(vote).withColumn("_ds", clean_raw_date("date_raw")) \
         .withColumn("date", normalize_date_text(F.col("_ds"), F.col("slash_order"), cleaned=True))
     c = c.where(F.col("date").isNotNull())
+    # each key is cleaned once, in a projection of its own; the first artist
+    # comes from the cleaned column
     keyed = c.select(
         "date", "rank", F.col("title").cast("string").alias("title"), F.col("artist").cast("string").alias("artist"),
         clean_key("title").alias("title_clean"), clean_key("artist").alias("artist_clean"),
-        first_artist("artist").alias("artist_first_clean"), track_id("url").alias("track_id"),
-        to_double("streams").alias("streams"), *order)
+        track_id("url").alias("track_id"), to_double("streams").alias("streams"), *order)
+    keyed = keyed.withColumn("artist_first_clean", first_of_key("artist_clean"))
+    keyed = keyed.select("date", "rank", "title", "artist", "title_clean", "artist_clean", "artist_first_clean",
+                         "track_id", "streams", *order)
     out = keep_first(keyed, ["date", "rank", "title_clean", "artist_clean"], order)
     return out.drop(*order)
 
@@ -59,12 +64,14 @@ def feature_lookups(features: DataFrame, order: list[str]) -> dict[str, DataFram
              for c in AUDIO_COLS]
     f = features.select(
         track_id("track_url").alias("track_id"), clean_key("track_name").alias("title_clean"),
-        clean_key("artists").alias("artist_clean"), first_artist("artists").alias("artist_first_clean"),
+        clean_key("artists").alias("artist_clean"),
         F.coalesce(F.col("track_name").cast("string"), F.lit("nan")).alias("feature_title"),
         F.coalesce(F.col("artists").cast("string"), F.lit("nan")).alias("feature_artists"),
         F.coalesce(F.lower(F.regexp_replace(F.col("track_genre").cast("string"), r"^\s+|\s+$", "")),
                    F.lit("nan")).alias("track_genre"),
         *audio, *order)
+    # cleaned once and stored: three lookups read it
+    f = cut_lineage(f).withColumn("artist_first_clean", first_of_key("artist_clean"))
     out = {}
     for method, keys in METHODS:
         ok = F.lit(True)
@@ -75,6 +82,13 @@ def feature_lookups(features: DataFrame, order: list[str]) -> dict[str, DataFram
     return out
 
 
+def spread_blanks(key: Column, *row: Column) -> Column:
+    """A missing or blank key matches nothing: as one of 1024 values that no
+    lookup holds, such rows do not all meet in one task of a join."""
+    other = F.concat(F.lit("\x00"), F.pmod(F.xxhash64(*row), F.lit(1024)).cast("string"))
+    return F.when(key.isNull() | (key == ""), other).otherwise(key)
+
+
 def cascade_match(charts: DataFrame, lookups: dict[str, DataFrame]) -> DataFrame:
     """Fill features by id, then title+artist, then title+first artist.
 
@@ -91,7 +105,7 @@ def cascade_match(charts: DataFrame, lookups: dict[str, DataFrame]) -> DataFrame
                               F.struct(F.lit(method).alias("merge_method"), *[F.col(x) for x in FEATURE_COLS])).alias(s))
         cond = None
         for k in keys:
-            e = c[k] == lk[f"_k{i}_{k}"]
+            e = spread_blanks(c[k], *[c[x] for x in charts.columns]) == lk[f"_k{i}_{k}"]
             cond = e if cond is None else cond & e
         c = c.join(lk, cond, "left").drop(*[f"_k{i}_{k}" for k in keys])
         structs.append(F.col(s))
@@ -112,8 +126,9 @@ def sql_style_match(charts: DataFrame, lookups: dict[str, DataFrame]) -> DataFra
     a = lookups["track_id"].select(F.col("track_id").alias("_id"), *[F.col(x).alias(f"_a_{x}") for x in SQL_MATCH_COLS])
     b = lookups["title_artist"].select(F.col("title_clean").alias("_t"), F.col("artist_clean").alias("_ar"),
                                        *[F.col(x).alias(f"_b_{x}") for x in SQL_MATCH_COLS])
-    j = charts.join(a, charts["track_id"] == a["_id"], "left") \
-        .join(b, (F.col("title_clean") == F.col("_t")) & (F.col("artist_clean") == F.col("_ar")), "left")
+    row = [charts[x] for x in charts.columns]
+    j = charts.join(a, spread_blanks(charts["track_id"], *row) == a["_id"], "left") \
+        .join(b, (spread_blanks(charts["title_clean"], *row) == F.col("_t")) & (F.col("artist_clean") == F.col("_ar")), "left")
     cols = [F.coalesce(F.col(f"_a_{x}"), F.col(f"_b_{x}")).alias(x) for x in SQL_MATCH_COLS if x != "track_genre"]
     genre = F.lower(F.regexp_replace(F.coalesce(F.col("_a_track_genre"), F.col("_b_track_genre"), F.lit("unknown")),
                                      r"^\s+|\s+$", "")).alias("track_genre")
@@ -124,23 +139,21 @@ def sql_style_match(charts: DataFrame, lookups: dict[str, DataFrame]) -> DataFra
 
 def popularity_enrich(final: DataFrame, popularity: DataFrame, uri_col: str, final_uri_col: str,
                       country_col: str | None = None, final_country_col: str | None = None) -> DataFrame:
-    """Mean of every numeric popularity column per uri (and
-    country when both sides have one), keyed by the URI tail; LEFT JOIN onto
-    ``final``; overlapping names get the suffix ``_pop``."""
+    """Mean of every numeric popularity column per URI tail (and
+    country when both sides have one); LEFT JOIN onto ``final``; overlapping
+    names get the suffix ``_pop``."""
     both_country = country_col is not None and final_country_col is not None
     numeric = [f.name for f in popularity.schema.fields
                if f.name not in (uri_col, country_col) and f.dataType.typeName() in ("double", "float", "long", "integer")]
-    groups = [uri_col] + (["_country_key"] if both_country else [])
-    p = popularity.where(F.col(uri_col).isNotNull())
-    if both_country:
-        p = p.withColumn("_country_key", norm_text_key(country_col))
-    agg = p.groupBy(*groups).agg(*[F.avg(c).alias(c) for c in numeric])
-    agg = agg.withColumn("_track_id", uri_tail(uri_col)).drop(uri_col)
-    f = final.withColumn("_track_id", uri_tail(final_uri_col))
+    # the right side is reduced to exactly the join keys: spellings of one
+    # track's URI share a tail, so no row of ``final`` is ever multiplied
+    keyed = popularity.where(F.col(uri_col).isNotNull()).withColumn("_track_id", uri_tail(uri_col))
+    left = final.withColumn("_track_id", uri_tail(final_uri_col))
     keys = ["_track_id"]
     if both_country:
-        f = f.withColumn("_country_key", norm_text_key(final_country_col))
+        keyed = keyed.withColumn("_country_key", norm_text_key(country_col))
+        left = left.withColumn("_country_key", norm_text_key(final_country_col))
         keys.append("_country_key")
-    overlap = set(final.columns) & set(numeric)
-    agg = agg.select(*keys, *[F.col(c).alias(f"{c}_pop" if c in overlap else c) for c in numeric])
-    return f.join(agg, keys, "left").drop(*keys)
+    clash = set(final.columns)
+    means = keyed.groupBy(*keys).agg(*[F.avg(c).alias(f"{c}_pop" if c in clash else c) for c in numeric])
+    return left.join(means, keys, "left").drop(*keys)

@@ -20,24 +20,24 @@ def average_rank(df: DataFrame, keys: list[str], value: str, out: str) -> DataFr
     return df.withColumn(out, F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
 
 
-def cumulative_counts(df: DataFrame, keys: list[str], value: str, buckets: int = 4096,
+def cumulative_counts(df: DataFrame, keys: list[str], value: str, buckets: int = 512,
                       keep_bucket: bool = False) -> DataFrame:
     """(keys, value, _n, _end): rows per distinct value and the 1-based
     position of its last row in value order, without a single-task window.
 
     1. collapse ties: ``groupBy(keys, value).count`` (map-side combined);
-    2. equal-width bucket from the exact min/max of each key;
+    2. bucket bounds per key are approximate quantiles of its distinct values
+       (mergeable sketches), so buckets hold about equally many whatever the
+       distribution - an outlier costs nothing;
     3. rows per bucket -> cumulative offset (<= ``buckets`` rows per key);
     4. running count inside each (key, bucket) window.
     A hot value collapses to one row in step 1, so skew cannot concentrate
-    rows in one task."""
+    rows in one task.  Positions are exact: bounds only cut the work."""
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    bounds = counts.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    span = F.col("_hi") - F.col("_lo")
-    bucket = F.when(span > 0, F.least(F.lit(buckets - 1),
-                                      F.floor(F.try_divide((F.col(value) - F.col("_lo")) * buckets, span))).cast("long")) \
-        .otherwise(F.lit(0).cast("long"))
-    binned = counts.join(bounds, keys).withColumn("_b", bucket).drop("_lo", "_hi")
+    cuts = F.percentile_approx(F.col(value), F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 20 * buckets)
+    bounds = counts.groupBy(*keys).agg(F.array_distinct(cuts).alias("_cuts"))
+    place = F.size(F.filter("_cuts", lambda c: c < F.col(value))).cast("long")
+    binned = counts.join(bounds, keys).withColumn("_b", F.coalesce(place, F.lit(0).cast("long"))).drop("_cuts")
     per_bucket = binned.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn"))
     offsets = per_bucket.withColumn(
         "_off", F.coalesce(F.sum("_bn").over(Window.partitionBy(*keys).orderBy("_b")
@@ -50,7 +50,7 @@ def cumulative_counts(df: DataFrame, keys: list[str], value: str, buckets: int =
 
 
 def average_rank_global(df: DataFrame, keys: list[str], value: str, out: str,
-                        buckets: int = 4096) -> DataFrame:
+                        buckets: int = 512) -> DataFrame:
     """Exact average ranks for row-grain data: rank = last position of the
     value - (ties - 1) / 2 (``cumulative_counts``), joined back on
     (keys, value)."""
@@ -60,11 +60,11 @@ def average_rank_global(df: DataFrame, keys: list[str], value: str, out: str,
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float],
-                    buckets: int = 4096) -> DataFrame:
+                    buckets: int = 512) -> DataFrame:
     """Exact linear-interpolation quantiles (``percentile`` semantics) per
     keys without holding a column's values in one buffer: the target
-    positions (a few per key) are broadcast against the distinct values with
-    their cumulative positions."""
+    positions (a few per key) are joined to the distinct values with their
+    cumulative positions."""
     d = df.where(F.col(value).isNotNull())
     cum = cumulative_counts(d, keys, value, buckets)
     total = cum.groupBy(*keys).agg(F.sum("_n").alias("_N"))
@@ -74,7 +74,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, fl
                              F.ceil("_h").cast("long").alias("_i1"))
     # 0-based position p lies in the value whose rows occupy (_end - _n, _end - 1]
     hit = lambda i: (F.col(i) >= F.col("_end") - F.col("_n")) & (F.col(i) <= F.col("_end") - 1)
-    j = cum.join(F.broadcast(targets), keys).where(hit("_i0") | hit("_i1"))
+    j = cum.join(targets, keys).where(hit("_i0") | hit("_i1"))
     picked = j.groupBy(*keys, "_q", "_h", "_i0").agg(
         F.max(F.when(hit("_i0"), F.col(value))).alias("_v0"), F.max(F.when(hit("_i1"), F.col(value))).alias("_v1"))
     res = picked.select(*keys, "_q", (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_h") - F.col("_i0"))).alias("_x"))

@@ -28,7 +28,8 @@ def trailing_mean(df: DataFrame, keys: list[str], order: str, value: str, rows:
 
 def top_bottom_k(df: DataFrame, family: list[str], label: str, score: str, k: int = 6,
                  salts: int = 64) -> DataFrame:
-    """ST3: k highest and k lowest ``score`` per family, de-duplicated by label.
+    """ST3: k highest and k lowest ``score`` per family, de-duplicated by label;
+    ``side`` is the sign of the score.
 
     Two phases so no task sorts a whole family: keep the top/bottom k inside
     each of ``salts`` hash groups of the label (the family's top k is always
@@ -42,7 +43,7 @@ def top_bottom_k(df: DataFrame, family: list[str], label: str, score: str, k: in
     lo = Window.partitionBy(*family).orderBy(F.col(score).asc(), F.col(label))
     d = d.withColumn("_hi", F.row_number().over(hi)).withColumn("_lo", F.row_number().over(lo))
     return d.where((F.col("_hi") <= k) | (F.col("_lo") <= k)).withColumn(
-        "side", F.when(F.col("_lo") <= k, "negative").otherwise("positive")).drop("_hi", "_lo")
+        "side", F.when(F.col(score) < 0, "negative").otherwise("positive")).drop("_hi", "_lo")
 
 
 def box_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:

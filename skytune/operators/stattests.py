@@ -118,11 +118,13 @@ def two_group_tests(df: DataFrame, keys: list[str], group_col: str, value: str,
            .withColumn("median_a", F.when(both, F.col("_meda"))).withColumn("median_b", F.when(both, F.col("_medb")))
            .withColumn("difference_a_minus_b", F.col("mean_a") - F.col("mean_b"))
            .withColumn("_se2", F.when(two, sa + sb))
-           .withColumn("welch_t", F.try_divide(F.col("difference_a_minus_b"), F.sqrt(F.nullif(F.col("_se2"), F.lit(0.0)))))
+           .withColumn("_flat", (F.col("_se2") == 0) & (F.col("difference_a_minus_b") != 0))
+           .withColumn("welch_t", F.when(F.col("_flat"), F.signum("difference_a_minus_b") * F.lit(float("inf"))).otherwise(
+               F.try_divide(F.col("difference_a_minus_b"), F.sqrt(F.nullif(F.col("_se2"), F.lit(0.0))))))
            .withColumn("_df", F.try_divide(F.col("_se2") * F.col("_se2"),
                                            sa * sa / (na - 1.0) + sb * sb / (nb - 1.0)))
-           .transform(lambda x: tails.with_t_two_sided(x, "welch_t", "_df", "_wp"))
-           .withColumn("welch_p", F.when(F.col("welch_t").isNotNull(), F.col("_wp")))
+           .transform(lambda x: tails.with_t_two_sided(x, "CASE WHEN NOT _flat THEN welch_t END", "_df", "_wp"))
+           .withColumn("welch_p", F.when(F.col("_flat"), F.lit(0.0)).when(F.col("welch_t").isNotNull(), F.col("_wp")))
            .withColumn("mannwhitney_u", F.when(two, F.col("_ra") - na * (na + 1.0) / 2.0))
            .withColumn("_n", na + nb)
            .withColumn("_sig", F.sqrt(na * nb / 12.0 * ((F.col("_n") + 1.0)
@@ -167,11 +169,13 @@ def anova_kruskal(df: DataFrame, keys: list[str], group_col: str, value: str) ->
     ok = F.col("_k") >= 2
     N = F.col("_N")
     out = (stats
-           .withColumn("anova_f", F.when(ok, F.try_divide(F.col("_ssb") / (F.col("_k") - 1.0),
+           # no variance inside the groups: infinite if their means differ
+           .withColumn("_flat", ok & (F.col("_ssw") == 0) & (F.col("_ssb") > 0))
+           .withColumn("anova_f", F.when(F.col("_flat"), F.lit(float("inf"))).when(ok, F.try_divide(F.col("_ssb") / (F.col("_k") - 1.0),
                                                             F.nullif(F.col("_ssw"), F.lit(0.0)) / (N - F.col("_k")))))
            .withColumn("_d1", F.col("_k") - 1.0).withColumn("_d2", N - F.col("_k"))
-           .transform(lambda x: tails.with_f_upper(x, "anova_f", "_d1", "_d2", "_ap"))
-           .withColumn("anova_p", F.when(F.col("anova_f").isNotNull(), F.col("_ap")))
+           .transform(lambda x: tails.with_f_upper(x, "CASE WHEN NOT _flat THEN anova_f END", "_d1", "_d2", "_ap"))
+           .withColumn("anova_p", F.when(F.col("_flat"), F.lit(0.0)).when(F.col("anova_f").isNotNull(), F.col("_ap")))
            .withColumn("_h0", 12.0 / (N * (N + 1.0)) * F.col("_r2n") - 3.0 * (N + 1.0))
            .withColumn("_c", F.lit(1.0) - F.try_divide(F.col("_ties"), N * N * N - N))
            .withColumn("kruskal_h", F.when(ok, F.try_divide(F.col("_h0"), F.nullif(F.col("_c"), F.lit(0.0)))))
@@ -181,7 +185,7 @@ def anova_kruskal(df: DataFrame, keys: list[str], group_col: str, value: str) ->
     return totals.join(res, keys, "left").select(*keys, "n_total", "groups", "anova_f", "anova_p", "kruskal_h", "kruskal_p")
 
 
-def bh_adjust(df: DataFrame, family: list[str], p_col: str, out_col: str, buckets: int = 1024) -> DataFrame:
+def bh_adjust(df: DataFrame, family: list[str], p_col: str, out_col: str, buckets: int = 512) -> DataFrame:
     """Benjamini-Hochberg within ``family`` (NULL p stay NULL).
 
     BH only depends on the distinct p values: with m tests and end(v) the
@@ -215,5 +219,8 @@ def bh_adjust(df: DataFrame, family: list[str], p_col: str, out_col: str, bucket
     cond = F.col(p_col) == F.col("_bhp")
     for i, c in enumerate(family):
         cond = cond & F.col(c).eqNullSafe(F.col(f"_bhk{i}"))
-    joined = df.join(adj, cond, "left")
-    return joined.select(*[F.col(c) for c in df.columns], F.col("_bha").alias(out_col))
+    # rows without a p value take no part in the join (they would all meet in
+    # one of its tasks)
+    joined = df.where(F.col(p_col).isNotNull()).join(adj, cond, "left")
+    return joined.select(*[F.col(c) for c in df.columns], F.col("_bha").alias(out_col)).unionByName(
+        df.where(F.col(p_col).isNull()).withColumn(out_col, F.lit(None).cast("double")))

@@ -38,9 +38,16 @@ def zsql(x: str, m: str, s: str) -> str:
 
 
 # -- daily summary (G2-G7) -------------------------------------------------
-part("sd_hs", ("song_day",), """
-SELECT coalesce(sum(coalesce(streams, 0.0)), 0) > 0 AS has_streams FROM song_day""")
-part("sd_base", ("song_day", "sd_hs"), """
+def daily(name: str, src: str, features) -> None:
+    """CTE ``{name}_daily``: the daily summary of the song rows in ``src``."""
+    per_feature = "\n       ".join(
+        f"avg({f}) FILTER (WHERE valence IS NOT NULL) AS avg_{f}, "
+        f"sum({f} * w) FILTER (WHERE valence IS NOT NULL AND {f} IS NOT NULL AND w > 0) AS {f}_num, "
+        f"sum(w) FILTER (WHERE valence IS NOT NULL AND {f} IS NOT NULL AND w > 0) AS {f}_den," for f in features)
+    weighted = " ".join(f"avg_{f}, {f}_num / nullif({f}_den, 0) AS weighted_avg_{f}," for f in features)
+    part(f"{name}_hs", (src,), f"""
+SELECT coalesce(sum(coalesce(streams, 0.0)), 0) > 0 AS has_streams FROM {src}""")
+    part(f"{name}_base", (src, f"{name}_hs"), f"""
 SELECT s.*, has_streams,
        CASE WHEN streams >= 0 THEN streams END AS s_nn,
        CASE WHEN rank IS NOT NULL THEN greatest(201.0 - rank, 1.0) END AS rw,
@@ -48,8 +55,8 @@ SELECT s.*, has_streams,
        coalesce(energy <= 0.50, false) AS low,
        CASE WHEN has_streams THEN (CASE WHEN streams >= 0 THEN streams END)
             ELSE (CASE WHEN rank IS NOT NULL THEN greatest(201.0 - rank, 1.0) END) END AS w
-FROM song_day s, sd_hs""")
-part("sd_agg", ("sd_base",), """
+FROM {src} s, {name}_hs""")
+    part(f"{name}_agg", (f"{name}_base",), f"""
 SELECT date, count(rank) AS top200_rows, count(valence) AS tracks_with_valence,
        avg(valence) AS avg_valence, median(valence) AS median_valence, stddev_samp(valence) AS std_valence,
        min(valence) AS min_valence, max(valence) AS max_valence,
@@ -60,13 +67,11 @@ SELECT date, count(rank) AS top200_rows, count(valence) AS tracks_with_valence,
        sum(w) FILTER (WHERE valence IS NOT NULL AND w > 0 AND low) AS w_low,
        sum(w) FILTER (WHERE valence IS NOT NULL AND w > 0 AND sad AND low) AS w_dep,
        sum(w) FILTER (WHERE valence IS NOT NULL) AS w_total,
-       avg(energy) FILTER (WHERE valence IS NOT NULL) AS avg_energy,
-       sum(energy * w) FILTER (WHERE valence IS NOT NULL AND energy IS NOT NULL AND w > 0) AS e_num,
-       sum(w) FILTER (WHERE valence IS NOT NULL AND energy IS NOT NULL AND w > 0) AS e_den,
+       {per_feature}
        sum(s_nn) FILTER (WHERE valence IS NOT NULL) AS ts, sum(s_nn) FILTER (WHERE valence IS NOT NULL AND sad) AS ss,
        bool_or(has_streams) AS hs
-FROM sd_base WHERE date IS NOT NULL GROUP BY date""")
-part("daily_summary", ("sd_agg",), """
+FROM {name}_base WHERE date IS NOT NULL GROUP BY date""")
+    part(f"{name}_daily", (f"{name}_agg",), f"""
 SELECT date, top200_rows, tracks_with_valence,
        CASE WHEN top200_rows > 0 THEN tracks_with_valence / top200_rows END AS valence_coverage,
        avg_valence, median_valence, std_valence, min_valence, max_valence,
@@ -78,7 +83,7 @@ SELECT date, top200_rows, tracks_with_valence,
        w_dep / nullif(den, 0) AS weighted_share_depressive,
        CASE WHEN tracks_with_valence > 0 THEN coalesce(w_total, 0.0) END AS analysis_weight_total,
        CASE WHEN tracks_with_valence > 0 THEN (CASE WHEN hs THEN 'streams' ELSE 'rank_weight' END) END AS weight_source,
-       avg_energy, e_num / nullif(e_den, 0) AS weighted_avg_energy,
+       {weighted}
        CASE WHEN tracks_with_valence > 0 AND hs THEN coalesce(ts, 0.0) END AS total_streams,
        CASE WHEN tracks_with_valence > 0 AND hs THEN coalesce(ss, 0.0) END AS sad_streams,
        CASE WHEN tracks_with_valence > 0 AND hs AND coalesce(ts, 0.0) > 0 THEN coalesce(ss, 0.0) / ts END AS share_sad_streams,
@@ -86,7 +91,11 @@ SELECT date, top200_rows, tracks_with_valence,
                                                    ELSE w_sad / nullif(den, 0) END) END AS main_sad_share_metric,
        CASE WHEN tracks_with_valence > 0 THEN (CASE WHEN hs THEN 'streamgewogen aandeel sad songs'
                                                    ELSE 'rankgewogen aandeel sad songs' END) END AS main_sad_share_label
-FROM sd_agg""")
+FROM {name}_agg""")
+
+
+daily("sd", "song_day", ("energy",))
+part("daily_summary", ("sd_daily",), "SELECT * FROM sd_daily")
 
 # -- weather calendar (F6 F14 G9 J6) and types (X12-X14 X19) ---------------
 part("sd_bounds", ("song_day",), "SELECT min(date) AS d0, max(date) AS d1 FROM song_day")
@@ -275,7 +284,8 @@ SELECT *, CASE WHEN n_a > 0 AND n_b > 0 THEN ma END AS mean_a, CASE WHEN n_a > 0
 FROM {name}_a""")
     part(f"{name}_c", (f"{name}_b",), f"""
 SELECT *, mean_a - mean_b AS difference_a_minus_b,
-       (mean_a - mean_b) / sqrt(nullif(se2, 0)) AS welch_t,
+       CASE WHEN se2 = 0 AND mean_a <> mean_b THEN sign(mean_a - mean_b) * CAST('Infinity' AS DOUBLE)
+            ELSE (mean_a - mean_b) / sqrt(nullif(se2, 0)) END AS welch_t,
        se2 * se2 / nullif((va / n_a) * (va / n_a) / (n_a - 1.0) + (vb / n_b) * (vb / n_b) / (n_b - 1.0), 0) AS dfw,
        (abs(mannwhitney_u - n_a * n_b / 2.0) - 0.5)
          / nullif(sqrt(n_a * n_b / 12.0 * ((n_a + n_b + 1.0) - ties / nullif((n_a + n_b) * (n_a + n_b - 1.0), 0))), 0) AS z
@@ -286,7 +296,7 @@ SELECT {_k(keys, 'k.')}, c.* EXCLUDE ({K}, n_a, n_b), coalesce(c.n_a, 0) AS n_a,
 FROM {name}_keys k LEFT JOIN {name}_c c ON {' AND '.join(f'k.{c} = c.{c}' for c in keys)}""")
     part(name, (f"{name}_ck",), f"""
 SELECT {K}, '{a}' AS group_a, '{b}' AS group_b, n_a, n_b, mean_a, mean_b, median_a, median_b, difference_a_minus_b,
-       welch_t, CASE WHEN welch_t IS NOT NULL THEN {_T.t_two_sided_sql('welch_t', 'dfw', 'duckdb')} END AS welch_p,
+       welch_t, CASE WHEN isinf(welch_t) THEN 0.0 WHEN welch_t IS NOT NULL THEN {_T.t_two_sided_sql('welch_t', 'dfw', 'duckdb')} END AS welch_p,
        mannwhitney_u,
        CASE WHEN z <= 0 THEN 1.0 WHEN z IS NOT NULL THEN {_T.norm_two_sided_sql('z', 'duckdb')} END AS mannwhitney_p,
        CASE WHEN n_a >= 2 AND n_b >= 2 AND pooled > 0 THEN difference_a_minus_b / pooled END AS cohens_d
@@ -315,12 +325,13 @@ SELECT {_k(keys, 'g.')}, CAST(count(*) AS DOUBLE) AS k, sum(_n) AS nn, sum(_n *
 FROM {name}_g g LEFT JOIN {name}_t t ON {' AND '.join(f'g.{c} = t.{c}' for c in keys)} GROUP BY {_k(keys, 'g.')}""")
     part(f"{name}_b", (f"{name}_a",), f"""
 SELECT {K}, k - 1.0 AS d1, nn - k AS d2,
-       CASE WHEN k >= 2 THEN (ssb / (k - 1.0)) / (nullif(ssw, 0) / (nn - k)) END AS anova_f,
+       CASE WHEN k >= 2 AND ssw = 0 AND ssb > 0 THEN CAST('Infinity' AS DOUBLE)
+            WHEN k >= 2 THEN (ssb / (k - 1.0)) / (nullif(ssw, 0) / (nn - k)) END AS anova_f,
        CASE WHEN k >= 2 THEN (12.0 / (nn * (nn + 1.0)) * r2n - 3.0 * (nn + 1.0)) / nullif(1.0 - ties / (nn * nn * nn - nn), 0) END AS kruskal_h
 FROM {name}_a""")
     part(name, (f"{name}_tot", f"{name}_b"), f"""
 SELECT {_k(keys, 't.')}, t.n_total, t.groups, b.anova_f,
-       CASE WHEN b.anova_f IS NOT NULL THEN {_T.f_upper_sql('b.anova_f', 'b.d1', 'b.d2', 'duckdb')} END AS anova_p,
+       CASE WHEN isinf(b.anova_f) THEN 0.0 WHEN b.anova_f IS NOT NULL THEN {_T.f_upper_sql('b.anova_f', 'b.d1', 'b.d2', 'duckdb')} END AS anova_p,
        b.kruskal_h,
        CASE WHEN b.kruskal_h IS NOT NULL THEN {_T.chi2_upper_sql('b.kruskal_h', 'b.d1', 'duckdb')} END AS kruskal_p
 FROM {name}_tot t LEFT JOIN {name}_b b ON {' AND '.join(f't.{c} = b.{c}' for c in keys)}""")

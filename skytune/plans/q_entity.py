@@ -109,7 +109,7 @@ def entity_corr_artist(spark, sf):
 
 
 @query("entity_topk", O.build("""
-SELECT track_genre, weather_var, pearson_r, CASE WHEN lo <= 6 THEN 'negative' ELSE 'positive' END AS side FROM (
+SELECT track_genre, weather_var, pearson_r, CASE WHEN pearson_r < 0 THEN 'negative' ELSE 'positive' END AS side FROM (
   SELECT *, row_number() OVER (PARTITION BY weather_var ORDER BY pearson_r DESC, track_genre) AS hi,
             row_number() OVER (PARTITION BY weather_var ORDER BY pearson_r ASC, track_genre) AS lo
   FROM ent_corr_track_genre WHERE pearson_r IS NOT NULL) WHERE hi <= 6 OR lo <= 6""", "ent_corr_track_genre"))

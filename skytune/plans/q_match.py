@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as DT
 from ..functions import text as TX
+from ..operators import daily as D
 from ..operators import match as M
+from ..session import cut_lineage
 from ..sources import fixtures as X
 from .catalog import O, query
 
@@ -224,8 +226,51 @@ def sql_match(spark, sf):
 @query("popularity_enrich", O.build(f"""
 SELECT f.* EXCLUDE (tid), p.rank, p.streams FROM (SELECT *, {uri_tail_sql('track_url')} AS tid FROM features_raw) f
 LEFT JOIN (SELECT {uri_tail_sql('url')} AS tid, avg(rank) AS rank, avg(streams) AS streams
-           FROM charts_raw WHERE url IS NOT NULL GROUP BY url) p ON f.tid = p.tid""", "features_raw", "charts_raw"))
+           FROM charts_raw WHERE url IS NOT NULL GROUP BY 1) p ON f.tid = p.tid""", "features_raw", "charts_raw"))
 def popularity_enrich(spark, sf):
     """Per-URI means of the chart numbers joined to the lookup by URI tail."""
     pop = X.charts_raw(spark, sf).select("url", "country", "rank", "streams")
     return M.popularity_enrich(X.features_raw(spark, sf), pop, "url", "track_url")
+
+
+@query("popularity_by_country", O.build(f"""
+SELECT s.*, p.streams AS streams_pop, p.price FROM (
+  SELECT track_id, 'Home' AS market, sum(streams) AS streams FROM chart_f WHERE track_id IS NOT NULL GROUP BY track_id) s
+LEFT JOIN (SELECT tid, country_key, avg(streams) AS streams, avg(price) AS price FROM (
+             SELECT {uri_tail_sql('url')} AS tid, lower({_strip('country')}) AS country_key, streams, price FROM charts_raw WHERE url IS NOT NULL
+             UNION ALL
+             SELECT {uri_tail_sql("replace(url, 'spotify:track:', 'https://open.spotify.com/track/') || '/'")}, lower({_strip('country')}), streams * 2, price
+             FROM charts_raw WHERE url IS NOT NULL) GROUP BY 1, 2) p
+  ON s.track_id = p.tid AND lower(s.market) = p.country_key""", "chart_f", "charts_raw"))
+def popularity_by_country(spark, sf):
+    """Composite key (URI tail, country), two spellings of each URI, a column on both sides."""
+    raw = X.charts_raw(spark, sf).select("url", "country", "streams", "price")
+    web = raw.select(F.concat(F.replace(F.col("url"), F.lit("spotify:track:"), F.lit("https://open.spotify.com/track/")), F.lit("/")).alias("url"),
+                     "country", (F.col("streams") * 2).alias("streams"), "price")
+    songs = charts_filtered(spark, sf).where(F.col("track_id").isNotNull()).groupBy("track_id").agg(
+        F.lit("Home").alias("market"), F.sum("streams").alias("streams"))
+    return M.popularity_enrich(songs, raw.unionByName(web), "url", "track_id", "country", "market")
+
+
+# -- E1: filter -> cascade -> daily summary --------------------------------------
+O.part("matched_songs", ("cascade",), "SELECT * EXCLUDE (date), TRY_CAST(date AS DATE) AS date FROM cascade")
+O.daily("matched", "matched_songs", M.AUDIO_COLS[1:])
+
+
+@query("matched_daily_summary", O.build("SELECT * FROM matched_daily", "matched_daily"))
+def matched_daily_summary(spark, sf):
+    """The daily summary of the matched chart rows (filter -> cascade -> per day)."""
+    songs = cascade(spark, sf).withColumn("date", DT.to_date_lenient("date"))
+    return D.daily_summary(cut_lineage(songs.select("date", "rank", "streams", *M.AUDIO_COLS)))
+
+
+# -- G6: no streams at all -> rank weights ---------------------------------------
+O.part("unstreamed_songs", ("song_day",), "SELECT * EXCLUDE (streams), CAST(NULL AS DOUBLE) AS streams FROM song_day")
+O.daily("unstreamed", "unstreamed_songs", ("energy",))
+
+
+@query("rank_weight_summary", O.build("SELECT * FROM unstreamed_daily", "unstreamed_daily"))
+def rank_weight_summary(spark, sf):
+    """The daily summary of a chart without stream numbers (rank weights)."""
+    songs = X.song_day(spark, sf).withColumn("streams", F.lit(None).cast("double"))
+    return D.daily_summary(songs, ["energy"])

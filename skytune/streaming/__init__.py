@@ -7,6 +7,6 @@ metrics (G1) up to date with Structured Streaming state instead of re-reading
 history.  Exact medians need the whole day and stay batch-only.
 """
 
-from .daily import daily_stream, start_daily_stream
+from .daily import current_days, daily_stream, start_daily_stream
 
-__all__ = ["daily_stream", "start_daily_stream"]
+__all__ = ["current_days", "daily_stream", "start_daily_stream"]
