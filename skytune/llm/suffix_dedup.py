@@ -118,14 +118,28 @@ def _owner(pos: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.searchsorted(off, pos, side="right") - 1
 
 
+def spread(h: np.ndarray) -> np.ndarray:
+    """Anchors have the least hashes of their windows, so these crowd at the
+    lower end; mixed again they fill all buckets alike."""
+    return _mix(h, 0x9FB21C651E98DF25)
+
+
 def doc_anchor_hashes(batch: pa.RecordBatch) -> np.ndarray:
     """One hash for each document and distinct gram at its anchors."""
     raw, off = C.texts_of(batch)
     pos, h = anchors(raw, off)
-    doc = _owner(pos, off)
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
-    return h[np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]] if len(h) else h
+    return _distinct_by_doc(spread(h), np.searchsorted(pos, off))
+
+
+def _distinct_by_doc(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    if not len(h):
+        return h
+    h, new = h.copy(), np.ones(len(h), bool)
+    for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
+        h[a:b].sort()
+    new[1:] = h[1:] != h[:-1]
+    new[off[:-1][off[:-1] < off[1:]]] = True
+    return h[new]
 
 
 # ---- sorting ---------------------------------------------------------------
@@ -171,7 +185,8 @@ class Records:
         self.raw, self.off = raw, off
         pos, h = anchors(raw, off)
         doc = _owner(pos, off)
-        sent, _ = C.sent_list(doc_anchor_hashes(batch), DROP_BITS)
+        h = spread(h)
+        sent, _ = C.sent_list(_distinct_by_doc(h, np.searchsorted(pos, off)), DROP_BITS)
         at, _ = C.read_reply(reply, sent, n)
         shared = np.zeros(len(sent), bool)
         shared[at] = True
@@ -239,6 +254,18 @@ def judge_part(rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
+def merged(start: np.ndarray, end: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of overlapping or touching spans within a document:
+    (document, start, end), in order."""
+    if not len(start):
+        return (np.zeros(0, np.int64),) * 3
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate(end[order])
+    doc = _owner(start, off)
+    first = np.flatnonzero(np.r_[True, (start[1:] > end[:-1]) | (doc[1:] != doc[:-1])])
+    return doc[first], start[first], end[np.append(first[1:], len(start)) - 1]
+
+
 # ---- the operator ------------------------------------------------------------
 
 def _splitters(chunks: DataFrame, parts: int) -> np.ndarray:
@@ -327,11 +354,6 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         m = mask[r.klass] if len(mask) else np.zeros(0, np.uint32)
         if len(m):
             m = np.where(r.ids > r.lowest[r.klass], WHOLE, m)
-        edge = np.zeros(len(r.raw) + 1, np.int64)
-
-        def cover(start, end):
-            edge[:] += np.bincount(start, minlength=len(edge)) - np.bincount(end, minlength=len(edge))
-
         from_o = np.maximum(0, SPAN - r.right)
         w = np.flatnonzero((m & WHOLE) != 0)
         w = w[r.left[w] >= from_o[w]]
@@ -342,18 +364,19 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
             at = r.pos[some[(m[some] >> np.uint32(o)) & np.uint32(1) == 1]] - o
             starts.append(at)
             ends.append(at + SPAN)
-        cover(np.concatenate(starts), np.concatenate(ends))
-        gone = np.cumsum(edge[:-1]) > 0
         off = r.off
-        opens = gone.copy()
-        opens[1:] &= ~gone[:-1]
-        inside = off[:-1][(off[:-1] < off[1:])]
-        opens[inside] = gone[inside]
-        total_gone, total_open = np.r_[0, np.cumsum(gone)], np.r_[0, np.cumsum(opens)]
-        kept = [r.raw[a:b][~gone[a:b]].tobytes() if total_gone[b] > total_gone[a] else r.raw[a:b].tobytes()
-                for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
-        return pa.table([batch.column("doc_id"), pa.array(np.diff(off)), pa.array(np.diff(total_gone[off])),
-                         pa.array(np.diff(total_open[off])), pa.array(kept, pa.binary())],
-                        names=target.names).cast(target)
+        doc, begin, end = merged(np.concatenate(starts), np.concatenate(ends), off)
+        removed = np.bincount(doc, weights=end - begin, minlength=len(off) - 1).astype(np.int64)
+        spans = np.bincount(doc, minlength=len(off) - 1)
+        kept, at = [], 0
+        for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
+            pieces = []
+            for j in range(at, at + spans[i]):
+                pieces.append(r.raw[a:begin[j]])
+                a = end[j]
+            at += spans[i]
+            kept.append(b"".join(p.tobytes() for p in [*pieces, r.raw[a:b]]))
+        return pa.table([batch.column("doc_id"), pa.array(np.diff(off)), pa.array(removed), pa.array(spans),
+                         pa.array(kept, pa.binary())], names=target.names).cast(target)
 
     return C.answer(chunks, both, cut, schema)
