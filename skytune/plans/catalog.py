@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.nulls import SIG_DIGITS, round_abs, round_doubles, round_sig_sql
+from ..functions.nulls import SIG_DIGITS, round_abs, round_abs_sql, round_doubles, round_sig_sql
 from . import oracle as O
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -27,12 +27,17 @@ MODULES = ("q_daily", "q_weather", "q_analysis", "q_entity", "q_match", "q_profi
 _SCHEMA_FILE = os.path.join(os.path.dirname(__file__), "report_doubles.json")
 
 
+def _near_zero(column: str) -> bool:
+    """Differences of z-scores and correlations cancel to noise near zero: such
+    columns are compared at 1e-10."""
+    return column.startswith("weather_score_") or any(x in column for x in ("pearson_r", "pearson_correlation", "spearman_rho", "abs_best_corr"))
+
+
 def query(name: str, sql: str | None):
     def deco(fn: QueryFn) -> QueryFn:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             out = fn(spark, sf_dir)
-            # differences of z-scores cancel to noise near zero: compared at 1e-10
-            out = out.withColumns({c: round_abs(c) for c in out.columns if c.startswith("weather_score_")})
+            out = out.withColumns({c: round_abs(c) for c in out.columns if _near_zero(c)})
             return round_doubles(out, DIGITS)
         run.__name__ = name
         run.__doc__ = fn.__doc__
@@ -64,7 +69,8 @@ def oracle_sql() -> dict[str, str]:
     for name, sql in _SQL.items():
         cols = dbl.get(name, [])
         if cols:
-            rep = ", ".join(f'{round_sig_sql(chr(34) + c + chr(34), DIGITS)} AS "{c}"' for c in cols)
+            quoted = {c: f'"{c}"' for c in cols}
+            rep = ", ".join(f'{round_sig_sql(round_abs_sql(q) if _near_zero(c) else q, DIGITS)} AS {q}' for c, q in quoted.items())
             out[name] = f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) q"
         else:
             out[name] = sql

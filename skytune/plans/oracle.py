@@ -94,7 +94,9 @@ SELECT date, top200_rows, tracks_with_valence,
 FROM {name}_agg""")
 
 
-daily("sd", "song_day", ("energy",))
+# The audio features of a song but its valence.
+AUDIO = ("energy", "danceability", "speechiness", "tempo", "acousticness", "instrumentalness", "liveness", "loudness", "popularity")
+daily("sd", "song_day", AUDIO)
 part("daily_summary", ("sd_daily",), "SELECT * FROM sd_daily")
 
 # -- weather calendar (F6 F14 G9 J6) and types (X12-X14 X19) ---------------
@@ -130,41 +132,46 @@ part("final_daily", ("daily_summary", "weather_typed"), """
 SELECT d.*, w.* EXCLUDE (date) FROM daily_summary d LEFT JOIN weather_typed w ON d.date = w.date""")
 
 # -- adaptive benchmark (X16) and main metrics (P12) -----------------------
-part("bq", ("final_daily",), """
+def benchmark(name: str, src: str, min_days: int = 20) -> None:
+    """CTE ``name``: X16 over the daily rows of ``src``; ``{name}_th`` has the thresholds."""
+    part(f"{name}_q", (src,), f"""
 SELECT greatest(1.0, coalesce(quantile_cont(prcp, 0.67), 1.0)) AS pbad_s,
        greatest(0.5, coalesce(quantile_cont(prcp, 0.50), 0.5)) AS pbad_r,
        quantile_cont(tsun, 0.33) AS qt33, quantile_cont(tsun, 0.50) AS qt50, quantile_cont(tsun, 0.67) AS qt67,
        coalesce(min(tsun) < max(tsun), false) AS tsun_ok,
        avg(prcp) AS mp, stddev_samp(prcp) AS sp, avg(tsun) AS mt, stddev_samp(tsun) AS st
-FROM final_daily""")
-part("bcount", ("final_daily", "bq"), """
+FROM {src}""")
+    part(f"{name}_count", (src, f"{name}_q"), f"""
 SELECT count(*) FILTER (WHERE coalesce(prcp <= 0.2 AND tsun >= qt67, false)) AS ng,
        count(*) FILTER (WHERE coalesce(prcp >= pbad_s AND tsun <= qt33, false)) AS nb
-FROM final_daily, bq""")
-part("bth", ("bq", "bcount"), """
-SELECT CASE WHEN NOT tsun_ok THEN 'prcp_only_fallback' WHEN ng >= 20 AND nb >= 20 THEN 'strict_prcp_and_tsun'
+FROM {src}, {name}_q""")
+    part(f"{name}_th", (f"{name}_q", f"{name}_count"), f"""
+SELECT CASE WHEN NOT tsun_ok THEN 'prcp_only_fallback' WHEN ng >= {min_days} AND nb >= {min_days} THEN 'strict_prcp_and_tsun'
             ELSE 'relaxed_prcp_and_tsun_due_to_low_n' END AS benchmark_version,
        0.2 AS prcp_good_max,
-       CASE WHEN NOT tsun_ok OR (ng >= 20 AND nb >= 20) THEN pbad_s ELSE pbad_r END AS prcp_bad_min,
-       CASE WHEN NOT tsun_ok THEN NULL WHEN ng >= 20 AND nb >= 20 THEN qt67 ELSE qt50 END AS tsun_good_min,
-       CASE WHEN NOT tsun_ok THEN NULL WHEN ng >= 20 AND nb >= 20 THEN qt33 ELSE qt50 END AS tsun_bad_max,
+       CASE WHEN NOT tsun_ok OR (ng >= {min_days} AND nb >= {min_days}) THEN pbad_s ELSE pbad_r END AS prcp_bad_min,
+       CASE WHEN NOT tsun_ok THEN NULL WHEN ng >= {min_days} AND nb >= {min_days} THEN qt67 ELSE qt50 END AS tsun_good_min,
+       CASE WHEN NOT tsun_ok THEN NULL WHEN ng >= {min_days} AND nb >= {min_days} THEN qt33 ELSE qt50 END AS tsun_bad_max,
        mp, sp, mt, st
-FROM bq, bcount""")
-part("bflags", ("final_daily", "bth"), """
+FROM {name}_q, {name}_count""")
+    part(f"{name}_flags", (src, f"{name}_th"), f"""
 SELECT f.*, benchmark_version, prcp_good_max, prcp_bad_min, tsun_good_min, tsun_bad_max, mp, sp, mt, st,
        coalesce(CASE WHEN benchmark_version = 'prcp_only_fallback' THEN prcp <= prcp_good_max
                      ELSE prcp <= prcp_good_max AND tsun >= tsun_good_min END, false) AS g_,
        coalesce(CASE WHEN benchmark_version = 'prcp_only_fallback' THEN prcp >= prcp_bad_min
                      ELSE prcp >= prcp_bad_min AND tsun <= tsun_bad_max END, false) AS b_
-FROM final_daily f, bth""")
-part("benchmarked", ("bflags",), f"""
+FROM {src} f, {name}_th""")
+    part(name, (f"{name}_flags",), f"""
 SELECT * EXCLUDE (g_, b_, mp, sp, mt, st, benchmark_version, prcp_good_max, prcp_bad_min, tsun_good_min, tsun_bad_max),
        g_ AND NOT b_ AS good_weather, b_ AND NOT g_ AS bad_weather,
        CASE WHEN g_ AND NOT b_ THEN 'Zonnig/goed weer' WHEN b_ AND NOT g_ THEN 'Regenachtig/slecht weer' END AS good_bad_weather_type,
        (g_ AND NOT b_) OR (b_ AND NOT g_) AS selected_weather_benchmark_day,
        {round_abs_sql(zsql('tsun', 'mt', 'st') + ' - ' + zsql('prcp', 'mp', 'sp'))} AS weather_score_good,
        {round_abs_sql(zsql('prcp', 'mp', 'sp') + ' - ' + zsql('tsun', 'mt', 'st'))} AS weather_score_bad
-FROM bflags""")
+FROM {name}_flags""")
+
+
+benchmark("benchmarked", "final_daily")
 part("mm", ("benchmarked",), """
 SELECT count(weighted_avg_valence) AS nw, count(main_sad_share_metric) AS nm,
        count(share_sad_streams) AS nss, count(weighted_share_sad) AS nws FROM benchmarked""")

@@ -30,12 +30,6 @@ EARLY_PAIRS = (("share_sad_streams", "prcp"), ("share_sad_streams", "tsun"),
                ("sad_streams", "prcp"), ("sad_streams", "tsun"))
 MATRIX_COLS = ("main_avg_valence_metric", "main_sad_share_metric", "prcp", "tsun")
 
-# The fixture's daily table carries valence and energy features only.
-FIXTURE_FEATURES = tuple((f, c) for f, c in DAILY_FEATURES if c in ("weighted_avg_valence", "weighted_avg_energy"))
-FIXTURE_BOX = tuple((lab, c) for lab, c in BOX_METRICS
-                    if c not in ("weighted_avg_danceability", "weighted_avg_speechiness"))
-
-
 def _union(selects: list[str]) -> str:
     return "\nUNION ALL\n".join(selects)
 
@@ -182,7 +176,7 @@ def season_tests(spark, sf):
 # -- T15 G23: audio features vs weather, BH over all pairs ------------------
 O.part("feat_long", ("analysis_daily",), _union([
     f"SELECT '{f}' AS feature, '{c}' AS feature_col, '{w}' AS weather_var, CAST({w} AS DOUBLE) AS x, "
-    f"CAST({c} AS DOUBLE) AS y FROM analysis_daily" for f, c in FIXTURE_FEATURES for w in WEATHER_VARS]))
+    f"CAST({c} AS DOUBLE) AS y FROM analysis_daily" for f, c in DAILY_FEATURES for w in WEATHER_VARS]))
 O.corr_tests("feat_ct", "feat_long", ["feature", "feature_col", "weather_var"], "x", "y", min_n=10)
 O.bh("feat_bh", "feat_ct", [], [("pearson_p", "pearson_p_adj_bh"), ("spearman_p", "spearman_p_adj_bh")])
 O.part("feat_corr", ("feat_bh",), f"""
@@ -193,7 +187,7 @@ SELECT *, {O.conclusion_sql('pearson_p', 'pearson_p_adj_bh')} AS pearson_conclus
 FROM feat_bh""")
 
 
-def feature_corr(spark, sf, features=FIXTURE_FEATURES):
+def feature_corr(spark, sf, features=DAILY_FEATURES):
     d = P.analysis_daily(spark, sf)
     long = R.long_of(d, [], [{"feature": f, "feature_col": c, "weather_var": w, "x": F.col(w).cast("double"),
                               "y": F.col(c).cast("double")} for f, c in features for w in WEATHER_VARS])
@@ -226,7 +220,7 @@ def feature_strength(spark, sf):
 # -- T16: feature good/bad tests, BH over features --------------------------
 O.part("featg_long", ("analysis_daily",), _union([
     f"SELECT '{f}' AS feature, '{c}' AS feature_col, good_bad_weather_type AS g, CAST({c} AS DOUBLE) AS v FROM analysis_daily"
-    for f, c in FIXTURE_FEATURES]))
+    for f, c in DAILY_FEATURES]))
 O.two_group("featg_tg", "featg_long", ["feature", "feature_col"], "g", "v", BAD, GOOD)
 O.bh("featg_bh", "featg_tg", [], [("welch_p", "welch_p_adj_bh"), ("mannwhitney_p", "mannwhitney_p_adj_bh")])
 
@@ -240,7 +234,7 @@ def feature_group_tests(spark, sf):
     """Features bad vs good weather, BH over features per test."""
     d = P.analysis_daily(spark, sf)
     long = R.long_of(d, [], [{"feature": f, "feature_col": c, "g": F.col("good_bad_weather_type"),
-                              "v": F.col(c).cast("double")} for f, c in FIXTURE_FEATURES])
+                              "v": F.col(c).cast("double")} for f, c in DAILY_FEATURES])
     t = S.two_group_tests(long, ["feature", "feature_col"], "g", "v", BAD, GOOD)
     t = S.bh_adjust(S.bh_adjust(t, [], "welch_p", "welch_p_adj_bh"), [], "mannwhitney_p", "mannwhitney_p_adj_bh")
     wc = S.conclusion(F.col("welch_p"), F.col("welch_p_adj_bh"))
@@ -253,13 +247,13 @@ def feature_group_tests(spark, sf):
 O.part("box_long", ("analysis_daily",), _union([
     f"SELECT strftime(date, '%Y-%m-%d') AS date, good_bad_weather_type, '{lab}' AS metric_label, '{c}' AS metric_col, "
     f"CAST({c} AS DOUBLE) AS value, prcp, tsun FROM analysis_daily "
-    f"WHERE {c} IS NOT NULL AND good_bad_weather_type IS NOT NULL" for lab, c in FIXTURE_BOX]))
+    f"WHERE {c} IS NOT NULL AND good_bad_weather_type IS NOT NULL" for lab, c in BOX_METRICS]))
 
 
 def box_long(spark, sf):
     d = P.analysis_daily(spark, sf).where(F.col("good_bad_weather_type").isNotNull())
     long = R.long_of(d, ["date", "good_bad_weather_type", "prcp", "tsun"],
-                     [{"metric_label": lab, "metric_col": c, "value": F.col(c).cast("double")} for lab, c in FIXTURE_BOX])
+                     [{"metric_label": lab, "metric_col": c, "value": F.col(c).cast("double")} for lab, c in BOX_METRICS])
     return long.where(F.col("value").isNotNull()).select(
         F.date_format("date", "yyyy-MM-dd").alias("date"), "good_bad_weather_type", "metric_label", "metric_col",
         "value", "prcp", "tsun")

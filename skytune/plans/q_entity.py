@@ -8,17 +8,19 @@ from pyspark.sql import functions as F
 from ..operators import entity as EN
 from ..operators import reshape as R
 from ..operators import stattests as S
+from ..functions.nulls import flag
+from ..operators.daily import AUDIO_FEATURES, LOW_ENERGY_THRESHOLD, sad_flag
 from ..operators.weather import STRICT_RAINY, STRICT_SUNNY
 from . import pipelines as P
 from ..session import cut_lineage, materialize_once
 from .catalog import O, query
 
 WEATHER_VARS = ("prcp", "tsun")
-SONG_FEATURES = ("valence", "energy")  # the fixture's song-level features
+SONG_FEATURES = ("valence", *AUDIO_FEATURES)
 DAY_ATTRS = ("prcp", "tsun", "good_bad_weather_type", "selected_weather_benchmark_day", "season", "year", "month")
 
-O.part("sw_base", ("sd_base",), """
-SELECT date, rank, valence, energy, has_streams,
+O.part("sw_base", ("sd_base",), f"""
+SELECT date, rank, valence, {', '.join(AUDIO_FEATURES)}, has_streams,
        CASE WHEN has_streams THEN s_nn ELSE streams END AS streams,
        CASE WHEN has_streams THEN s_nn ELSE rw END AS analysis_weight,
        lower(regexp_replace(genre, '^\\s+|\\s+$', '', 'g')) AS track_genre,
@@ -200,3 +202,23 @@ def feature_rank_corr(spark, sf):
     return out.select("*", *[F.coalesce(F.col(p + "_adj_bh") < 0.05, F.lit(False)).alias(n) for p, n in (
         ("spearman_p_with_rank", "significant_rank_005"), ("spearman_p_with_weight", "significant_weight_005"),
         ("top50_vs_rest_welch_p", "significant_top50_005"))])
+
+
+# -- J8 X11: song rows with the attributes of their day ------------------------------
+_CARRIED = ", ".join(f"a.{c}" for c in P.SONG_WEATHER_COLS)
+
+
+@query("song_weather", O.build(f"""
+SELECT s.date, s.rank, s.valence, s.streams, s.analysis_weight, s.track_genre, s.artist_first, s.top_50,
+       coalesce(s.rank <= 20, false) AS top_20, coalesce(s.valence <= 0.40, false) AS sad_song,
+       coalesce(s.energy <= 0.50, false) AS low_energy_song,
+       coalesce(CASE WHEN s.energy IS NULL THEN s.valence <= 0.40 ELSE s.valence <= 0.40 AND s.energy <= 0.50 END, false) AS sad_by_energy,
+       {_CARRIED}
+FROM sw_base s LEFT JOIN analysis_daily a ON s.date = a.date""", "sw_base", "analysis_daily"))
+def song_weather(spark, sf):
+    """Song rows with sad, low-energy, top 50 / top 20 flags and their day's weather."""
+    s = P.song_weather(spark, sf)
+    return s.select("date", "rank", "valence", "streams", "analysis_weight", "track_genre", "artist_first", "top_50",
+                    flag(F.col("rank") <= 20).alias("top_20"), sad_flag().alias("sad_song"),
+                    flag(F.col("energy") <= LOW_ENERGY_THRESHOLD).alias("low_energy_song"),
+                    sad_flag(energy="energy").alias("sad_by_energy"), *P.SONG_WEATHER_COLS)

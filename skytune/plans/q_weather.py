@@ -44,13 +44,13 @@ def weather_benchmark(spark, sf):
 
 
 @query("benchmark_thresholds", O.build("""
-SELECT 'prcp_good_max' AS parameter, prcp_good_max AS value, NULL::VARCHAR AS label, 'Maximum neerslag voor zonnig/goed weer' AS meaning FROM bth
-UNION ALL SELECT 'prcp_bad_min', prcp_bad_min, NULL, 'Minimum neerslag voor regenachtig/slecht weer' FROM bth
-UNION ALL SELECT 'tsun_good_min', tsun_good_min, NULL, 'Minimum zonneschijn voor zonnig/goed weer' FROM bth
-UNION ALL SELECT 'tsun_bad_max', tsun_bad_max, NULL, 'Maximum zonneschijn voor regenachtig/slecht weer' FROM bth
+SELECT 'prcp_good_max' AS parameter, prcp_good_max AS value, NULL::VARCHAR AS label, 'Maximum neerslag voor zonnig/goed weer' AS meaning FROM benchmarked_th
+UNION ALL SELECT 'prcp_bad_min', prcp_bad_min, NULL, 'Minimum neerslag voor regenachtig/slecht weer' FROM benchmarked_th
+UNION ALL SELECT 'tsun_good_min', tsun_good_min, NULL, 'Minimum zonneschijn voor zonnig/goed weer' FROM benchmarked_th
+UNION ALL SELECT 'tsun_bad_max', tsun_bad_max, NULL, 'Maximum zonneschijn voor regenachtig/slecht weer' FROM benchmarked_th
 UNION ALL SELECT 'n_good_weather_days', CAST(count(*) FILTER (WHERE good_weather) AS DOUBLE), NULL, 'Aantal geselecteerde zonnige/goede dagen' FROM benchmarked
 UNION ALL SELECT 'n_bad_weather_days', CAST(count(*) FILTER (WHERE bad_weather) AS DOUBLE), NULL, 'Aantal geselecteerde regenachtige/slechte dagen' FROM benchmarked
-UNION ALL SELECT 'benchmark_version', NULL, benchmark_version, 'Gebruikte definitie' FROM bth""", "bth", "benchmarked"))
+UNION ALL SELECT 'benchmark_version', NULL, benchmark_version, 'Gebruikte definitie' FROM benchmarked_th""", "benchmarked_th", "benchmarked"))
 def benchmark_thresholds(spark, sf):
     """P11 over X16: the seven-row threshold table (numbers in value, version in label)."""
     return W.benchmark_thresholds(P.final_daily(spark, sf))
@@ -134,3 +134,31 @@ def extreme_summary(spark, sf):
 
     return g.select("*", diff("gemiddelde_valence").alias("verschil_valence"),
                     diff("gemiddelde_sad_share").alias("verschil_sad_share"))
+
+
+# -- X16: the branches that the fixture's days do not reach -----------------------
+O.benchmark("relaxed", "final_daily", 10 ** 6)
+
+
+@query("weather_benchmark_relaxed", O.build("SELECT * FROM relaxed", "relaxed"))
+def weather_benchmark_relaxed(spark, sf):
+    """X16 relaxed: more days asked for than the strict rule finds."""
+    return W.weather_benchmark(P.final_daily(spark, sf), 10 ** 6)
+
+
+O.part("sunless", ("final_daily",), "SELECT * REPLACE (CAST(NULL AS DOUBLE) AS tsun) FROM final_daily")
+O.benchmark("rain_only", "sunless")
+
+
+@query("weather_benchmark_rain_only", O.build("SELECT * FROM rain_only", "rain_only"))
+def weather_benchmark_rain_only(spark, sf):
+    """X16 fallback: no sunshine numbers, rain alone decides."""
+    return W.weather_benchmark(P.final_daily(spark, sf).withColumn("tsun", F.lit(None).cast("double")))
+
+
+@query("weather_flags_light_rain", O.build("""
+SELECT date, prcp, tsun, prcp > 0 AS rainy_day, prcp > 5.0 AS heavy_rain, prcp <= 0.2 AS dry_day FROM weather_cal""", "weather_cal"))
+def weather_flags_light_rain(spark, sf):
+    """Tri-state flags, heavy rain above 5 mm, dry up to 0.2 mm."""
+    return W.weather_types(P.weather_calendar(spark, sf), heavy_inclusive=False, dry_rule="le02", unknown_as_false=False).select(
+        "date", "prcp", "tsun", "rainy_day", "heavy_rain", "dry_day")

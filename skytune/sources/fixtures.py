@@ -20,6 +20,15 @@ from pyspark.sql import functions as F
 from .tables import spread, table
 
 
+#: Audio numbers of the fixture's songs: name, key, modulus, divisor, base, and
+#: the key whose multiples of 17 have none.
+MORE_AUDIO = (
+    ("speechiness", "l_suppkey", 83, 82.0, 0.0, "l_partkey"), ("tempo", "l_partkey", 121, 1.0, 60.0, "l_suppkey"),
+    ("acousticness", "l_partkey", 97, 96.0, 0.0, "l_orderkey"), ("instrumentalness", "l_orderkey", 89, 88.0, 0.0, "l_partkey"),
+    ("liveness", "l_suppkey", 71, 70.0, 0.0, "l_orderkey"), ("popularity", "l_orderkey", 101, 1.0, 0.0, "l_suppkey"),
+)
+
+
 def song_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     p = table(spark, sf_dir, "part")
@@ -32,6 +41,10 @@ def song_day(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_brand").alias("artist"),
         F.when(F.col("l_partkey") % 11 != 0, F.col("l_discount") * 10).alias("valence"),
         F.when(F.col("l_partkey") % 13 != 0, F.col("l_tax") * 12.5).alias("energy"),
+        (F.col("p_size") / 50.0).cast("double").alias("danceability"),
+        *[F.when(F.col(gap) % 17 != 0, (F.col(key) % n).cast("double") / d + b).alias(name)
+          for name, key, n, d, b, gap in MORE_AUDIO],
+        ((F.col("p_retailprice") - 900) / 100.0).alias("loudness"),
     )
 
 
@@ -109,7 +122,10 @@ song_day AS (
   SELECT CAST(l_shipdate AS DATE) AS date, l_quantity AS rank, l_extendedprice AS streams,
          p_type AS genre, p_brand AS artist,
          CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE l_discount * 10 END AS valence,
-         CASE WHEN l_partkey % 13 = 0 THEN NULL ELSE l_tax * 12.5 END AS energy
+         CASE WHEN l_partkey % 13 = 0 THEN NULL ELSE l_tax * 12.5 END AS energy,
+         CAST(p_size / 50.0 AS DOUBLE) AS danceability, (p_retailprice - 900) / 100.0 AS loudness,
+         """ + ",\n         ".join(f"CASE WHEN {gap} % 17 = 0 THEN NULL ELSE CAST({key} % {n} AS DOUBLE) / {d} + {b} END AS {name}"
+                                   for name, key, n, d, b, gap in MORE_AUDIO) + """
   FROM lineitem JOIN part ON l_partkey = p_partkey)""",
     "weather_station": """
 weather_station AS (
