@@ -34,7 +34,7 @@ def cumulative_counts(df: DataFrame, keys: list[str], value: str, buckets: int =
     A hot value collapses to one row in step 1, so skew cannot concentrate
     rows in one task.  Positions are exact: bounds only cut the work."""
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    cuts = F.percentile_approx(F.col(value), F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 20 * buckets)
+    cuts = F.percentile_approx(F.col(value), F.expr(f"array({', '.join(f'{i / buckets}D' for i in range(1, buckets))})"), 20 * buckets)
     bounds = counts.groupBy(*keys).agg(F.array_distinct(cuts).alias("_cuts"))
     place = F.size(F.filter("_cuts", lambda c: c < F.col(value))).cast("long")
     binned = counts.join(bounds, keys).withColumn("_b", F.coalesce(place, F.lit(0).cast("long"))).drop("_cuts")

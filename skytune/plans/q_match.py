@@ -17,6 +17,12 @@ from .catalog import O, query
 COUNTRY = "home"
 CHART_ORDER = ["ordinal", "suppkey", "price"]
 FEATURE_ORDER = ["ordinal"]
+# Fixed patterns of the oracle, written out here so that it does not follow a
+# change of the operators' own.
+YMD = r"^(\d{4})[/-](\d{1,2})[/-](\d{1,2})$"
+DMY = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})$"
+ARTIST_SPLIT = r"\s*(?:,|;|/| x | and )\s*"
+ID_PATTERNS = (r"open\.spotify\.com/track/([A-Za-z0-9]{22})", r"spotify:track:([A-Za-z0-9]{22})", r"\b([A-Za-z0-9]{22})\b")
 WS = r"'^\s+|\s+$'"
 
 
@@ -37,11 +43,11 @@ def clean_key_sql(x: str, variant: str = "standard") -> str:
 
 
 def first_artist_sql(x: str, variant: str = "standard") -> str:
-    return _strip(f"regexp_split_to_array({clean_key_sql(x, variant)}, '{TX.FIRST_ARTIST_SPLIT}')[1]")
+    return _strip(f"regexp_split_to_array({clean_key_sql(x, variant)}, '{ARTIST_SPLIT}')[1]")
 
 
 def track_id_sql(x: str) -> str:
-    return "coalesce(" + ", ".join(f"nullif(regexp_extract({x}, '{p}', 1), '')" for p in TX.TRACK_ID_PATTERNS) + ")"
+    return "coalesce(" + ", ".join(f"nullif(regexp_extract({x}, '{p}', 1), '')" for p in ID_PATTERNS) + ")"
 
 
 def uri_tail_sql(x: str) -> str:
@@ -62,10 +68,10 @@ def _iso_sql(y, m, d):
 def normalize_date_sql(s: str, order: str) -> str:
     def g(rx, i):
         return f"TRY_CAST(regexp_extract({s}, '{rx}', {i}) AS INTEGER)"
-    ymd = _iso_sql(g(DT.YMD, 1), g(DT.YMD, 2), g(DT.YMD, 3))
-    a, b, y = g(DT.DMY, 1), g(DT.DMY, 2), g(DT.DMY, 3)
-    return (f"CASE WHEN regexp_matches({s}, '{DT.YMD}') THEN {ymd} "
-            f"WHEN regexp_matches({s}, '{DT.DMY}') THEN (CASE WHEN {order} = 'dayfirst' THEN {_iso_sql(y, b, a)} "
+    ymd = _iso_sql(g(YMD, 1), g(YMD, 2), g(YMD, 3))
+    a, b, y = g(DMY, 1), g(DMY, 2), g(DMY, 3)
+    return (f"CASE WHEN regexp_matches({s}, '{YMD}') THEN {ymd} "
+            f"WHEN regexp_matches({s}, '{DMY}') THEN (CASE WHEN {order} = 'dayfirst' THEN {_iso_sql(y, b, a)} "
             f"ELSE {_iso_sql(y, a, b)} END) END")
 
 
@@ -107,10 +113,10 @@ def track_ids(spark, sf):
 O.part("cr_clean", ("charts_raw",), f"""
 SELECT ordinal, suppkey, price, date_raw, {clean_date_sql('date_raw')} AS s FROM charts_raw""")
 O.part("cr_vote", ("cr_clean",), f"""
-SELECT count(*) FILTER (WHERE regexp_matches(s, '{DT.DMY}') AND TRY_CAST(regexp_extract(s, '{DT.DMY}', 1) AS INTEGER) > 12
-                        AND TRY_CAST(regexp_extract(s, '{DT.DMY}', 2) AS INTEGER) <= 12) AS dayfirst_votes,
-       count(*) FILTER (WHERE regexp_matches(s, '{DT.DMY}') AND TRY_CAST(regexp_extract(s, '{DT.DMY}', 2) AS INTEGER) > 12
-                        AND TRY_CAST(regexp_extract(s, '{DT.DMY}', 1) AS INTEGER) <= 12) AS monthfirst_votes
+SELECT count(*) FILTER (WHERE regexp_matches(s, '{DMY}') AND TRY_CAST(regexp_extract(s, '{DMY}', 1) AS INTEGER) > 12
+                        AND TRY_CAST(regexp_extract(s, '{DMY}', 2) AS INTEGER) <= 12) AS dayfirst_votes,
+       count(*) FILTER (WHERE regexp_matches(s, '{DMY}') AND TRY_CAST(regexp_extract(s, '{DMY}', 2) AS INTEGER) > 12
+                        AND TRY_CAST(regexp_extract(s, '{DMY}', 1) AS INTEGER) <= 12) AS monthfirst_votes
 FROM cr_clean""")
 O.part("cr_order", ("cr_vote",), """
 SELECT *, CASE WHEN dayfirst_votes >= monthfirst_votes THEN 'dayfirst' ELSE 'monthfirst' END AS slash_order FROM cr_vote""")

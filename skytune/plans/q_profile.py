@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 from pyspark.sql import functions as F
@@ -87,28 +88,34 @@ def dataset_profile(spark, sf):
 
 
 # -- T21 G24: significance ledger ------------------------------------------
+# Names of the analyses and of their tests.
+ANALYSES = {
+    "main": "01_main_valence_and_sad_share_vs_weather", "season": "02_seasons_vs_valence",
+    "genre": "03_genre_vs_weather_prcp_tsun", "artist": "04_artists_vs_weather_prcp_tsun",
+    "audio": "05_06_07_audiofeatures_vs_weather_prcp_tsun", "box": "08_good_vs_bad_weather_boxplots",
+}
+CORRELATIONS = (("Pearson correlation", "pearson_r", "pearson_p"), ("Spearman correlation", "spearman_rho", "spearman_p"))
+TWO_GROUPS = (("Welch t-test", "welch_t", "welch_p"), ("Mann-Whitney U", "mannwhitney_u", "mannwhitney_p"))
+SEASONS = (("One-way ANOVA", "anova_f", "anova_p"), ("Kruskal-Wallis", "kruskal_h", "kruskal_p"))
+CORRECTED = " + BH correction"
+
+
 def _ledger_sql() -> str:
-    a1, a2 = "01_main_valence_and_sad_share_vs_weather", "02_seasons_vs_valence"
-    a3, a4 = "03_genre_vs_weather_prcp_tsun", "04_artists_vs_weather_prcp_tsun"
-    a5, a8 = "05_06_07_audiofeatures_vs_weather_prcp_tsun", "08_good_vs_bad_weather_boxplots"
-    parts = []
-    for test, stat, p in (("Pearson correlation", "pearson_r", "pearson_p"), ("Spearman correlation", "spearman_rho", "spearman_p")):
-        parts.append(f"SELECT '{a1}' AS analysis, '{test}' AS test, metric_label AS variable, metric_label || ' vs ' || weather_var AS comparison, "
-                     f"n, {stat} AS statistic, {p} AS p_value, NULL::DOUBLE AS p_adjusted FROM main_ct")
-    for test, stat, p in (("Welch t-test", "welch_t", "welch_p"), ("Mann-Whitney U", "mannwhitney_u", "mannwhitney_p")):
-        parts.append(f"SELECT '{a1}', '{test}', metric_label, '{BAD} vs {GOOD}', n_a + n_b, {stat}, {p}, NULL FROM main_tg")
-    for test, stat, p in (("One-way ANOVA", "anova_f", "anova_p"), ("Kruskal-Wallis", "kruskal_h", "kruskal_p")):
-        parts.append(f"SELECT '{a2}', '{test}', metric_label, 'season groups', n_total, {stat}, {p}, NULL FROM season_av")
-    for a, e in ((a3, "track_genre"), (a4, "artist_first")):
-        for test, stat, p in (("Pearson correlation + BH correction", "pearson_r", "pearson_p"),
-                              ("Spearman correlation + BH correction", "spearman_rho", "spearman_p")):
-            parts.append(f"SELECT '{a}', '{test}', {e}, 'entity_share vs ' || weather_var, n_days, {stat}, {p}, {p}_adj_bh FROM ent_corr_{e}")
-    for test, stat, p in (("Pearson correlation + BH correction", "pearson_r", "pearson_p"),
-                          ("Spearman correlation + BH correction", "spearman_rho", "spearman_p")):
-        parts.append(f"SELECT '{a5}', '{test}', feature, feature || ' vs ' || weather_var, n, {stat}, {p}, {p}_adj_bh FROM feat_corr")
-    parts.append(f"SELECT '{a5}', 'Welch t-test + BH correction', feature, '{BAD} vs {GOOD}', n_a + n_b, welch_t, welch_p, welch_p_adj_bh FROM featg_bh")
-    parts.append(f"SELECT '{a8}', 'Welch t-test', metric_label, '{BAD} vs {GOOD}', n_a + n_b, welch_t, welch_p, NULL FROM box_tg")
-    return "\nUNION ALL\n".join(parts)
+    """A select for each (source, test); the Spark side emits all tests of a
+    source from one pass."""
+    sources = [  # analysis, table, variable, comparison, n, tests, corrected
+        ("main", "main_ct", "metric_label", "metric_label || ' vs ' || weather_var", "n", CORRELATIONS, False),
+        ("main", "main_tg", "metric_label", f"'{BAD} vs {GOOD}'", "n_a + n_b", TWO_GROUPS, False),
+        ("season", "season_av", "metric_label", "'season groups'", "n_total", SEASONS, False),
+        ("genre", "ent_corr_track_genre", "track_genre", "'entity_share vs ' || weather_var", "n_days", CORRELATIONS, True),
+        ("artist", "ent_corr_artist_first", "artist_first", "'entity_share vs ' || weather_var", "n_days", CORRELATIONS, True),
+        ("audio", "feat_corr", "feature", "feature || ' vs ' || weather_var", "n", CORRELATIONS, True),
+        ("audio", "featg_bh", "feature", f"'{BAD} vs {GOOD}'", "n_a + n_b", TWO_GROUPS[:1], True),
+        ("box", "box_tg", "metric_label", f"'{BAD} vs {GOOD}'", "n_a + n_b", TWO_GROUPS[:1], False)]
+    return "\nUNION ALL\n".join(
+        f"SELECT '{ANALYSES[a]}' AS analysis, '{test}{CORRECTED if bh else ''}' AS test, {variable} AS variable, {comparison} AS comparison, "
+        f"{n} AS n, {stat} AS statistic, {p} AS p_value, {f'{p}_adj_bh' if bh else 'NULL::DOUBLE'} AS p_adjusted FROM {src}"
+        for a, src, variable, comparison, n, tests, bh in sources for test, stat, p in tests)
 
 
 O.part("ledger_raw", ("main_ct", "main_tg", "season_av", "ent_corr_track_genre", "ent_corr_artist_first",
@@ -122,49 +129,28 @@ FROM ledger_raw""")
 
 
 def ledger(spark, sf):
-    a1, a2 = "01_main_valence_and_sad_share_vs_weather", "02_seasons_vs_valence"
-    a3, a4 = "03_genre_vs_weather_prcp_tsun", "04_artists_vs_weather_prcp_tsun"
-    a5, a8 = "05_06_07_audiofeatures_vs_weather_prcp_tsun", "08_good_vs_bad_weather_boxplots"
-    none = F.lit(None).cast("double")
-    frames = []
-
-    def add(df, analysis, test, variable, comparison, n, stat, p, padj):
-        frames.append(df.select(F.lit(analysis).alias("analysis"), F.lit(test).alias("test"),
-                                variable.cast("string").alias("variable"), comparison.alias("comparison"),
-                                n.cast("long").alias("n"), stat.cast("double").alias("statistic"),
-                                p.alias("p_value"), padj.alias("p_adjusted")))
-
-    main_ct = S.correlation_tests(QA._main_corr_long(spark, sf), ["metric", "metric_label", "weather_var"], "x", "y", min_n=10)
-    for test, stat, p in (("Pearson correlation", "pearson_r", "pearson_p"), ("Spearman correlation", "spearman_rho", "spearman_p")):
-        add(main_ct, a1, test, F.col("metric_label"), F.concat_ws(" vs ", "metric_label", "weather_var"),
-            F.col("n"), F.col(stat), F.col(p), none)
-    tg = QA.two_group_tests(spark, sf)
-    for test, stat, p in (("Welch t-test", "welch_t", "welch_p"), ("Mann-Whitney U", "mannwhitney_u", "mannwhitney_p")):
-        add(tg, a1, test, F.col("metric_label"), F.lit(f"{BAD} vs {GOOD}"), F.col("n_a") + F.col("n_b"),
-            F.col(stat), F.col(p), none)
-    sv = QA.season_tests(spark, sf)
-    for test, stat, p in (("One-way ANOVA", "anova_f", "anova_p"), ("Kruskal-Wallis", "kruskal_h", "kruskal_p")):
-        add(sv, a2, test, F.col("metric_label"), F.lit("season groups"), F.col("n_total"), F.col(stat), F.col(p), none)
-    for a, e in ((a3, "track_genre"), (a4, "artist_first")):
-        ec = QE.entity_corr(spark, sf, e)
-        for test, stat, p in (("Pearson correlation + BH correction", "pearson_r", "pearson_p"),
-                              ("Spearman correlation + BH correction", "spearman_rho", "spearman_p")):
-            add(ec, a, test, F.col(e), F.concat(F.lit("entity_share vs "), F.col("weather_var")), F.col("n_days"),
-                F.col(stat), F.col(p), F.col(p + "_adj_bh"))
-    fc = QA.feature_corr(spark, sf)
-    for test, stat, p in (("Pearson correlation + BH correction", "pearson_r", "pearson_p"),
-                          ("Spearman correlation + BH correction", "spearman_rho", "spearman_p")):
-        add(fc, a5, test, F.col("feature"), F.concat_ws(" vs ", "feature", "weather_var"), F.col("n"),
-            F.col(stat), F.col(p), F.col(p + "_adj_bh"))
-    fg = QA.feature_group_tests(spark, sf)
-    add(fg, a5, "Welch t-test + BH correction", F.col("feature"), F.lit(f"{BAD} vs {GOOD}"),
-        F.col("n_a") + F.col("n_b"), F.col("welch_t"), F.col("welch_p"), F.col("welch_p_adj_bh"))
-    bt = QA.boxplot_tests(spark, sf)
-    add(bt, a8, "Welch t-test", F.col("metric_label"), F.lit(f"{BAD} vs {GOOD}"), F.col("n_a") + F.col("n_b"),
-        F.col("welch_t"), F.col("welch_p"), none)
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
+    """Eight frames, each built once; all its tests leave it in one pass."""
+    def rows(df, analysis, variable, comparison, n, tests, corrected=False):
+        entry = lambda test, stat, p: F.struct(
+            F.lit(ANALYSES[analysis]).alias("analysis"), F.lit(test + (CORRECTED if corrected else "")).alias("test"),
+            F.col(variable).cast("string").alias("variable"), comparison.alias("comparison"), n.cast("long").alias("n"),
+            F.col(stat).cast("double").alias("statistic"), F.col(p).alias("p_value"),
+            (F.col(f"{p}_adj_bh") if corrected else F.lit(None).cast("double")).alias("p_adjusted"))
+        return df.select(F.inline(F.array(*[entry(*t) for t in tests])))
+
+    sides, both = F.lit(f"{BAD} vs {GOOD}"), F.col("n_a") + F.col("n_b")
+    against = F.concat(F.lit("entity_share vs "), F.col("weather_var"))
+    frames = [
+        rows(S.correlation_tests(QA._main_corr_long(spark, sf), ["metric", "metric_label", "weather_var"], "x", "y", min_n=10),
+             "main", "metric_label", F.concat_ws(" vs ", "metric_label", "weather_var"), F.col("n"), CORRELATIONS),
+        rows(QA.two_group_tests(spark, sf), "main", "metric_label", sides, both, TWO_GROUPS),
+        rows(QA.season_tests(spark, sf), "season", "metric_label", F.lit("season groups"), F.col("n_total"), SEASONS),
+        rows(QE.entity_corr(spark, sf, "track_genre"), "genre", "track_genre", against, F.col("n_days"), CORRELATIONS, True),
+        rows(QE.entity_corr(spark, sf, "artist_first"), "artist", "artist_first", against, F.col("n_days"), CORRELATIONS, True),
+        rows(QA.feature_corr(spark, sf), "audio", "feature", F.concat_ws(" vs ", "feature", "weather_var"), F.col("n"), CORRELATIONS, True),
+        rows(QA.feature_group_tests(spark, sf), "audio", "feature", sides, both, TWO_GROUPS[:1], True),
+        rows(QA.boxplot_tests(spark, sf), "box", "metric_label", sides, both, TWO_GROUPS[:1])]
+    out = functools.reduce(lambda a, b: a.unionByName(b), frames)
     c = S.conclusion(F.col("p_value"), F.col("p_adjusted"))
     return out.select("*", F.lit(S.ALPHA).alias("alpha"), (c == S.SIGNIFICANT).alias("significant_005"),
                       c.alias("conclusion_005"))
