@@ -22,6 +22,7 @@ totals.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 PER_BUCKET = 1 << 20
 MIN_BUCKETS = 32
 _SENT = "bucket int, chunk long, payload binary"
@@ -41,6 +42,16 @@ _REPLY = "chunk long, bucket int, payload binary"
 
 # ---- chunks -------------------------------------------------------------
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker that has seen a large chunk
+    would otherwise hold on to it while other tasks run beside it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):          # not glibc
+        pass
+
+
 def encode_batch(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
@@ -161,6 +172,7 @@ def scatter(chunks: DataFrame, items: Callable[[pa.RecordBatch], np.ndarray], n:
                     bs, cs, ps = zip(*out)
                     yield pa.record_batch({"bucket": pa.array(bs, pa.int32()), "chunk": pa.array(cs, pa.int64()),
                                            "payload": pa.array(ps, pa.binary())})
+                give_back()
 
     return chunks.select("chunk", "blob").mapInArrow(run, _SENT)
 
@@ -180,6 +192,8 @@ def gather(sent: DataFrame, judge: Callable[[list[np.ndarray], list[np.ndarray]]
         replies = judge([get_sorted(p[0]) for p in parts], [get_array(p[1], np.uint32) for p in parts])
         out = [(c, b, put_parts(put_array(i.astype(np.uint32)), put_array(v.astype(np.uint32))))
                for c, b, (i, v) in zip(pdf.chunk, pdf.bucket, replies) if len(i)]
+        del parts, replies
+        give_back()
         return pd.DataFrame(out, columns=["chunk", "bucket", "payload"]).astype({"chunk": "int64", "bucket": "int32"})
 
     return sent.groupBy("bucket").applyInPandas(run, _REPLY)
@@ -203,6 +217,7 @@ def answer(chunks: DataFrame, replies: DataFrame, fn: Callable[[int, pa.RecordBa
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [fn(c, decode_batch(blob.as_buffer()), right)
                for c, blob in zip(left.column("chunk").to_pylist(), left.column("blob"))]
+        give_back()
         return pa.concat_tables(out) if out else empty
 
     from .arrow_schema import to_arrow

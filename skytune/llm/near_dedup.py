@@ -342,6 +342,7 @@ def _classes(df: DataFrame, text: str, doc_id: str, similarity: float, bands: in
             for i, j in linked(got, w, similarity, first, second):
                 a.append(int(rid[lo + i]))
                 b.append(int(rid[lo + j]))
+        C.give_back()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     links = (C.answer(chunks, asked, vectors, vector_schema).repartition("task").groupBy("task").applyInArrow(verify, "a long, b long"))
