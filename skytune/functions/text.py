@@ -66,7 +66,8 @@ def strip_accents(c: str | Column) -> Column:
     matching, replacement, several = accent_fold_map()
     table = F.str_to_map(F.lit("\x01".join(f"{ch}\x02{to}" for ch, to in several)), F.lit("\x01"), F.lit("\x02"))
     spelled = F.array_join(F.transform(F.split(x, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")
-    return F.translate(F.when(F.rlike(x, F.lit(_several_class())), spelled).otherwise(x), matching, replacement)
+    folded = F.translate(F.when(F.rlike(x, F.lit(_several_class())), spelled).otherwise(x), matching, replacement)
+    return F.when(F.rlike(x, F.lit(r"[^\x00-\x7F]")), folded).otherwise(x)          # most texts need nothing
 
 
 def _strip(x: Column) -> Column:

@@ -107,6 +107,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 _MATERIALIZED: dict[tuple, DataFrame] = {}
 
 
+def forget_materialized() -> None:
+    """Build all stored day-grain tables anew at their next use."""
+    _MATERIALIZED.clear()
+
+
 def materialize_once(spark: SparkSession, key: tuple, build, sources: tuple[str, ...] = ()) -> DataFrame:
     """Build ``build()`` once per application, key and state of the files in
     ``sources``, written into the shared checkpoint folder; later calls reuse
