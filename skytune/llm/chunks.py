@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 4 << 20
+ZSTD_LEVEL = 3
 PER_BUCKET = 1 << 20
 MIN_BUCKETS = 32
 _SENT = "bucket int, chunk long, payload binary"
@@ -54,7 +55,7 @@ def give_back() -> None:
 
 def encode_batch(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", ZSTD_LEVEL))) as w:
         w.write_batch(batch)
     return sink.getvalue().to_pybytes()
 

@@ -283,8 +283,8 @@ def _splitters(chunks: DataFrame, parts: int) -> np.ndarray:
                     g = sliding_window_view(raw, GRAM)[pos]
                     yield pa.record_batch({"grams": pa.array([g.tobytes()], pa.binary())})
 
-    sample = chunks.where(F.pmod(F.xxhash64("chunk"), F.lit(step)) == 0).select("blob").limit(2 * SAMPLED_CHUNKS)
-    got = b"".join(bytes(r[0]) for r in sample.mapInArrow(run, "grams binary").collect())
+    sample = chunks.where(F.pmod(F.xxhash64("chunk"), F.lit(step)) == 0).select("blob")
+    got = b"".join(bytes(r[0]) for r in sample.mapInArrow(run, "grams binary").limit(4 * SAMPLED_CHUNKS).collect())
     if not got:
         return np.zeros(0, f"S{GRAM}")
     grams = np.sort(np.frombuffer(got, f"S{GRAM}"))
@@ -333,6 +333,7 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
             at = np.flatnonzero(v)
             if len(at):
                 out.append((c, C.put_parts(C.put_array(at + start), C.put_array(v[at]))))
+        C.give_back()
         return pd.DataFrame(out, columns=["chunk", "payload"]).astype({"chunk": "int64"})
 
     sent = C.answer(chunks, replies, send, "part int, chunk long, start long, payload binary")
