@@ -4,10 +4,16 @@ A window network predicts every token from the tokens on both sides of it
 (``WINDOW`` each way, the token itself masked); a document's score is the sum
 of ln P(token | both sides) over all its tokens.
 
-* Tokens: runs of non-blank bytes, A-Z lower-cased.  The vocabulary is the
-  ``TOP`` most frequent ones, counted over all documents, and ``RARE`` hash
-  buckets for all others: ``CLASSES`` classes by frequency rank, each of
+* Tokens: runs of non-blank bytes, A-Z lower-cased.  The network's vocabulary
+  is the ``TOP`` most frequent ones, counted over all documents, and ``RARE``
+  hash buckets for all others: ``CLASSES`` classes by frequency rank, each of
   ``CLASSES`` members.
+* Words inside a bucket: P(word | both sides) = P(bucket | both sides) *
+  P(word | bucket), the latter from the counts of all words (Witten-Bell: a word
+  seen n times has n / (N + T + 1), with N tokens of T words in the bucket; the
+  unseen ones share (T + 1) / (N + T + 1) by a uniform model of their bytes).
+  The counts of all words stay a Spark table, joined to the distinct rare words
+  of each document.
 * Network: hidden = tanh(sum over places of scale_place * E[token] + bias);
   P(token) = P(class | hidden) * P(token | class, hidden).  Biases start at the
   corpus' own frequencies, so that training starts from the unigram model.
@@ -16,8 +22,8 @@ of ln P(token | both sides) over all its tokens.
   task starts from the same weights and runs Adagrad over its documents; the
   weights of all tasks are then averaged in Spark, weighted by their tokens
   (whole numbers, so the order of summation does not matter).  What is gathered
-  from the corpus, counts and weights, grows with it; the network (``params``
-  numbers) does not.
+  from the corpus, the counts of all its words, grows with it; the network
+  (``params`` numbers) does not.
 
 Defined results: a null or empty text has 0 tokens, score 0.0 and a null mean;
 with an empty table nothing is trained and nothing returned; very long texts
@@ -32,9 +38,9 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from .arrow_schema import to_arrow
 from .common import ship, stored
@@ -51,6 +57,7 @@ RATE = 0.05
 BATCH = 8192
 LIMIT = np.float32(60)
 _FIXED = 1 << 20
+_FIRST, _NEXT = 256 - 6 - 26, 256 - 6 - 26 + 1      # bytes that a word can begin with, and go on with or end
 _FLUSH = 200_000                  # distinct words held before they are passed on
 _SHAPES = {"embed": (PAD + 1, WIDTH), "scale": (len(PLACES), WIDTH), "bias": (WIDTH,), "to_class": (WIDTH, CLASSES),
            "class_bias": (CLASSES,), "to_word": (CLASSES, WIDTH, CLASSES), "word_bias": (CLASSES, CLASSES)}
@@ -59,6 +66,15 @@ params = sum(int(np.prod(s)) for s in _SHAPES.values())
 
 # ---- tokens ------------------------------------------------------------------
 
+class Vocabulary(dict):
+    """Ids of the ``TOP`` words; ``rare``: a Spark table (word, inside) of all
+    others with ln P(word | bucket); ``unseen``: ln of what each bucket leaves
+    to words that the corpus does not hold."""
+
+    rare: DataFrame
+    unseen: list[float]
+
+
 def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
@@ -88,6 +104,14 @@ def token_ids(text: str | None, vocab: dict[bytes, int]) -> list[int]:
     return [i if (i := get(w)) is not None else TOP + crc32(w) % RARE for w in words(text)]
 
 
+def rare_words(texts, vocab: dict[bytes, int]) -> pa.Array:
+    """The distinct words outside ``vocab`` of each text and their numbers."""
+    found = [Counter(w for w in words(t) if w not in vocab) for t in texts]
+    items = pa.StructArray.from_arrays([pa.array([w for c in found for w in c], pa.binary()),
+                                        pa.array([n for c in found for n in c.values()], pa.int64())], names=["word", "n"])
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(c) for c in found])], pa.int32()), items)
+
+
 def windows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of tokens, and the ids at the PLACES around each; documents are
     parted by PADs (WINDOW before, between and after them)."""
@@ -228,20 +252,31 @@ def _joined_ids(texts, vocab) -> tuple[np.ndarray, list[int]]:
 
 # ---- Spark -----------------------------------------------------------------------
 
+def _of_bucket(values: list[float]) -> Column:
+    """The one of ``RARE`` values that stands for the bucket of ``word``."""
+    return F.get(F.array(*[F.lit(v) for v in values]), (F.crc32("word") % RARE).cast("int"))
+
+
 def train(df: DataFrame, text: str, doc_id: str, rounds: int = ROUNDS):
-    """(vocabulary, network) fitted on all rows of ``df``."""
+    """(``Vocabulary``, network) fitted on all rows of ``df``."""
     spark = df.sparkSession
     counts = stored(count_words(df, text))
     top = counts.orderBy(F.desc("n"), "word").limit(TOP).collect()
-    vocab = {bytes(r["word"]): i for i, r in enumerate(top)}
+    vocab = Vocabulary((bytes(r["word"]), i) for i, r in enumerate(top))
     freq = np.zeros(PAD)
     freq[:len(top)] = [r["n"] for r in top]
-    rest = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] - freq.sum()
-    freq[TOP:] = rest / RARE
+    others = counts.join(F.broadcast(spark.createDataFrame([(w,) for w in vocab], "word binary")), "word", "left_anti").withColumn(
+        "bucket", F.crc32("word") % RARE)
+    kinds = np.zeros(RARE)
+    for r in others.groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect():
+        freq[TOP + r["bucket"]], kinds[r["bucket"]] = r["n"], r["kinds"]
+    mass = np.log(freq[TOP:] + kinds + 1)
+    vocab.unseen = (np.log(kinds + 1) - mass).tolist()
+    vocab.rare = others.select("word", (F.ln("n") - _of_bucket(mass.tolist())).alias("inside"))
     net = start_network(freq)
     narrow = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     for r in range(rounds):
-        held = spark.sparkContext.broadcast((vocab, net))
+        held = spark.sparkContext.broadcast((dict(vocab), net))
 
         def learn(batches, held=held):
             vocab, net = held.value
@@ -268,6 +303,8 @@ def train(df: DataFrame, text: str, doc_id: str, rounds: int = ROUNDS):
 
 
 def document_scores(texts, vocab, net) -> tuple[list[int], np.ndarray]:
+    """Tokens of each text and its sum of ln P(class member | both sides): for
+    a rare word that of its bucket."""
     ids, sizes = _joined_ids(texts, vocab)
     at, context = windows(ids)
     logp, table = np.empty(len(at)), places_table(net)
@@ -279,26 +316,36 @@ def document_scores(texts, vocab, net) -> tuple[list[int], np.ndarray]:
     return sizes, np.bincount(doc, weights=logp, minlength=len(sizes))
 
 
-def score(df: DataFrame, vocab, net, text: str = "text") -> DataFrame:
+def score(df: DataFrame, vocab: Vocabulary, net, text: str = "text") -> DataFrame:
     """``df`` with ``n_tokens, pll, mean_pll`` (existing ones are replaced)."""
     spark = df.sparkSession
     df = df.drop("n_tokens", "pll", "mean_pll")
-    schema = StructType([*df.schema.fields, StructField("n_tokens", LongType()), StructField("pll", DoubleType()),
-                         StructField("mean_pll", DoubleType())])
+    numbered = df.withColumn("__row", F.monotonically_increasing_id())
+    schema = StructType([*numbered.schema.fields, *StructType.fromDDL(
+        "n_tokens long, __network double, __rare array<struct<word: binary, n: long>>").fields])
     target = to_arrow(spark, schema)
-    held = spark.sparkContext.broadcast((vocab, net))
+    held = spark.sparkContext.broadcast((dict(vocab), net))
 
     def run(batches):
         vocab, net = held.value
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                sizes, sums = document_scores((v.as_py() for v in part.column(text)), vocab, net)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(sizes, pa.int64()), pa.array(sums),
-                     pa.array([s / n if n else None for s, n in zip(sums.tolist(), sizes)], pa.float64())], schema=target)
-
-    return df.mapInArrow(run, schema)
+                texts = part.column(text).to_pylist()
+                sizes, sums = document_scores(texts, vocab, net)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sizes, pa.int64()), pa.array(sums),
+                                                  rare_words(texts, vocab).cast(target.field("__rare").type)], schema=target)
+
+    scored = stored(numbered.mapInArrow(run, schema))
+    unseen = _of_bucket(vocab.unseen) - float(np.log(_FIRST)) - F.length("word") * float(np.log(_NEXT))
+    # whole numbers, so that the order of summation does not matter; no word that is one of many tokens is a key here
+    inside = (scored.select("__row", F.explode("__rare").alias("r")).select("__row", "r.word", "r.n")
+              .join(vocab.rare, "word", "left")
+              .groupBy("__row").agg(F.sum(F.col("n") * F.round(F.coalesce("inside", unseen) * _FIXED).cast("long")).alias("__inside")))
+    pll = F.col("__network") + F.coalesce("__inside", F.lit(0)) / _FIXED
+    return (scored.join(inside, "__row", "left").withColumn("pll", pll)
+            .select(*[F.col(f"`{c}`") for c in df.columns], "n_tokens", "pll",
+                    F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")).alias("mean_pll")))
 
 
 def score_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:

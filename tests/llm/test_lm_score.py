@@ -88,3 +88,21 @@ def test_edges(make, edge_rows):
 def test_counts_cover_all_documents(make):
     got = {bytes(r.word): r.n for r in L.count_words(make([(1, "a b A"), (2, "a\tc"), (3, None)]), "text").collect()}
     assert got == {b"a": 3, b"b": 1, b"c": 1}
+
+
+def test_words_of_a_bucket_are_told_apart(make):
+    bucket = L.crc32(b"genuine") % L.RARE
+    junk, odd = [w for i in range(9999) if L.crc32((w := f"x{i}").encode()) % L.RARE == bucket][:2]
+    common = [f"f{i}" for i in range(L.TOP)]
+    docs = [(i, " ".join(common)) for i in range(5)] + [(10 + i, "f1 genuine f2") for i in range(4)] + [(20, f"f1 {junk} f2")]
+    df = make(docs)
+    vocab, net = L.train(df, "text", "doc_id")
+    out = {r.doc_id: r.pll for r in L.score(make([*docs, (30, f"f1 {odd} f2"), (31, f"f1 {odd} f2 genuine {odd}")]), vocab, net).collect()}
+    assert out[10] - out[20] == pytest.approx(math.log(4), abs=1e-5)
+    known, unseen = {bytes(r.word): r.inside for r in vocab.rare.collect()}, vocab.unseen[bucket]
+    assert set(known) == {b"genuine", junk.encode()}                 # all words, not only the network's
+    assert sum(map(math.exp, known.values())) + math.exp(unseen) == pytest.approx(1)
+    spelt = unseen - math.log(224) - len(odd) * math.log(225)
+    _, sums = L.document_scores(["f1 genuine f2", f"f1 {odd} f2 genuine {odd}"], vocab, net)
+    assert out[30] == pytest.approx(sums[0] + spelt, abs=1e-5) and out[30] < out[20]
+    assert out[31] == pytest.approx(sums[1] + 2 * spelt + known[b"genuine"], abs=1e-5)
