@@ -59,3 +59,25 @@ def test_queries_match_their_sql(spark, name):
     df = Q.QUERIES[name](spark, SF)
     assert sorted(cols) == sorted(df.columns)
     assert sorted(map(repr, rel.fetchall())) == sorted(repr(tuple(r[c] for c in cols)) for r in df.collect())
+
+
+def test_the_schedule_outlives_the_stored_tables(spark, make, tmp_path, monkeypatch):
+    from collections import Counter
+
+    from skytune.llm import mixing as M
+    rows = [(i, f"text {i}", "en", s) for s, lo, hi in (("a", 0, 400), ("b", 1000, 1100), ("c", 2000, 2030)) for i in range(lo, hi)]
+    make(rows, parts=5).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(P, "STAGES", P.STAGES[-2:])          # the rows of other stages do not matter here
+    out = sorted(P.run(spark, str(tmp_path)).select("doc_id", "source", "mix_order", "mix_slot").collect(), key=lambda r: r.mix_order)
+    assert sorted(r.doc_id for r in out) == sorted(r[0] for r in rows)
+    sizes = Counter(r[3] for r in rows)
+    shares, blocks = M.tempered_shares(sizes), {s: -(-n // M.BLOCK_ROWS) for s, n in sizes.items()}
+    source = {r.mix_slot: r.source for r in out}
+    assert list(source) == list(range(sum(blocks.values()))) and len({r.mix_order for r in out}) == len(out)
+    seen = Counter()
+    for t, s in source.items():                               # until the first source runs out
+        seen[s] += 1
+        assert all(abs(seen[x] - (t + 1) * q / sum(shares.values())) < 1 for x, q in shares.items())
+        if seen[s] == blocks[s]:
+            break
+    assert t > 3
