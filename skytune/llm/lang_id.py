@@ -17,8 +17,9 @@ and the codeword nearest to the predicted bits, by a weighted loss, wins.
   classifier) and spreads come from a bounded sample of training rows:
   ``SAMPLE_ROWS`` rows with the smallest hash of doc_id.
 * Decoding: loss(c) = sum over bits of weight_b * exp(-code_cb * margin_b); the
-  least loss wins.  score = softmax of -loss; ``ambiguous`` where the runner-up's
-  score is within ``AMBIGUITY`` of the winner's.
+  least loss wins.  score = softmax of -loss; ``ambiguous`` where, of the two
+  best alone, the shares of the softmax are within ``AMBIGUITY`` (the number of
+  languages does not matter).
 
 Training rows: ``crc32(doc_id as text) mod 3 <> 1`` and lang not null.  Neither
 lang, source nor doc_id is an input of a prediction.
@@ -138,7 +139,7 @@ class Model:
         p /= p.sum()
         best = int(np.argmin(loss))
         second = np.partition(p, -2)[-2] if len(p) > 1 else 0.0
-        return self.languages[best], float(p[best]), bool(p[best] - second < AMBIGUITY)
+        return self.languages[best], float(p[best]), bool(p[best] - second < AMBIGUITY * (p[best] + second))
 
 
 def ngrams_any(text: str | None) -> np.ndarray:

@@ -73,3 +73,14 @@ def test_edges(make, edge_rows):
 def test_pieces_of_a_long_text_count_like_the_whole():
     text = ("der die das und " * 20_000)
     assert abs(sum(len(L.ngrams(p)) for p in L._pieces(text)) - len(L.ngrams(text))) < 40
+
+
+@pytest.mark.parametrize("n", [4, 50, 256])
+def test_clear_texts_are_not_ambiguous_however_many_languages(n):
+    code = L.codewords(n)
+    m = L.Model([f"l{i:03}" for i in range(n)], code, np.zeros((1, code.shape[1])))
+    for i in (0, n // 2, n - 1):
+        m.margins = lambda text, i=i: code[i].astype(float)
+        assert m.predict("clear")[::2] == (f"l{i:03}", False)
+        m.margins = lambda text, i=i: (code[i] + code[(i + 1) % n]) / 2
+        assert m.predict("half and half")[2]
