@@ -193,3 +193,23 @@ def op4_sentencepiece(spark, sf_dir):
 
 
 register(op4_sentencepiece)
+
+
+def op13_nearest_neighbours(spark, sf_dir):
+    from .nn_search import nearest
+    vectors = pick(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return nearest(vectors.where(F.col("vec_id") % 50 == 0), vectors)
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score
+  FROM v q JOIN v c ON len(q.e) = len(c.e) AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 5
+"""
+register(op13_nearest_neighbours, OP13_SQL)
