@@ -213,3 +213,12 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM pairs QUALIFY rank <= 5
 """
 register(op13_nearest_neighbours, OP13_SQL)
+
+
+def op12_conversation_repair(spark, sf_dir):
+    from .conv_repair import damaged, repair_conversations, summary
+    turns = pick(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    return summary(turns, *repair_conversations(damaged(turns)))
+
+
+register(op12_conversation_repair)
