@@ -222,3 +222,39 @@ def op12_conversation_repair(spark, sf_dir):
 
 
 register(op12_conversation_repair)
+
+
+def op11_collocations(spark, sf_dir):
+    from .collocations import collocations
+    return collocations(pick(documents(spark, sf_dir), "text", "lang"))
+
+
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS p, piece
+  FROM (SELECT lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+grams AS (
+  SELECT lang, k, list_slice(ws, i, i + k - 1) AS g
+  FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) s(k) WHERE len(ws) >= k)),
+f AS (SELECT lang, k, g, count(*) AS n FROM grams GROUP BY ALL HAVING count(*) >= 10),
+totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+cuts AS (
+  SELECT c.lang, c.k, c.g, c.n AS a, x.n AS l, y.n AS r, j,
+         (1000000::HUGEINT * c.n * c.n // (x.n::HUGEINT * y.n))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM f WHERE k > 1) c
+  JOIN f x ON x.lang = c.lang AND x.k = j AND x.g = list_slice(c.g, 1, j)
+  JOIN f y ON y.lang = c.lang AND y.k = c.k - j AND y.g = list_slice(c.g, j + 1, c.k)),
+scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+longer AS (
+  SELECT lang, part, max(n) AS n FROM (
+    SELECT lang, list_slice(g, 1, 2) AS part, n FROM f WHERE k = 3 UNION ALL SELECT lang, list_slice(g, 2, 3), n FROM f WHERE k = 3)
+  GROUP BY ALL)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, encode(array_to_string(g, ' '))) AS rank,
+       array_to_string(g, ' ') AS phrase, a, l, r, t.n, score
+FROM scored s JOIN totals t ON t.lang = s.lang LEFT JOIN longer o ON s.k = 2 AND o.lang = s.lang AND o.part = s.g
+WHERE o.n IS NULL OR 100 * o.n < 50 * a
+QUALIFY rank <= 2000
+"""
+register(op11_collocations, OP11_SQL)
