@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import flag, safe_ratio
-from .ranks import exact_quantiles
+from ..session import cut_lineage
+from . import quantiles as Q
 
 # Thresholds and labels of the authoritative version.
 SAD_THRESHOLD = 0.40
@@ -58,14 +59,18 @@ _TAKE = {
     "most": lambda value, when: F.max(F.when(when, value)),
 }
 
-#: measure -> (take, value, condition) of the early stream path (G1).
+#: measure -> (take, value, condition) of the early stream path (G1).  Fixed values: the names.
 STREAM_MEASURES = {
-    **{f"{stat}_valence": (take, "valence", "known")
-       for stat, take in (("avg", "mean"), ("std", "spread"), ("min", "least"), ("max", "most"))},
-    **{f"{what}_count" if what == "sad_songs" else what: ("rows", None, when)
-       for what, when in (("song_rows", "any"), ("tracks_with_valence", "known"), ("sad_songs", "sad"))},
-    **{f"{when}": ("total", "streams", cond)
-       for when, cond in (("total_streams", "any"), ("streams_with_valence", "known"), ("sad_streams", "sad"))},
+    "song_rows": ("rows", None, "any"),
+    "tracks_with_valence": ("rows", None, "known"),
+    "sad_songs_count": ("rows", None, "sad"),
+    "avg_valence": ("mean", "valence", "known"),
+    "std_valence": ("spread", "valence", "known"),
+    "min_valence": ("least", "valence", "known"),
+    "max_valence": ("most", "valence", "known"),
+    "total_streams": ("total", "streams", "any"),
+    "streams_with_valence": ("total", "streams", "known"),
+    "sad_streams": ("total", "streams", "sad"),
     "valence_streams": ("total", "valence_streams", "known"),
 }
 #: ratio -> (part, whole); NULL unless the whole is positive.
@@ -106,19 +111,19 @@ def stream_measures(sad_threshold: float = SAD_THRESHOLD, inclusive: bool = Fals
         {"any": F.lit(True), "known": valence.isNotNull(), "sad": sad_flag("valence", sad_threshold, inclusive)})
 
 
-def with_daily_median(day: DataFrame, songs: DataFrame, value: str, out: str) -> DataFrame:
-    """``day`` with the exact median of ``value`` per date, from counts of the
-    distinct values (``ranks.exact_quantiles``): no task holds a day's rows."""
-    median = exact_quantiles(songs.select("date", value).where(F.col("date").isNotNull()), ["date"], value, {out: 0.5})
-    return day.join(median, "date", "left")
+#: The exact median of a day (``operators.quantiles``).
+MEDIAN = {"median_valence": 0.5}
 
 
 def daily_stream_metrics(songs: DataFrame, sad_threshold: float = SAD_THRESHOLD,
                          inclusive: bool = False, negatives: str = "drop") -> DataFrame:
-    """G1 (early Spark path): stream metrics per day of (date, streams, valence)."""
+    """G1 (early Spark path): stream metrics per day of (date, streams, valence).
+
+    The measures and a quantile sketch come from one pass, written at day
+    grain; days too large for the sketch alone are read once more."""
     rows = stream_rows(songs, negatives)
-    day = rows.groupBy("date").agg(*stream_measures(sad_threshold, inclusive))
-    return with_daily_median(form_ratios(day, STREAM_RATIOS, ("valence_streams",)), rows, "valence", "median_valence")
+    day = cut_lineage(rows.groupBy("date").agg(*stream_measures(sad_threshold, inclusive), *Q.sketch(F.col("valence"), MEDIAN)))
+    return Q.with_quantiles(form_ratios(day, STREAM_RATIOS, ("valence_streams",)), rows, ["date"], "valence", MEDIAN)
 
 
 def daily_totals_early(songs: DataFrame, sad_threshold: float = 0.35) -> DataFrame:
@@ -162,7 +167,8 @@ def _weighted_parts(w: Column, tag: str, v: Column, flags: dict[str, Column],
 
 def daily_summary(songs: DataFrame, features: list[str] | None = None,
                   sad_threshold: float = SAD_THRESHOLD) -> DataFrame:
-    """The daily summary of the song pipeline, one pass.
+    """The daily summary of the song pipeline: one pass, written at
+    day grain, and a second one over days whose median the sketch leaves open.
 
     Input: date, rank, streams, valence and the audio features present.
     Days whose rows all lack valence keep their coverage and get NULL metrics.
@@ -190,13 +196,13 @@ def daily_summary(songs: DataFrame, features: list[str] | None = None,
     aggs += [F.avg(F.when(v.isNotNull(), F.col(f))).alias(f"avg_{f}") for f in features]
     aggs += _weighted_parts(streams_nn, "s", v, flags, features)
     aggs += _weighted_parts(rw, "r", v, flags, features)
-    per_day = songs.groupBy("date").agg(*aggs)
+    per_day = cut_lineage(songs.groupBy("date").agg(*aggs, *Q.sketch(v, MEDIAN)))
     # Dataset-level weight choice from the per-day partial sums.  The window
     # has no partition key, but it runs over day-grain rows (one per calendar
     # day), never over song rows.
     has_streams = F.sum("_stream_sum_all").over(Window.partitionBy()) > 0
     per_day = per_day.withColumn("_has_streams", F.coalesce(has_streams, F.lit(False))).where(F.col("date").isNotNull())
-    per_day = with_daily_median(per_day, songs, "valence", "median_valence")
+    per_day = Q.with_quantiles(per_day, songs, ["date"], "valence", MEDIAN)
 
     used = F.col("tracks_with_valence") > 0
     hs = F.col("_has_streams")

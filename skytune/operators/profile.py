@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import exact_quantiles
+from ..session import cut_lineage
+from . import quantiles as Q
 
 
 def key_values(row: DataFrame, entries: list[tuple[str, Column | None, Column | None]]) -> DataFrame:
@@ -33,19 +34,21 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
 
 
+QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+
+
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, mean, sample sd, min, quartiles (linear), max per column.
 
-    Unpivot once; moments in one grouped aggregate; exact quartiles from
-    distributed value counts (``ranks.exact_quantiles``) - no per-column
-    buffer of all values in one task."""
-    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))
-                                        for c in columns])))
-    moments = long.groupBy("column").agg(
-        F.count("v").alias("n_values"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
-        F.min("v").alias("min"), F.max("v").alias("max"))
-    qs = exact_quantiles(long, ["column"], "v", {"q25": 0.25, "median": 0.5, "q75": 0.75})
-    return moments.join(qs, "column", "left")
+    One aggregate over all columns side by side (moments and quantile
+    sketches), then one pass for the quartiles that the sketches leave open."""
+    values = [F.col(c).cast("double") for c in columns]
+    parts = [F.struct(F.lit(c).alias("column"), F.count(v).alias("n_values"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+                      F.min(v).alias("min"), F.max(v).alias("max"), *Q.sketch(v, QUARTILES)) for c, v in zip(columns, values)]
+    wide = df.agg(*[p.alias(f"_c{i}") for i, p in enumerate(parts)])
+    first = cut_lineage(wide.select(F.inline(F.array(*[f"_c{i}" for i in range(len(columns))]))))
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), v.alias("v")) for c, v in zip(columns, values)])))
+    return Q.with_quantiles(first, long, ["column"], "v", QUARTILES)
 
 
 def off_size_days(df: DataFrame, expected: int = 200) -> DataFrame:

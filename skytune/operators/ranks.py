@@ -1,15 +1,21 @@
-"""Average ranks with ties (WN4).
+"""Average ranks with ties (WN4), by window or by sample sort.
 
 ``average_rank`` partitions by the group keys: right when each group is
-bounded (a series of days, an entity's days).  ``average_rank_global`` is for
-row-grain data where one metric spans billions of rows: it never puts a whole
-group into one task.
+bounded (a series of days, an entity's days).  ``positions`` and
+``average_rank_global`` are for row-grain data where one metric spans billions
+of rows: no task ever holds a whole group.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 
 def average_rank(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
@@ -20,6 +26,127 @@ def average_rank(df: DataFrame, keys: list[str], value: str, out: str) -> DataFr
     return df.withColumn(out, F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
 
 
+# ---- sample sort -------------------------------------------------------------------
+
+def _changes(t: pa.Table, names: list[str]) -> np.ndarray:
+    """Whether each row but the first differs from the one before in ``names``."""
+    out = np.zeros(max(t.num_rows - 1, 0), bool)
+    for n in names:
+        column = t.column(n).combine_chunks()
+        if pa.types.is_floating(column.type) and not column.null_count:        # -0.0 is 0.0
+            x = column.to_numpy(zero_copy_only=False)
+        else:
+            codes = column.dictionary_encode()
+            codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
+            x = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        out |= x[1:] != x[:-1]
+    return out
+
+
+def _numbered(batches: Iterator[pa.RecordBatch], keys: list[str], value: str) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by keys and value, with the partition's number, the place
+    (from 0) of the row's run of equal values among the rows of its keys in this
+    partition, and the run's length.  The last run of what was read is held back
+    until it ends: at most this partition's rows."""
+    part = TaskContext.get().partitionId()
+    held: list[pa.Table] = []             # the open run
+    start = size = 0                      # its place and its rows so far
+
+    def out(t: pa.Table, begin: np.ndarray, length: np.ndarray) -> list[pa.RecordBatch]:
+        for name, kind, v in (("_part", pa.int32(), np.full(t.num_rows, part)), ("_start", pa.int64(), begin), ("_ties", pa.int64(), length)):
+            t = t.append_column(name, pa.array(v, kind))
+        return t.to_batches()
+
+    def closed(t: pa.Table) -> list[pa.RecordBatch]:
+        return out(t, np.full(t.num_rows, start), np.full(t.num_rows, size))
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        seen = pa.concat_tables([held[-1].slice(held[-1].num_rows - 1), t]) if held else t
+        new_key = _changes(seen, keys)
+        new_run = new_key | _changes(seen, [value])
+        if not held:
+            new_key, new_run = np.r_[True, new_key], np.r_[True, new_run]
+        first = np.flatnonzero(new_run)
+        if not len(first):
+            held.append(t)
+            size += t.num_rows
+            continue
+        if held:
+            if first[0]:
+                held.append(t.slice(0, first[0]))
+                size += int(first[0])
+            for x in held:
+                yield from closed(x)
+        at = start + size + first - first[0]          # places, were the keys still those of the run before
+        group = np.cumsum(new_key[first])
+        begin = at - np.where(group > 0, at[np.searchsorted(group, group)], 0)
+        per = np.diff(first)
+        if len(per):
+            yield from out(t.slice(first[0], int(first[-1] - first[0])), np.repeat(begin[:-1], per), np.repeat(per, per))
+        held, start, size = [t.slice(first[-1])], int(begin[-1]), int(t.num_rows - first[-1])
+    for x in held:
+        yield from closed(x)
+
+
+def positions(df: DataFrame, keys: list[str], value: str, descending: bool = False, parts: int | None = None) -> DataFrame:
+    """``df`` (stored anew) with ``_before``, the rows of the same keys that
+    sort before this row's value, and ``_ties``, those with the same value; both
+    exact, and NULL where the value is NULL.  ``_part`` numbers the ranges in order.
+
+    A sample sort: rows are dealt to ranges of (keys, value, a row number), so
+    that a value which a third of all rows share spans as many ranges as it
+    needs; each range is sorted and numbered as a stream and written.  One row
+    per (range, keys) then gives every range its offset, and completes the runs
+    at its two ends, which may go on in other ranges.  These rows are broadcast:
+    ranges times keys, whatever the number of rows."""
+    from ..session import cut_lineage
+    spark = df.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
+    salted = df.withColumn("_salt", F.monotonically_increasing_id())
+    dealt = salted.repartitionByRange(parts, *keys, order, "_salt").drop("_salt").sortWithinPartitions(*keys, order)
+    schema = StructType([*df.schema.fields, StructField("_part", IntegerType()), StructField("_start", LongType()),
+                         StructField("_ties", LongType())])
+    rows = cut_lineage(dealt.mapInArrow(lambda b: _numbered(b, keys, value), schema))
+    head, tail = (F.max, F.min) if descending else (F.min, F.max)
+    pick_head, pick_tail = (F.max_by, F.min_by) if descending else (F.min_by, F.max_by)
+    ends = rows.groupBy(*keys, "_part").agg(
+        F.count(value).alias("_rows"), head(value).alias("_v0"), tail(value).alias("_v1"),
+        pick_head("_ties", value).alias("_t0"), pick_tail("_ties", value).alias("_t1"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_off", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    # a run at the end of one range goes on at the beginning of the next ones
+    whole = lambda v: Window.partitionBy(*keys, v)
+    runs = ends.select(*keys, "_part", "_off", F.explode(F.array(
+        F.struct(F.lit(0).alias("end"), F.col("_v0").alias("v"), F.col("_t0").alias("n"), F.col("_off").alias("at")),
+        F.struct(F.lit(1).alias("end"), F.col("_v1").alias("v"), F.when(F.col("_v0") != F.col("_v1"), F.col("_t1")).otherwise(F.lit(0)).alias("n"),
+                 (F.col("_off") + F.col("_rows") - F.col("_t1")).alias("at")))).alias("_r")).select(*keys, "_part", "_off", "_r.*")
+    runs = runs.withColumn("_all", F.sum("n").over(whole("v"))).withColumn("_first", F.min("at").over(whole("v")))
+    of = lambda end, c: F.max(F.when(F.col("end") == end, F.col(c)))
+    marks = runs.groupBy(*keys, "_part", "_off").agg(*[of(e, c).alias(f"_{n}{e}") for e in (0, 1) for c, n in (("v", "v"), ("_all", "n"), ("_first", "f"))])
+    renamed = marks.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_part").alias("_part2"),
+                           "_off", "_v0", "_n0", "_f0", "_v1", "_n1", "_f1")
+    same = F.col("_part") == F.col("_part2")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    v = F.col(value)
+    joined = rows.join(F.broadcast(renamed), same)
+    ended = lambda c, plain: (F.when(v == F.col("_v0"), F.col(f"_{c}0")).when(v == F.col("_v1"), F.col(f"_{c}1"))
+                              .when(v.isNotNull(), plain))
+    return joined.select(*df.columns, "_part", ended("f", F.col("_off") + F.col("_start")).alias("_before"),
+                         ended("n", F.col("_ties")).alias("_ties"))
+
+
+def average_rank_global(df: DataFrame, keys: list[str], value: str, out: str, buckets: int | None = None) -> DataFrame:
+    """Exact average ranks for row-grain data (``positions`` in ``buckets``
+    ranges); the rank stays on the row, nothing is joined back."""
+    return positions(df, keys, value, parts=buckets).withColumn(
+        out, F.col("_before") + (F.col("_ties") + 1) / 2.0).select(*df.columns, out)
+
+
 def cumulative_counts(df: DataFrame, keys: list[str], value: str, buckets: int = 512,
                       keep_bucket: bool = False) -> DataFrame:
     """(keys, value, _n, _end): rows per distinct value and the 1-based
@@ -49,33 +176,7 @@ def cumulative_counts(df: DataFrame, keys: list[str], value: str, buckets: int =
     return out.select(*keys, value, "_n", "_end", *(["_b"] if keep_bucket else []))
 
 
-def average_rank_global(df: DataFrame, keys: list[str], value: str, out: str,
-                        buckets: int = 512) -> DataFrame:
-    """Exact average ranks for row-grain data: rank = last position of the
-    value - (ties - 1) / 2 (``cumulative_counts``), joined back on
-    (keys, value)."""
-    ranked = cumulative_counts(df, keys, value, buckets).select(
-        *keys, value, (F.col("_end") - (F.col("_n") - 1) / 2.0).alias(out))
-    return df.join(ranked, keys + [value])
-
-
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float],
-                    buckets: int = 512) -> DataFrame:
-    """Exact linear-interpolation quantiles (``percentile`` semantics) per
-    keys without holding a column's values in one buffer: the target
-    positions (a few per key) are joined to the distinct values with their
-    cumulative positions."""
-    d = df.where(F.col(value).isNotNull())
-    cum = cumulative_counts(d, keys, value, buckets)
-    total = cum.groupBy(*keys).agg(F.sum("_n").alias("_N"))
-    targets = total.select(*keys, F.inline(F.array(*[
-        F.struct(F.lit(name).alias("_q"), ((F.col("_N") - 1) * q).alias("_h")) for name, q in qs.items()])))
-    targets = targets.select(*keys, "_q", "_h", F.floor("_h").cast("long").alias("_i0"),
-                             F.ceil("_h").cast("long").alias("_i1"))
-    # 0-based position p lies in the value whose rows occupy (_end - _n, _end - 1]
-    hit = lambda i: (F.col(i) >= F.col("_end") - F.col("_n")) & (F.col(i) <= F.col("_end") - 1)
-    j = cum.join(targets, keys).where(hit("_i0") | hit("_i1"))
-    picked = j.groupBy(*keys, "_q", "_h", "_i0").agg(
-        F.max(F.when(hit("_i0"), F.col(value))).alias("_v0"), F.max(F.when(hit("_i1"), F.col(value))).alias("_v1"))
-    res = picked.select(*keys, "_q", (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_h") - F.col("_i0"))).alias("_x"))
-    return res.groupBy(*keys).pivot("_q", list(qs)).agg(F.first("_x"))
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], buckets: int = 512) -> DataFrame:
+    """``quantiles.exact_quantiles`` with a bracket of 6 / (20 * ``buckets``) of the rows."""
+    from . import quantiles
+    return quantiles.exact_quantiles(df, keys, value, qs, accuracy=20 * buckets)

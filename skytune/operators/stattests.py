@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tails
-from .ranks import average_rank, average_rank_global, cumulative_counts
+from .ranks import average_rank, average_rank_global, positions
 
 # Significance level and conclusion labels.
 ALPHA = 0.05
@@ -185,42 +185,44 @@ def anova_kruskal(df: DataFrame, keys: list[str], group_col: str, value: str) ->
     return totals.join(res, keys, "left").select(*keys, "n_total", "groups", "anova_f", "anova_p", "kruskal_h", "kruskal_p")
 
 
-def bh_adjust(df: DataFrame, family: list[str], p_col: str, out_col: str, buckets: int = 512) -> DataFrame:
+def bh_adjust(df: DataFrame, family: list[str], p_col: str, out_col: str, buckets: int | None = None) -> DataFrame:
     """Benjamini-Hochberg within ``family`` (NULL p stay NULL).
 
     BH only depends on the distinct p values: with m tests and end(v) the
     number of p <= v, adj(v) = min(1, min over v' >= v of v' * m / end(v')).
-    Positions come from bucketed cumulative counts and the suffix minimum is
-    taken inside each bucket and across buckets, so no window holds a whole
-    family (millions of entity tests stay spread over tasks)."""
-    # The result rows are joined back to their own adjusted values by p: write
-    # them once (shared checkpoint folder) so both sides read identical bits;
-    # a recomputed aggregate may differ in its last bit.
-    from ..session import cut_lineage
-    df = cut_lineage(df)
-    keys = list(family)
-    fam = [F.col(c) for c in keys]
-    pv = df.where(F.col(p_col).isNotNull()).select(*fam, F.col(p_col).alias("_p"))
-    if not keys:
-        pv = pv.withColumn("_all", F.lit(0))
-        keys = ["_all"]
-    cum = cumulative_counts(pv, keys, "_p", buckets, keep_bucket=True)
-    m = cum.groupBy(*keys).agg(F.sum("_n").alias("_m"))
-    raw = cum.join(m, keys).withColumn("_raw", F.col("_p") * F.col("_m") / F.col("_end"))
-    within = Window.partitionBy(*keys, "_b").orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    raw = raw.withColumn("_in", F.min("_raw").over(within))
-    later = (raw.groupBy(*keys, "_b").agg(F.min("_raw").alias("_bmin"))
-             .withColumn("_after", F.min("_bmin").over(Window.partitionBy(*keys).orderBy(F.col("_b").desc())
-                                                        .rowsBetween(Window.unboundedPreceding, -1))))
-    adj = raw.join(later.select(*keys, "_b", "_after"), keys + ["_b"]).select(
-        *keys, "_p", F.least(F.lit(1.0), F.least(F.col("_in"), F.coalesce(F.col("_after"), F.col("_in")))).alias("_adj"))
-    adj = adj.select(*[F.col(c).alias(f"_bhk{i}") for i, c in enumerate(family)],
-                     F.col("_p").alias("_bhp"), F.col("_adj").alias("_bha"))
-    cond = F.col(p_col) == F.col("_bhp")
-    for i, c in enumerate(family):
-        cond = cond & F.col(c).eqNullSafe(F.col(f"_bhk{i}"))
-    # rows without a p value take no part in the join (they would all meet in
-    # one of its tasks)
-    joined = df.where(F.col(p_col).isNotNull()).join(adj, cond, "left")
-    return joined.select(*[F.col(c) for c in df.columns], F.col("_bha").alias(out_col)).unionByName(
-        df.where(F.col(p_col).isNull()).withColumn(out_col, F.lit(None).cast("double")))
+    The rows are sample-sorted by p once (``ranks.positions``), which gives
+    end(v); the suffix minimum is taken inside each range and then over the
+    minima of the later ones, so no window holds a whole family (millions of
+    entity tests stay spread over tasks), and nothing is joined back."""
+    rows = positions(df, family, p_col, parts=buckets)
+    mine = Window.partitionBy(*family)
+    sizes = rows.groupBy(*family, "_part").agg(F.count(p_col).alias("_k")).withColumn("_m", F.sum("_k").over(mine))
+    rows = _beside(rows, sizes.drop("_k"), family).withColumn("_raw", F.col(p_col) * F.col("_m") / (F.col("_before") + F.col("_ties")))
+    later = (rows.groupBy(*family, "_part").agg(F.min("_raw").alias("_least"))
+             .withColumn("_after", F.min("_least").over(mine.orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1))))
+    within = Window.partitionBy(*family, "_part").orderBy(F.desc_nulls_first(p_col)).rowsBetween(Window.unboundedPreceding, 0)
+    rows = _beside(rows.withColumn("_in", F.min("_raw").over(within)), later.drop("_least"), family)
+    adjusted = F.when(F.col(p_col).isNotNull(), F.least(F.lit(1.0), F.col("_in"), F.coalesce("_after", F.lit(1.0))))
+    return rows.select(*df.columns, adjusted.alias(out_col))
+
+
+def bh_adjust_all(df: DataFrame, family: list[str], columns: dict[str, str], buckets: int | None = None) -> DataFrame:
+    """T10 for several p columns (p -> adjusted), each a set of families of its
+    own: one sort for all of them."""
+    names = list(columns)
+    whole = df.select(F.monotonically_increasing_id().alias("_rid"), F.struct(*df.columns).alias("_row"), *family, *names)
+    each = F.inline(F.array(*[F.struct(F.lit(i).alias("_which"), F.col(c).cast("double").alias("_p")) for i, c in enumerate(names)]))
+    long = bh_adjust(whole.select("_rid", "_row", *family, each), ["_which", *family], "_p", "_adj", buckets)
+    back = long.groupBy("_rid").agg(F.any_value("_row").alias("_row"), *[
+        F.max(F.when(F.col("_which") == i, F.col("_adj"))).alias(f"_adj{i}") for i in range(len(names))])
+    return back.select("_row.*", *[F.col(f"_adj{i}").alias(out) for i, out in enumerate(columns.values())])
+
+
+def _beside(rows: DataFrame, of_ranges: DataFrame, family: list[str]) -> DataFrame:
+    """``rows`` with the columns of their range: one row per (family, range),
+    as many as ranges and families, is broadcast."""
+    named = of_ranges.withColumnsRenamed({c: f"_of_{i}" for i, c in enumerate([*family, "_part"])})
+    same = F.lit(True)
+    for i, c in enumerate([*family, "_part"]):
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{i}"))
+    return rows.join(F.broadcast(named), same).drop(*[f"_of_{i}" for i in range(len(family) + 1)])

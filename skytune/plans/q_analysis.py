@@ -192,8 +192,7 @@ def feature_corr(spark, sf, features=DAILY_FEATURES):
     long = R.long_of(d, [], [{"feature": f, "feature_col": c, "weather_var": w, "x": F.col(w).cast("double"),
                               "y": F.col(c).cast("double")} for f, c in features for w in WEATHER_VARS])
     t = S.correlation_tests(long, ["feature", "feature_col", "weather_var"], "x", "y", min_n=10)
-    t = S.bh_adjust(t, [], "pearson_p", "pearson_p_adj_bh")
-    t = S.bh_adjust(t, [], "spearman_p", "spearman_p_adj_bh")
+    t = S.bh_adjust_all(t, [], {"pearson_p": "pearson_p_adj_bh", "spearman_p": "spearman_p_adj_bh"})
     pc = S.conclusion(F.col("pearson_p"), F.col("pearson_p_adj_bh"))
     sc = S.conclusion(F.col("spearman_p"), F.col("spearman_p_adj_bh"))
     return t.select("*", pc.alias("pearson_conclusion_005"), sc.alias("spearman_conclusion_005"),
@@ -236,7 +235,7 @@ def feature_group_tests(spark, sf):
     long = R.long_of(d, [], [{"feature": f, "feature_col": c, "g": F.col("good_bad_weather_type"),
                               "v": F.col(c).cast("double")} for f, c in DAILY_FEATURES])
     t = S.two_group_tests(long, ["feature", "feature_col"], "g", "v", BAD, GOOD)
-    t = S.bh_adjust(S.bh_adjust(t, [], "welch_p", "welch_p_adj_bh"), [], "mannwhitney_p", "mannwhitney_p_adj_bh")
+    t = S.bh_adjust_all(t, [], {"welch_p": "welch_p_adj_bh", "mannwhitney_p": "mannwhitney_p_adj_bh"})
     wc = S.conclusion(F.col("welch_p"), F.col("welch_p_adj_bh"))
     return t.select("*", wc.alias("welch_conclusion_005"),
                     S.conclusion(F.col("mannwhitney_p"), F.col("mannwhitney_p_adj_bh")).alias("mannwhitney_conclusion_005"),

@@ -77,8 +77,7 @@ def entity_corr(spark, sf, entity):
     t = S.correlation_tests(long, [entity, "weather_var"], "x", "y", min_n=EN.MIN_DAYS_ENTITY)
     mean = ed.groupBy(entity).agg(F.avg("entity_share").alias("mean_entity_share"))
     t = t.withColumnRenamed("n", "n_days").join(mean, entity)
-    t = S.bh_adjust(S.bh_adjust(t, ["weather_var"], "pearson_p", "pearson_p_adj_bh"),
-                    ["weather_var"], "spearman_p", "spearman_p_adj_bh")
+    t = S.bh_adjust_all(t, ["weather_var"], {"pearson_p": "pearson_p_adj_bh", "spearman_p": "spearman_p_adj_bh"})
     pc = S.conclusion(F.col("pearson_p"), F.col("pearson_p_adj_bh"))
     sc = S.conclusion(F.col("spearman_p"), F.col("spearman_p_adj_bh"))
     return t.select("*", pc.alias("pearson_conclusion_005"), sc.alias("spearman_conclusion_005"),
@@ -178,27 +177,26 @@ def feature_rank_corr(spark, sf):
     weight = F.when(F.coalesce(has, F.lit(False)), F.col("streams")).otherwise(F.col("analysis_weight"))
     long = R.long_of(s, [], [{"feature": f, "x": F.col(f).cast("double"), "r": F.col("rank").cast("double"),
                               "w": weight.cast("double"), "top": F.col("top_50").cast("string")} for f in SONG_FEATURES])
-    # Three tests make several passes over these rows (exact ranks need a
-    # count pass and a join back): write the narrow long frame once instead of
-    # re-running the fact join per pass.
+    # The tests make several passes over these rows: write the narrow long
+    # frame once instead of re-running the fact join per pass.
     long = cut_lineage(long)
-    a = S.correlation_tests(long, ["feature"], "x", "r", min_n=30, rank_scale="global")
-    b = S.correlation_tests(long, ["feature"], "x", "w", min_n=30, rank_scale="global")
+    pairs = R.long_of(long, ["feature", "x"], [{"target": "rank", "y": F.col("r")}, {"target": "weight", "y": F.col("w")}])
+    c = S.correlation_tests(pairs, ["feature", "target"], "x", "y", min_n=30, rank_scale="global")
     t = S.two_group_tests(long, ["feature"], "top", "x", "true", "false", mann_whitney=False)
-    out = a.select("feature", F.col("n").alias("n_rank"), F.col("pearson_r").alias("pearson_r_with_rank"),
-                   F.col("pearson_p").alias("pearson_p_with_rank"), F.col("spearman_rho").alias("spearman_rho_with_rank"),
-                   F.col("spearman_p").alias("spearman_p_with_rank")) \
-        .join(b.select("feature", F.col("n").alias("n_weight"), F.col("pearson_r").alias("pearson_r_with_weight"),
-                       F.col("pearson_p").alias("pearson_p_with_weight"),
-                       F.col("spearman_rho").alias("spearman_rho_with_weight"),
-                       F.col("spearman_p").alias("spearman_p_with_weight")), "feature") \
-        .join(t.select("feature", F.col("welch_t").alias("top50_vs_rest_welch_t"),
-                       F.col("welch_p").alias("top50_vs_rest_welch_p"), F.col("mean_a").alias("top50_mean"),
-                       F.col("mean_b").alias("rest_mean")), "feature")
+    of = lambda target, col: F.max(F.when(F.col("target") == target, F.col(col)))
+    out = c.groupBy("feature").agg(
+        of("rank", "n").alias("n_rank"),
+        of("rank", "pearson_r").alias("pearson_r_with_rank"), of("rank", "pearson_p").alias("pearson_p_with_rank"),
+        of("rank", "spearman_rho").alias("spearman_rho_with_rank"), of("rank", "spearman_p").alias("spearman_p_with_rank"),
+        of("weight", "n").alias("n_weight"),
+        of("weight", "pearson_r").alias("pearson_r_with_weight"), of("weight", "pearson_p").alias("pearson_p_with_weight"),
+        of("weight", "spearman_rho").alias("spearman_rho_with_weight"), of("weight", "spearman_p").alias("spearman_p_with_weight"))
+    out = out.join(t.select("feature", F.col("welch_t").alias("top50_vs_rest_welch_t"),
+                            F.col("welch_p").alias("top50_vs_rest_welch_p"), F.col("mean_a").alias("top50_mean"),
+                            F.col("mean_b").alias("rest_mean")), "feature")
     out = out.select("*", F.when(F.coalesce(has, F.lit(False)), F.lit("streams")).otherwise(F.lit("analysis_weight")).alias("weight_var"),
                      F.greatest(F.abs("spearman_rho_with_rank"), F.abs("spearman_rho_with_weight")).alias("abs_best_corr_rank_or_weight"))
-    for p in ("spearman_p_with_rank", "spearman_p_with_weight", "top50_vs_rest_welch_p"):
-        out = S.bh_adjust(out, [], p, p + "_adj_bh")
+    out = S.bh_adjust_all(out, [], {p: p + "_adj_bh" for p in ("spearman_p_with_rank", "spearman_p_with_weight", "top50_vs_rest_welch_p")})
     return out.select("*", *[F.coalesce(F.col(p + "_adj_bh") < 0.05, F.lit(False)).alias(n) for p, n in (
         ("spearman_p_with_rank", "significant_rank_005"), ("spearman_p_with_weight", "significant_weight_005"),
         ("top50_vs_rest_welch_p", "significant_top50_005"))])

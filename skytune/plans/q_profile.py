@@ -11,7 +11,7 @@ from ..operators import daily as D
 from ..operators import profile as PR
 from ..operators import stattests as S
 from ..operators.weather import BAD_WEATHER_LABEL as BAD, GOOD_WEATHER_LABEL as GOOD
-from ..session import ensure_checkpoint_dir, fingerprint, remove_at_exit
+from ..session import ensure_checkpoint_dir, fingerprint, materialize_once, remove_at_exit
 from ..sources import fixtures as X
 from ..sources.cache import DailyCache
 from . import pipelines as P
@@ -129,6 +129,12 @@ FROM ledger_raw""")
 
 
 def ledger(spark, sf):
+    """The ledger, stored once per application (one row per test): its reports
+    do not run the tests again."""
+    return materialize_once(spark, ("ledger", sf), lambda: _ledger(spark, sf), P.source_files(sf))
+
+
+def _ledger(spark, sf):
     """Eight frames, each built once; all its tests leave it in one pass."""
     def rows(df, analysis, variable, comparison, n, tests, corrected=False):
         entry = lambda test, stat, p: F.struct(
