@@ -167,8 +167,9 @@ def _weighted_parts(w: Column, tag: str, v: Column, flags: dict[str, Column],
 
 def daily_summary(songs: DataFrame, features: list[str] | None = None,
                   sad_threshold: float = SAD_THRESHOLD) -> DataFrame:
-    """The daily summary of the song pipeline: one pass, written at
-    day grain, and a second one over days whose median the sketch leaves open.
+    """The daily summary of the song pipeline: a pass over all
+    columns and a narrow one for the median's sketch, written at day grain;
+    days whose median the sketch leaves open are read once more.
 
     Input: date, rank, streams, valence and the audio features present.
     Days whose rows all lack valence keep their coverage and get NULL metrics.
@@ -196,7 +197,11 @@ def daily_summary(songs: DataFrame, features: list[str] | None = None,
     aggs += [F.avg(F.when(v.isNotNull(), F.col(f))).alias(f"avg_{f}") for f in features]
     aggs += _weighted_parts(streams_nn, "s", v, flags, features)
     aggs += _weighted_parts(rw, "r", v, flags, features)
-    per_day = cut_lineage(songs.groupBy("date").agg(*aggs, *Q.sketch(v, MEDIAN)))
+    # the sketch has a narrow pass of its own: beside it, the other aggregates
+    # would leave generated code
+    sketched = songs.groupBy(F.col("date").alias("_date")).agg(*Q.sketch(v, MEDIAN))
+    per_day = songs.groupBy("date").agg(*aggs)
+    per_day = cut_lineage(per_day.join(sketched, F.col("date").eqNullSafe(F.col("_date"))).drop("_date"))
     # Dataset-level weight choice from the per-day partial sums.  The window
     # has no partition key, but it runs over day-grain rows (one per calendar
     # day), never over song rows.

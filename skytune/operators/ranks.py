@@ -43,27 +43,31 @@ def _changes(t: pa.Table, names: list[str]) -> np.ndarray:
     return out
 
 
-def _numbered(batches: Iterator[pa.RecordBatch], keys: list[str], value: str) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by keys and value, with the partition's number, the place
-    (from 0) of the row's run of equal values among the rows of its keys in this
-    partition, and the run's length.  The last run of what was read is held back
-    until it ends: at most this partition's rows."""
+def _numbered(batches: Iterator[pa.RecordBatch], keys: list[str], value: str, weights: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by keys and value, with the partition's number and, for each
+    weight (the first one counts rows), what the rows of the same keys in this
+    partition that sort before the row's run of equal values weigh, and what the
+    run weighs.  The last run of what was read is held back until it ends: at
+    most this partition's rows."""
     part = TaskContext.get().partitionId()
     held: list[pa.Table] = []             # the open run
-    start = size = 0                      # its place and its rows so far
+    start = size = np.zeros(len(weights) + 1, np.int64)       # what lies before it, and its own weight so far
 
-    def out(t: pa.Table, begin: np.ndarray, length: np.ndarray) -> list[pa.RecordBatch]:
-        for name, kind, v in (("_part", pa.int32(), np.full(t.num_rows, part)), ("_start", pa.int64(), begin), ("_ties", pa.int64(), length)):
-            t = t.append_column(name, pa.array(v, kind))
+    def out(t: pa.Table, begin: np.ndarray, weight: np.ndarray) -> list[pa.RecordBatch]:
+        t = t.append_column("_part", pa.array(np.full(t.num_rows, part), pa.int32()))
+        for name, v in (("_start", begin), ("_ties", weight)):
+            for j in range(v.shape[1]):
+                t = t.append_column(f"{name}{j}", pa.array(v[:, j]))
         return t.to_batches()
 
     def closed(t: pa.Table) -> list[pa.RecordBatch]:
-        return out(t, np.full(t.num_rows, start), np.full(t.num_rows, size))
+        return out(t, np.tile(start, (t.num_rows, 1)), np.tile(size, (t.num_rows, 1)))
 
     for b in batches:
         if not b.num_rows:
             continue
         t = pa.Table.from_batches([b])
+        w = np.stack([np.ones(t.num_rows, np.int64), *[t.column(c).to_numpy() for c in weights]], axis=1)
         seen = pa.concat_tables([held[-1].slice(held[-1].num_rows - 1), t]) if held else t
         new_key = _changes(seen, keys)
         new_run = new_key | _changes(seen, [value])
@@ -72,29 +76,34 @@ def _numbered(batches: Iterator[pa.RecordBatch], keys: list[str], value: str) ->
         first = np.flatnonzero(new_run)
         if not len(first):
             held.append(t)
-            size += t.num_rows
+            size = size + w.sum(axis=0)
             continue
         if held:
-            if first[0]:
-                held.append(t.slice(0, first[0]))
-                size += int(first[0])
+            held.append(t.slice(0, first[0]))
+            size = size + w[:first[0]].sum(axis=0)
             for x in held:
-                yield from closed(x)
-        at = start + size + first - first[0]          # places, were the keys still those of the run before
+                if x.num_rows:
+                    yield from closed(x)
+        runs = np.add.reduceat(w, first, axis=0)
+        at = start + size + np.cumsum(runs, axis=0) - runs        # were the keys still those of the run before
         group = np.cumsum(new_key[first])
-        begin = at - np.where(group > 0, at[np.searchsorted(group, group)], 0)
+        begin = at - np.where(group[:, None] > 0, at[np.searchsorted(group, group)], 0)
         per = np.diff(first)
         if len(per):
-            yield from out(t.slice(first[0], int(first[-1] - first[0])), np.repeat(begin[:-1], per), np.repeat(per, per))
-        held, start, size = [t.slice(first[-1])], int(begin[-1]), int(t.num_rows - first[-1])
+            yield from out(t.slice(first[0], int(first[-1] - first[0])), np.repeat(begin[:-1], per, axis=0), np.repeat(runs[:-1], per, axis=0))
+        held, start, size = [t.slice(first[-1])], begin[-1], runs[-1]
     for x in held:
         yield from closed(x)
 
 
-def positions(df: DataFrame, keys: list[str], value: str, descending: bool = False, parts: int | None = None) -> DataFrame:
+def positions(df: DataFrame, keys: list[str], value: str, descending: bool = False, parts: int | None = None,
+              weights: list[str] | None = None) -> DataFrame:
     """``df`` (stored anew) with ``_before``, the rows of the same keys that
     sort before this row's value, and ``_ties``, those with the same value; both
     exact, and NULL where the value is NULL.  ``_part`` numbers the ranges in order.
+    For the j-th of ``weights`` (columns of whole numbers, not NULL), ``_before{j}``
+    and ``_ties{j}`` add up that column in place of counting rows: a 0/1 column
+    gives positions among some of the rows, all from one sort.
 
     A sample sort: rows are dealt to ranges of (keys, value, a row number), so
     that a value which a third of all rows share spans as many ranges as it
@@ -104,40 +113,56 @@ def positions(df: DataFrame, keys: list[str], value: str, descending: bool = Fal
     ranges times keys, whatever the number of rows."""
     from ..session import cut_lineage
     spark = df.sparkSession
+    weights = weights or []
+    count = range(len(weights) + 1)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
     salted = df.withColumn("_salt", F.monotonically_increasing_id())
     dealt = salted.repartitionByRange(parts, *keys, order, "_salt").drop("_salt").sortWithinPartitions(*keys, order)
-    schema = StructType([*df.schema.fields, StructField("_part", IntegerType()), StructField("_start", LongType()),
-                         StructField("_ties", LongType())])
-    rows = cut_lineage(dealt.mapInArrow(lambda b: _numbered(b, keys, value), schema))
+    schema = StructType([*df.schema.fields, StructField("_part", IntegerType()),
+                         *[StructField(f"{n}{j}", LongType()) for n in ("_start", "_ties") for j in count]])
+    rows = cut_lineage(dealt.mapInArrow(lambda b: _numbered(b, keys, value, weights), schema))
+
     head, tail = (F.max, F.min) if descending else (F.min, F.max)
     pick_head, pick_tail = (F.max_by, F.min_by) if descending else (F.min_by, F.max_by)
+    known = F.col(value).isNotNull()
     ends = rows.groupBy(*keys, "_part").agg(
-        F.count(value).alias("_rows"), head(value).alias("_v0"), tail(value).alias("_v1"),
-        pick_head("_ties", value).alias("_t0"), pick_tail("_ties", value).alias("_t1"))
+        head(value).alias("_v0"), tail(value).alias("_v1"),
+        *[F.sum(F.when(known, F.lit(1) if j == 0 else F.col(weights[j - 1]))).alias(f"_all{j}") for j in count],
+        *[f("_ties" + str(j), value).alias(f"_t{e}{j}") for e, f in ((0, pick_head), (1, pick_tail)) for j in count])
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("_off", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    ends = ends.withColumns({f"_off{j}": F.coalesce(F.sum(f"_all{j}").over(before), F.lit(0)) for j in count})
     # a run at the end of one range goes on at the beginning of the next ones
-    whole = lambda v: Window.partitionBy(*keys, v)
-    runs = ends.select(*keys, "_part", "_off", F.explode(F.array(
-        F.struct(F.lit(0).alias("end"), F.col("_v0").alias("v"), F.col("_t0").alias("n"), F.col("_off").alias("at")),
-        F.struct(F.lit(1).alias("end"), F.col("_v1").alias("v"), F.when(F.col("_v0") != F.col("_v1"), F.col("_t1")).otherwise(F.lit(0)).alias("n"),
-                 (F.col("_off") + F.col("_rows") - F.col("_t1")).alias("at")))).alias("_r")).select(*keys, "_part", "_off", "_r.*")
-    runs = runs.withColumn("_all", F.sum("n").over(whole("v"))).withColumn("_first", F.min("at").over(whole("v")))
-    of = lambda end, c: F.max(F.when(F.col("end") == end, F.col(c)))
-    marks = runs.groupBy(*keys, "_part", "_off").agg(*[of(e, c).alias(f"_{n}{e}") for e in (0, 1) for c, n in (("v", "v"), ("_all", "n"), ("_first", "f"))])
-    renamed = marks.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_part").alias("_part2"),
-                           "_off", "_v0", "_n0", "_f0", "_v1", "_n1", "_f1")
-    same = F.col("_part") == F.col("_part2")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    first = F.struct(F.lit(0).alias("end"), F.col("_v0").alias("v"), *[F.col(f"_t0{j}").alias(f"n{j}") for j in count],
+                     *[F.col(f"_off{j}").alias(f"at{j}") for j in count])
+    last = F.struct(F.lit(1).alias("end"), F.col("_v1").alias("v"),
+                    *[F.when(F.col("_v0") != F.col("_v1"), F.col(f"_t1{j}")).otherwise(F.lit(0)).alias(f"n{j}") for j in count],
+                    *[(F.col(f"_off{j}") + F.col(f"_all{j}") - F.col(f"_t1{j}")).alias(f"at{j}") for j in count])
+    runs = ends.select(*keys, "_part", *[f"_off{j}" for j in count], F.explode(F.array(first, last)).alias("_r"))
+    whole = Window.partitionBy(*keys, "_r.v")
+    runs = runs.withColumns({f"_n{j}": F.sum(f"_r.n{j}").over(whole) for j in count} | {f"_f{j}": F.min(f"_r.at{j}").over(whole) for j in count})
+    of = lambda end, c: F.max(F.when(F.col("_r.end") == end, F.col(c)))
+    marks = runs.groupBy(*keys, "_part", *[f"_off{j}" for j in count]).agg(
+        *[of(e, "_r.v").alias(f"_v{e}") for e in (0, 1)], *[of(e, f"_{c}{j}").alias(f"_{c}{e}{j}") for e in (0, 1) for c in "nf" for j in count])
     v = F.col(value)
-    joined = rows.join(F.broadcast(renamed), same)
-    ended = lambda c, plain: (F.when(v == F.col("_v0"), F.col(f"_{c}0")).when(v == F.col("_v1"), F.col(f"_{c}1"))
-                              .when(v.isNotNull(), plain))
-    return joined.select(*df.columns, "_part", ended("f", F.col("_off") + F.col("_start")).alias("_before"),
-                         ended("n", F.col("_ties")).alias("_ties"))
+
+    def ended(c: str, j: int, plain):
+        return F.when(v == F.col("_v0"), F.col(f"_{c}0{j}")).when(v == F.col("_v1"), F.col(f"_{c}1{j}")).when(known, plain)
+
+    name = lambda n, j: n if j == 0 else f"{n}{j - 1}"
+    return beside(rows, marks, [*keys, "_part"]).select(
+        *df.columns, "_part", *[ended("f", j, F.col(f"_off{j}") + F.col(f"_start{j}")).alias(name("_before", j)) for j in count],
+        *[ended("n", j, F.col(f"_ties{j}")).alias(name("_ties", j)) for j in count])
+
+
+def beside(rows: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``few``, a table with a row per (keys,
+    range) that is broadcast; NULL keys meet each other."""
+    named = few.withColumnsRenamed({c: f"_of_{i}" for i, c in enumerate(on)})
+    same = F.lit(True)
+    for i, c in enumerate(on):
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{i}"))
+    return rows.join(F.broadcast(named), same).drop(*[f"_of_{i}" for i in range(len(on))])
 
 
 def average_rank_global(df: DataFrame, keys: list[str], value: str, out: str, buckets: int | None = None) -> DataFrame:

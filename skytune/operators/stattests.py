@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tails
-from .ranks import average_rank, average_rank_global, positions
+from .ranks import average_rank, average_rank_global, beside, positions
 
 # Significance level and conclusion labels.
 ALPHA = 0.05
@@ -61,22 +61,71 @@ def correlation_tests(df: DataFrame, keys: list[str], x: str, y: str,
         F.covar_samp("_rx", "_ry").alias("_crr"),
         F.stddev_samp("_rx").alias("_srx"), F.stddev_samp("_ry").alias("_sry"),
     )
+    res = _correlation_row(agg, keys, min_n, F.try_divide(F.col("_crr"), F.col("_srx") * F.col("_sry")))
+    return with_all_keys(df, res, keys, ["n"]) if all_keys else res
+
+
+def _correlation_row(agg: DataFrame, keys: list[str], min_n: int, rho) -> DataFrame:
+    """r, rho and their p values from ``n, _vx, _vy`` (sides that vary),
+    ``_cxy, _sx, _sy`` and the unguarded ``rho``."""
     ok = (F.col("n") >= min_n) & F.col("_vx") & F.col("_vy")
 
-    def r_of(c, s1, s2):
-        r = F.try_divide(F.col(c), F.col(s1) * F.col(s2))
+    def guarded(r):
         return F.when(ok, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)))
 
-    out = agg.withColumn("pearson_r", r_of("_cxy", "_sx", "_sy")) \
-             .withColumn("spearman_rho", r_of("_crr", "_srx", "_sry"))
+    out = agg.withColumn("pearson_r", guarded(F.try_divide(F.col("_cxy"), F.col("_sx") * F.col("_sy")))) \
+             .withColumn("spearman_rho", guarded(rho))
     out = out.withColumn("_nu", F.col("n") - 2.0)
     for r, p in (("pearson_r", "pearson_p"), ("spearman_rho", "spearman_p")):
         out = out.withColumn(f"_t_{r}", F.try_divide(F.col(r) * F.sqrt(F.col("n") - 2.0),
                                                      F.sqrt(F.lit(1.0) - F.col(r) * F.col(r))))
         out = tails.with_t_two_sided(out, f"_t_{r}", "_nu", f"_p_{r}")
         out = out.withColumn(p, F.when(F.abs(F.col(r)) >= 1.0, F.lit(0.0)).otherwise(F.col(f"_p_{r}")))
-    res = out.select(*keys, F.col("n").cast("long").alias("n"), "pearson_r", "pearson_p", "spearman_rho", "spearman_p")
-    return with_all_keys(df, res, keys, ["n"]) if all_keys else res
+    return out.select(*keys, F.col("n").cast("long").alias("n"), "pearson_r", "pearson_p", "spearman_rho", "spearman_p")
+
+
+def target_correlations(df: DataFrame, features: list[str], targets: list[str], min_n: int = 10, parts: int | None = None) -> DataFrame:
+    """T1/T2 at row grain: (feature, target, n, ...) for every feature column
+    against every target column, on their pairwise complete rows.
+
+    A target is sorted once for all features (``positions`` with a 0/1 weight
+    per feature: rows that have it), which leaves the target's rank within each
+    feature's rows on the row.  The feature's own ranks need no sort of rows: rows
+    with the same value share one, so sums per (feature, value) are enough, and
+    only distinct values are ranked.  With c = (n + 1) / 2, rho is
+    sum((Rx - c) (Ry - c)) over sqrt of both sums of squares, and such a sum is
+    (n^3 - n - sum(t^2 - 1 over rows)) / 12 for ties of t rows."""
+    base = df.select(*[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(features)],
+                     *[F.col(c).cast("double").alias(f"_y{i}") for i, c in enumerate(targets)])
+    has = {f"_h{i}": F.col(f"_x{i}").isNotNull().cast("long") for i in range(len(features))}
+    results = []
+    for t, target in enumerate(targets):
+        y = f"_y{t}"
+        rows = base.where(F.col(y).isNotNull()).select(*[f"_x{i}" for i in range(len(features))], y).withColumns(has)
+        rows = positions(rows, [], y, parts=parts, weights=list(has))
+        long = rows.select(F.col(y).alias("y"), F.inline(F.array(*[F.struct(
+            F.lit(name).alias("feature"), F.col(f"_x{i}").alias("x"), F.col(f"_before{i}").alias("before"), F.col(f"_ties{i}").alias("ties"))
+            for i, name in enumerate(features)]))).where("x IS NOT NULL")
+        moments = long.groupBy("feature").agg(
+            F.count(F.lit(1)).alias("n"), (F.min("x") < F.max("x")).alias("_vx"), (F.min("y") < F.max("y")).alias("_vy"),
+            F.covar_samp("x", "y").alias("_cxy"), F.stddev_samp("x").alias("_sx"), F.stddev_samp("y").alias("_sy"),
+            F.sum(F.col("ties").cast("double") * F.col("ties") - 1.0).alias("_ty"))
+        values = long.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("before") + (F.col("ties") + 1) / 2.0).alias("ranks"))
+        values = positions(values, ["feature"], "x", parts=parts, weights=["k"])
+        centre, k = (F.col("n") + 1) / 2.0, F.col("k").cast("double")
+        ranked = values.join(F.broadcast(moments.select("feature", "n")), "feature").groupBy("feature").agg(
+            F.sum((F.col("_before0") + (k + 1) / 2.0 - centre) * (F.col("ranks") - k * centre)).alias("_rxy"),
+            F.sum(k * (k * k - 1.0)).alias("_tx"))
+        n = F.col("n").cast("double")
+        square = lambda ties: (n * n * n - n - F.col(ties)) / 12.0
+        one = _correlation_row(moments.join(ranked, "feature"), ["feature"], min_n,
+                               F.try_divide(F.col("_rxy"), F.nullif(F.sqrt(square("_tx")) * F.sqrt(square("_ty")), F.lit(0.0))))
+        results.append(one.withColumn("target", F.lit(target)))
+    out = results[0]
+    for r in results[1:]:
+        out = out.unionByName(r)
+    pairs = df.sparkSession.createDataFrame([(f, t) for f in features for t in targets], "feature string, target string")
+    return with_all_keys(pairs, out, ["feature", "target"], ["n"]).select("feature", "target", "n", "pearson_r", "pearson_p", "spearman_rho", "spearman_p")
 
 
 def _tie_term(d: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -197,11 +246,11 @@ def bh_adjust(df: DataFrame, family: list[str], p_col: str, out_col: str, bucket
     rows = positions(df, family, p_col, parts=buckets)
     mine = Window.partitionBy(*family)
     sizes = rows.groupBy(*family, "_part").agg(F.count(p_col).alias("_k")).withColumn("_m", F.sum("_k").over(mine))
-    rows = _beside(rows, sizes.drop("_k"), family).withColumn("_raw", F.col(p_col) * F.col("_m") / (F.col("_before") + F.col("_ties")))
+    rows = beside(rows, sizes.drop("_k"), [*family, "_part"]).withColumn("_raw", F.col(p_col) * F.col("_m") / (F.col("_before") + F.col("_ties")))
     later = (rows.groupBy(*family, "_part").agg(F.min("_raw").alias("_least"))
              .withColumn("_after", F.min("_least").over(mine.orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1))))
     within = Window.partitionBy(*family, "_part").orderBy(F.desc_nulls_first(p_col)).rowsBetween(Window.unboundedPreceding, 0)
-    rows = _beside(rows.withColumn("_in", F.min("_raw").over(within)), later.drop("_least"), family)
+    rows = beside(rows.withColumn("_in", F.min("_raw").over(within)), later.drop("_least"), [*family, "_part"])
     adjusted = F.when(F.col(p_col).isNotNull(), F.least(F.lit(1.0), F.col("_in"), F.coalesce("_after", F.lit(1.0))))
     return rows.select(*df.columns, adjusted.alias(out_col))
 
@@ -216,13 +265,3 @@ def bh_adjust_all(df: DataFrame, family: list[str], columns: dict[str, str], buc
     back = long.groupBy("_rid").agg(F.any_value("_row").alias("_row"), *[
         F.max(F.when(F.col("_which") == i, F.col("_adj"))).alias(f"_adj{i}") for i in range(len(names))])
     return back.select("_row.*", *[F.col(f"_adj{i}").alias(out) for i, out in enumerate(columns.values())])
-
-
-def _beside(rows: DataFrame, of_ranges: DataFrame, family: list[str]) -> DataFrame:
-    """``rows`` with the columns of their range: one row per (family, range),
-    as many as ranges and families, is broadcast."""
-    named = of_ranges.withColumnsRenamed({c: f"_of_{i}" for i, c in enumerate([*family, "_part"])})
-    same = F.lit(True)
-    for i, c in enumerate([*family, "_part"]):
-        same = same & F.col(c).eqNullSafe(F.col(f"_of_{i}"))
-    return rows.join(F.broadcast(named), same).drop(*[f"_of_{i}" for i in range(len(family) + 1)])

@@ -175,13 +175,12 @@ def feature_rank_corr(spark, sf):
     s = P.song_level(spark, sf)
     has = s.select((F.sum(F.coalesce(F.col("streams"), F.lit(0.0))) > 0).alias("h")).scalar()
     weight = F.when(F.coalesce(has, F.lit(False)), F.col("streams")).otherwise(F.col("analysis_weight"))
-    long = R.long_of(s, [], [{"feature": f, "x": F.col(f).cast("double"), "r": F.col("rank").cast("double"),
-                              "w": weight.cast("double"), "top": F.col("top_50").cast("string")} for f in SONG_FEATURES])
-    # The tests make several passes over these rows: write the narrow long
-    # frame once instead of re-running the fact join per pass.
-    long = cut_lineage(long)
-    pairs = R.long_of(long, ["feature", "x"], [{"target": "rank", "y": F.col("r")}, {"target": "weight", "y": F.col("w")}])
-    c = S.correlation_tests(pairs, ["feature", "target"], "x", "y", min_n=30, rank_scale="global")
+    # The tests make several passes over these rows: write the narrow columns
+    # once instead of re-running the fact join per pass.
+    s = cut_lineage(s.select(*SONG_FEATURES, F.col("rank").cast("double").alias("rank"), weight.cast("double").alias("weight"),
+                             F.col("top_50").cast("string").alias("top")))
+    c = S.target_correlations(s, list(SONG_FEATURES), ["rank", "weight"], min_n=30)
+    long = R.long_of(s, [], [{"feature": f, "x": F.col(f).cast("double"), "top": F.col("top")} for f in SONG_FEATURES])
     t = S.two_group_tests(long, ["feature"], "top", "x", "true", "false", mann_whitney=False)
     of = lambda target, col: F.max(F.when(F.col("target") == target, F.col(col)))
     out = c.groupBy("feature").agg(

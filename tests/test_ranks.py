@@ -81,3 +81,31 @@ def test_describe_of_many_columns(spark):
         assert [got[c].q25, got[c].median, got[c].q75] == pytest.approx(q)
         assert got[c].n_values == len(v) and got[c].std == pytest.approx(statistics.stdev(v)) and (got[c].min, got[c].max) == (min(v), max(v))
     assert got["c"].n_values == 0 and got["c"].median is None
+
+
+def test_weighted_positions(spark):
+    rnd = random.Random(8)
+    rows = [(rnd.choice("ab"), float(rnd.randint(0, 9)), rnd.randint(0, 5), int(rnd.random() < 0.5)) for _ in range(700)]
+    df = spark.createDataFrame(rows, "k string, v double, w long, m long").repartition(3)
+    for r in RK.positions(df, ["k"], "v", parts=9, weights=["w", "m"]).collect():
+        mine = [x for x in rows if x[0] == r.k]
+        less, same = [x for x in mine if x[1] < r.v], [x for x in mine if x[1] == r.v]
+        assert (r._before, r._ties) == (len(less), len(same))
+        assert (r._before0, r._ties0) == (sum(x[2] for x in less), sum(x[2] for x in same))
+        assert (r._before1, r._ties1) == (sum(x[3] for x in less), sum(x[3] for x in same))
+
+
+def test_target_correlations_equal_the_pairwise_tests(spark):
+    from skytune.operators import stattests as S
+    rnd = random.Random(2)
+    maybe = lambda x, p: None if rnd.random() < p else x
+    rows = [(maybe(float(rnd.randint(0, 6)), 0.2), maybe(rnd.random(), 0.1), 3.0, None, maybe(float(rnd.randint(1, 30)), 0.05), maybe(rnd.random() ** 2, 0.3))
+            for _ in range(400)]
+    df = spark.createDataFrame(rows, "a double, b double, flat double, none double, p double, q double").repartition(3)
+    got = {(r.feature, r.target): r for r in S.target_correlations(df, ["a", "b", "flat", "none"], ["p", "q"], min_n=30, parts=5).collect()}
+    assert len(got) == 8
+    for (f, t), r in got.items():
+        want = S.correlation_tests(df.select(F.lit("k").alias("k"), F.col(f).alias("x"), F.col(t).alias("y")), ["k"], "x", "y", min_n=30).first()
+        assert r.n == want.n
+        for c in ("pearson_r", "pearson_p", "spearman_rho", "spearman_p"):
+            assert (r[c] is None) == (want[c] is None) and (r[c] is None or r[c] == pytest.approx(want[c], abs=1e-12)), (f, t, c)
