@@ -92,7 +92,7 @@ def target_correlations(df: DataFrame, features: list[str], targets: list[str],
     per feature: rows that have it), which leaves the target's rank within each
     feature's rows on the row.  The feature's own ranks need no sort of rows: rows
     with the same value share one, so sums per (feature, value) are enough, and
-    only distinct values are ranked.  With c = (n + 1) / 2, rho is
+    only distinct values are ranked.  Moments merge from the same sums, centred.  With c = (n + 1) / 2, rho is
     sum((Rx - c) (Ry - c)) over sqrt of both sums of squares, and such a sum is
     (n^3 - n - sum(t^2 - 1 over rows)) / 12 for ties of t rows."""
     base = df.select(*[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(features)],
@@ -106,19 +106,23 @@ def target_correlations(df: DataFrame, features: list[str], targets: list[str],
         long = rows.select(F.col(y).alias("y"), F.inline(F.array(*[F.struct(
             F.lit(name).alias("feature"), F.col(f"_x{i}").alias("x"), F.col(f"_before{i}").alias("before"), F.col(f"_ties{i}").alias("ties"))
             for i, name in enumerate(features)]))).where("x IS NOT NULL")
-        moments = long.groupBy("feature").agg(
-            F.count(F.lit(1)).alias("n"), (F.min("x") < F.max("x")).alias("_vx"), (F.min("y") < F.max("y")).alias("_vy"),
-            F.covar_samp("x", "y").alias("_cxy"), F.stddev_samp("x").alias("_sx"), F.stddev_samp("y").alias("_sy"),
-            F.sum(F.col("ties").cast("double") * F.col("ties") - 1.0).alias("_ty"))
-        values = long.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("before") + (F.col("ties") + 1) / 2.0).alias("ranks"))
+        # all that is needed of the rows, per distinct value of a feature: one pass
+        values = long.groupBy("feature", "x").agg(
+            F.count(F.lit(1)).alias("k"), F.sum(F.col("before") + (F.col("ties") + 1) / 2.0).alias("ranks"),
+            F.sum(F.col("ties").cast("double") * F.col("ties") - 1.0).alias("ty"),
+            F.avg("y").alias("my"), F.var_pop("y").alias("vy"), F.min("y").alias("y0"), F.max("y").alias("y1"))
         values = positions(values, ["feature"], "x", parts=parts, weights=["k"])
-        centre, k = (F.col("n") + 1) / 2.0, F.col("k").cast("double")
-        ranked = values.join(F.broadcast(moments.select("feature", "n")), "feature").groupBy("feature").agg(
+        k = F.col("k").cast("double")
+        means = values.groupBy("feature").agg(
+            F.sum("k").alias("n"), (F.min("x") < F.max("x")).alias("_vx"), (F.min("y0") < F.max("y1")).alias("_vy"),
+            (F.sum(k * F.col("x")) / F.sum(k)).alias("_mx"), (F.sum(k * F.col("my")) / F.sum(k)).alias("_my"))
+        n, dx, dy, centre = F.col("n").cast("double"), F.col("x") - F.col("_mx"), F.col("my") - F.col("_my"), (F.col("n") + 1) / 2.0
+        sums = values.join(F.broadcast(means), "feature").groupBy("feature", "n", "_vx", "_vy").agg(
+            F.sum(k * dx * dy).alias("_cxy"), F.sqrt(F.sum(k * dx * dx)).alias("_sx"), F.sqrt(F.sum(k * (F.col("vy") + dy * dy))).alias("_sy"),
             F.sum((F.col("_before0") + (k + 1) / 2.0 - centre) * (F.col("ranks") - k * centre)).alias("_rxy"),
-            F.sum(k * (k * k - 1.0)).alias("_tx"))
-        n = F.col("n").cast("double")
+            F.sum(k * (k * k - 1.0)).alias("_tx"), F.sum("ty").alias("_ty"))
         square = lambda ties: (n * n * n - n - F.col(ties)) / 12.0
-        one = _correlation_row(moments.join(ranked, "feature"), ["feature"], min_n,
+        one = _correlation_row(sums, ["feature"], min_n,
                                F.try_divide(F.col("_rxy"), F.nullif(F.sqrt(square("_tx")) * F.sqrt(square("_ty")), F.lit(0.0))))
         results.append(one.withColumn("target", F.lit(target)))
     out = results[0]
