@@ -150,21 +150,24 @@ def daily_coverage(songs: DataFrame) -> DataFrame:
     return d.select("*", safe_ratio("tracks_with_valence", "top200_rows").alias("valence_coverage"))
 
 
-def _weighted_parts(w: Column, tag: str, v: Column, flags: dict[str, Column],
-                    features: list[str]) -> list[Column]:
+def weighted_values(w: Column, tag: str, v: Column, flags: dict[str, Column], features: list[str]) -> dict[str, Column]:
+    """What the weighted means and shares of a weight add up, by name."""
     ok = v.isNotNull() & w.isNotNull() & (w > 0)
-    parts = [F.sum(F.when(ok, v * w)).alias(f"_{tag}_vnum"),
-             F.sum(F.when(ok, w)).alias(f"_{tag}_den"),
-             F.sum(F.when(v.isNotNull(), w)).alias(f"_{tag}_total")]
+    parts = {f"_{tag}_vnum": F.when(ok, v * w), f"_{tag}_den": F.when(ok, w), f"_{tag}_total": F.when(v.isNotNull(), w)}
     for name, fl in flags.items():
-        parts.append(F.sum(F.when(ok & fl, w)).alias(f"_{tag}_{name}"))
+        parts[f"_{tag}_{name}"] = F.when(ok & fl, w)
     for f in features:
         x = F.col(f)
         okf = ok & x.isNotNull()
-        parts += [F.sum(F.when(okf, x * w)).alias(f"_{tag}_{f}_num"), F.sum(F.when(okf, w)).alias(f"_{tag}_{f}_den")]
+        parts |= {f"_{tag}_{f}_num": F.when(okf, x * w), f"_{tag}_{f}_den": F.when(okf, w)}
     return parts
 
 
+def _weighted_parts(w: Column, tag: str, v: Column, flags: dict[str, Column],
+                    features: list[str]) -> list[Column]:
+    return [F.sum(value).alias(name) for name, value in weighted_values(w, tag, v, flags, features).items()]
+
+
 def daily_summary(songs: DataFrame, features: list[str] | None = None,
                   sad_threshold: float = SAD_THRESHOLD) -> DataFrame:
     """The daily summary of the song pipeline: a pass over all
@@ -202,13 +205,20 @@ def daily_summary(songs: DataFrame, features: list[str] | None = None,
     sketched = songs.groupBy(F.col("date").alias("_date")).agg(*Q.sketch(v, MEDIAN))
     per_day = songs.groupBy("date").agg(*aggs)
     per_day = cut_lineage(per_day.join(sketched, F.col("date").eqNullSafe(F.col("_date"))).drop("_date"))
-    # Dataset-level weight choice from the per-day partial sums.  The window
-    # has no partition key, but it runs over day-grain rows (one per calendar
-    # day), never over song rows.
+    per_day = with_weight_choice(per_day).where(F.col("date").isNotNull())
+    return summary_columns(Q.with_quantiles(per_day, songs, ["date"], "valence", MEDIAN), features)
+
+
+def with_weight_choice(per_day: DataFrame) -> DataFrame:
+    """The dataset-level weight choice from the per-day partial sums.  The
+    window has no partition key, but it runs over day-grain rows (one per
+    calendar day), never over song rows."""
     has_streams = F.sum("_stream_sum_all").over(Window.partitionBy()) > 0
-    per_day = per_day.withColumn("_has_streams", F.coalesce(has_streams, F.lit(False))).where(F.col("date").isNotNull())
-    per_day = Q.with_quantiles(per_day, songs, ["date"], "valence", MEDIAN)
+    return per_day.withColumn("_has_streams", F.coalesce(has_streams, F.lit(False)))
+
 
+def summary_columns(per_day: DataFrame, features: list[str]) -> DataFrame:
+    """The columns of the daily summary from a day's partial sums."""
     used = F.col("tracks_with_valence") > 0
     hs = F.col("_has_streams")
 

@@ -1,7 +1,7 @@
 """Query catalogue: name -> (Spark plan builder, DuckDB oracle SQL).
 
 Every query reads the driver's whole tables (through the fixture views) and
-returns a report DataFrame whose DOUBLE columns are rounded to 6 places; the
+returns a report DataFrame whose DOUBLE columns are rounded to 10 significant digits; the
 oracle is wrapped the same way (see ``oracle_sql``).
 """
 
@@ -23,7 +23,7 @@ _QUERIES: dict[str, QueryFn] = {}
 _SQL: dict[str, str] = {}
 DIGITS = SIG_DIGITS
 #: In the order in which their oracle parts build on each other.
-MODULES = ("q_daily", "q_weather", "q_analysis", "q_entity", "q_match", "q_profile")
+MODULES = ("q_daily", "q_weather", "q_analysis", "q_entity", "q_match", "q_profile", "q_states")
 _SCHEMA_FILE = os.path.join(os.path.dirname(__file__), "report_doubles.json")
 
 
