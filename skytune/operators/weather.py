@@ -237,3 +237,16 @@ def extreme_groups(daily: DataFrame, valence_metric: str, sad_metric: str,
     sunny = flag((p < EXTREME_DRY_MM) & (t >= F.col("_q")[1]))
     return d.crossJoin(q).select(*d.columns, rainy.alias("strict_rainy_day"), sunny.alias("strict_sunny_day"),
                                  F.when(sunny, EXTREME_SUNNY).when(rainy, EXTREME_RAINY).alias("extreme_group"))
+
+
+def compared(days: DataFrame, group: str = "extreme_group", least: int = 2) -> DataFrame:
+    """the days of a group, for a comparison.  Raises ``ValueError`` where
+    no day has a group or fewer than ``least`` groups are left (one row of
+    counts reaches the driver); the definitions are then too strict."""
+    chosen = days.where(F.col(group).isNotNull())
+    found = chosen.agg(F.count(F.lit(1)).alias("days"), F.countDistinct(group).alias("groups")).first()
+    if not found["days"]:
+        raise ValueError("no day is in any of the groups: loosen the thresholds")
+    if found["groups"] < least:
+        raise ValueError(f"{found['groups']} of {least} groups have days: loosen the thresholds")
+    return chosen

@@ -23,7 +23,7 @@ _QUERIES: dict[str, QueryFn] = {}
 _SQL: dict[str, str] = {}
 DIGITS = SIG_DIGITS
 #: In the order in which their oracle parts build on each other.
-MODULES = ("q_daily", "q_weather", "q_analysis", "q_entity", "q_match", "q_profile", "q_states")
+MODULES = ("q_daily", "q_weather", "q_analysis", "q_entity", "q_match", "q_profile", "q_states", "q_sources")
 _SCHEMA_FILE = os.path.join(os.path.dirname(__file__), "report_doubles.json")
 
 

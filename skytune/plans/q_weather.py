@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import weather as W
+from ..session import cut_lineage
 from . import pipelines as P
 from .catalog import O, query
 
@@ -121,7 +122,7 @@ FROM ext_groups""", "ext_groups"))
 def extreme_summary(spark, sf):
     """Extreme-group averages and the signed difference to the other
     group (own mean minus the other; the window spans the <= 2 group rows)."""
-    e = _extreme(spark, sf).where(F.col("extreme_group").isNotNull())
+    e = W.compared(cut_lineage(_extreme(spark, sf)))
     g = e.groupBy("extreme_group").agg(
         F.count(F.lit(1)).alias("aantal_dagen"), F.avg("main_avg_valence_metric").alias("gemiddelde_valence"),
         F.avg("main_sad_share_metric").alias("gemiddelde_sad_share"),

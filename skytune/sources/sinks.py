@@ -22,7 +22,9 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        iso_dates(df).write.mode(mode).option("header", True).csv(path)
+        # text as it is: the writer would strip blanks, and escape quotes by a backslash
+        iso_dates(df).write.mode(mode).options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+                                               escape='"').csv(path)
     else:
         w.format(fmt).save(path)
 

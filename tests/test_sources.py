@@ -128,3 +128,9 @@ def test_new_data_under_the_same_path_is_seen(spark, tmp_path):
     assert first is session.materialize_once(spark, ("probe",), build, (path,))
     spark.range(5).write.mode("overwrite").parquet(path)
     assert session.materialize_once(spark, ("probe",), build, (path,)).first().n == 5
+
+
+def test_csv_sink_keeps_text_as_it_is(spark, tmp_path):
+    rows = [(1, " lead"), (2, "trail "), (3, 'say "hi", you'), (4, "back\\slash"), (5, None), (6, "a\nb")]
+    sinks.write_table(spark.createDataFrame(rows, "i int, t string"), str(tmp_path / "c"), "csv")
+    assert sorted((int(r.i), r.t) for r in C.read_text_csv(spark, str(tmp_path / "c")).select("i", "t").collect()) == rows
