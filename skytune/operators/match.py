@@ -1,9 +1,10 @@
 """Chart filtering and feature matching.
 
-The cascade is three LEFT joins against de-duplicated lookups (unique per
-key).  Lookups are not broadcast by hint: AQE turns a join into a broadcast
-only when the lookup's measured size is under the threshold, and splits a
-skewed chart-side partition (a hot track id) otherwise.
+The cascade matches distinct songs, not chart rows, and all its steps in one
+join against de-duplicated lookups (unique per key).  Lookups and matches are not
+broadcast by hint: AQE turns a join into a broadcast only when the measured size
+is under the threshold, and splits a skewed chart-side partition (a hot song)
+otherwise.
 """
 
 from __future__ import annotations
@@ -89,30 +90,60 @@ def spread_blanks(key: Column, *row: Column) -> Column:
     return F.when(key.isNull() | (key == ""), other).otherwise(key)
 
 
+def lookup_entries(lookups: dict[str, DataFrame]) -> DataFrame:
+    """All lookups as one table ``(step, k1, k2, match)``: the keys of a step of
+    the cascade and what it fills in.  Rows without a valence match nothing."""
+    frames = []
+    for step, (method, keys) in enumerate(METHODS):
+        names = [F.col(k) for k in keys] + [F.lit("")] * (2 - len(keys))
+        frames.append(lookups[method].where(F.col("valence").isNotNull()).select(
+            F.lit(step).alias("step"), names[0].alias("k1"), names[1].alias("k2"),
+            F.struct(F.lit(method).alias("merge_method"), *[F.col(x) for x in FEATURE_COLS]).alias("match")))
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+
+
+SONG_KEYS = ("track_id", "title_clean", "artist_clean", "artist_first_clean")
+
+
+def match_songs(songs: DataFrame, lookups: dict[str, DataFrame]) -> DataFrame:
+    """``songs`` (distinct rows of ``SONG_KEYS``) that match, with the ``match``
+    of their first step: every song sends its keys of all steps at once, and the
+    lowest step that finds something wins."""
+    steps = F.array(*[
+        F.struct(F.lit(step).alias("step"), F.col(keys[0]).alias("k1"), (F.col(keys[1]) if len(keys) > 1 else F.lit("")).alias("k2"))
+        for step, (_, keys) in enumerate(METHODS)])
+    sent = songs.select(*SONG_KEYS, F.inline(steps)).where((F.col("k1") != "") & ((F.col("step") == 0) | (F.col("k2") != "")))
+    found = sent.join(lookup_entries(lookups), ["step", "k1", "k2"])
+    return found.groupBy(*SONG_KEYS).agg(F.min_by("match", "step").alias("match"))
+
+
 def cascade_match(charts: DataFrame, lookups: dict[str, DataFrame]) -> DataFrame:
     """Fill features by id, then title+artist, then title+first artist.
 
     A lookup row whose valence is NULL is not a match (the cascade goes on);
-    all features of a row come from the same matched lookup row (struct-level
-    coalesce), and ``merge_method`` records which key matched."""
-    c = charts
-    structs: list[Column] = []
-    for i, (method, keys) in enumerate(METHODS):
-        lk = lookups[method]
-        s = f"_m{i}"
-        lk = lk.select(*[F.col(k).alias(f"_k{i}_{k}") for k in keys],
-                       F.when(F.col("valence").isNotNull(),
-                              F.struct(F.lit(method).alias("merge_method"), *[F.col(x) for x in FEATURE_COLS])).alias(s))
-        cond = None
-        for k in keys:
-            e = spread_blanks(c[k], *[c[x] for x in charts.columns]) == lk[f"_k{i}_{k}"]
-            cond = e if cond is None else cond & e
-        c = c.join(lk, cond, "left").drop(*[f"_k{i}_{k}" for k in keys])
-        structs.append(F.col(s))
-    m = F.coalesce(*structs)
-    base = [x for x in charts.columns]
+    all features of a row come from the same matched lookup row, and
+    ``merge_method`` records which key matched.
+
+    A song stays in a chart for many days and is matched once: the distinct key
+    combinations go through one join with all lookups (``match_songs``), then the
+    chart rows, stored first since they are read twice, meet the result in one
+    join - the only shuffle they may take part in."""
+    charts = cut_lineage(charts)
+    keys = {k: F.coalesce(F.col(k), F.lit("")).alias(k) for k in SONG_KEYS}
+    matched = match_songs(charts.select(*keys.values()).distinct(), lookups)
+    matched = matched.select(*[F.col(k).alias(f"_{k}") for k in SONG_KEYS], "match")
+    none = F.lit(True)
+    for k in SONG_KEYS:
+        none = none & (F.coalesce(F.col(k), F.lit("")) == "")
+    row = [F.col(x) for x in charts.columns]
+    cond = F.when(none, spread_blanks(F.lit(None).cast("string"), *row)).otherwise(keys["title_clean"]) == F.col("_title_clean")
+    for k in SONG_KEYS:
+        if k != "title_clean":
+            cond = cond & (F.coalesce(F.col(k), F.lit("")) == F.col(f"_{k}"))
+    c = charts.join(matched, cond, "left")
+    m = F.col("match")
     return c.select(
-        *base, m["merge_method"].alias("merge_method"),
+        *charts.columns, m["merge_method"].alias("merge_method"),
         *[m[x].alias(x) for x in FEATURE_COLS if x != "track_genre"],
         F.lower(F.regexp_replace(F.coalesce(m["track_genre"], F.lit("unknown")), r"^\s+|\s+$", "")).alias("track_genre"),
         first_artist("artist").alias("artist_first"))

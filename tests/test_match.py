@@ -1,5 +1,7 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from skytune.operators import entity as EN
 from skytune.operators import match as M
 
@@ -53,3 +55,26 @@ def test_entity_shares_sum_to_one_and_exclusions(spark):
     df = spark.createDataFrame(rows, "date date, g string, analysis_weight double")
     out = {r.g: r.entity_share for r in EN.entity_daily_shares(df, "g").collect()}
     assert out == {"pop": 0.25, "rock": 0.75}
+
+
+def test_a_song_is_matched_once_and_chart_rows_meet_one_join(spark):
+    rows = [(i, f"2020-01-{1 + i % 28:02}", float(1 + i), "home", "Top 200", f"spotify:track:{TID}" if i % 2 else None,
+             "Hello" if i % 3 else "", "Adele" if i % 3 else "", 1.0) for i in range(120)]
+    feats = spark.createDataFrame([(1, f"spotify:track:{TID}", "x", "y", "pop", 0.1, 0.1), (2, None, "Hello", "Adele", "rock", 0.2, 0.2)], FEATS)
+    charts = M.chart_filter(spark.createDataFrame(rows, CHARTS), "home", ["ordinal"])
+    out = M.cascade_match(charts, M.feature_lookups(feats, ["ordinal"]))
+    got = {r["rank"]: (r.merge_method, r.valence) for r in out.collect()}
+    assert got == {float(1 + i): ("track_id", 0.1) if i % 2 else ("title_artist", 0.2) if i % 3 else (None, None) for i in range(120)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 1
+    songs = M.match_songs(charts.select(*[F.coalesce(k, F.lit("")).alias(k) for k in M.SONG_KEYS]).distinct(),
+                          M.feature_lookups(feats, ["ordinal"]))
+    assert songs.count() == 3
+
+
+def test_empty_charts_and_empty_lookups(spark):
+    feats = spark.createDataFrame([], FEATS)
+    charts = M.chart_filter(spark.createDataFrame([(1, "2020-01-01", 1.0, "home", "Top 200", None, None, None, 1.0)], CHARTS), "home", ["ordinal"])
+    row, = M.cascade_match(charts, M.feature_lookups(feats, ["ordinal"])).collect()
+    assert row.merge_method is None and row.track_genre == "unknown"
+    assert M.cascade_match(charts.limit(0), M.feature_lookups(feats, ["ordinal"])).collect() == []
