@@ -19,6 +19,8 @@ ALPHA = 0.05
 SIGNIFICANT = "SIGNIFICANT"
 NOT_SIGNIFICANT = "NIET SIGNIFICANT"
 NO_TEST = "GEEN TEST"
+#: The p value of Mann-Whitney is always the normal approximation's.
+MANN_WHITNEY_METHOD = "asymptotic"
 
 
 def conclusion(p, p_adj=None):
@@ -191,7 +193,8 @@ def two_group_tests(df: DataFrame, keys: list[str], group_col: str, value: str,
     res = out.select(*keys, F.lit(group_a).alias("group_a"), F.lit(group_b).alias("group_b"),
                      F.col("n_a").cast("long").alias("n_a"), F.col("n_b").cast("long").alias("n_b"),
                      "mean_a", "mean_b", "median_a", "median_b", "difference_a_minus_b",
-                     "welch_t", "welch_p", "mannwhitney_u", "mannwhitney_p", "cohens_d")
+                     "welch_t", "welch_p", "mannwhitney_u", "mannwhitney_p",
+                     F.when(F.col("mannwhitney_p").isNotNull(), F.lit(MANN_WHITNEY_METHOD)).alias("mannwhitney_method"), "cohens_d")
     if not all_keys:
         return res
     full = with_all_keys(df, res, keys, ["n_a", "n_b"])

@@ -306,6 +306,7 @@ SELECT {K}, '{a}' AS group_a, '{b}' AS group_b, n_a, n_b, mean_a, mean_b, median
        welch_t, CASE WHEN isinf(welch_t) THEN 0.0 WHEN welch_t IS NOT NULL THEN {_T.t_two_sided_sql('welch_t', 'dfw', 'duckdb')} END AS welch_p,
        mannwhitney_u,
        CASE WHEN z <= 0 THEN 1.0 WHEN z IS NOT NULL THEN {_T.norm_two_sided_sql('z', 'duckdb')} END AS mannwhitney_p,
+       CASE WHEN z IS NOT NULL THEN 'asymptotic' END AS mannwhitney_method,
        CASE WHEN n_a >= 2 AND n_b >= 2 AND pooled > 0 THEN difference_a_minus_b / pooled END AS cohens_d
 FROM {name}_ck""")
 
