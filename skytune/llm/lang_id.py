@@ -5,7 +5,10 @@ and the codeword nearest to the predicted bits, by a weighted loss, wins.
 
 * Codewords: with L languages, the rows of a Sylvester-Hadamard matrix of order
   at least max(8, 2 L) without its constant column, so that any two differ in
-  half of the bits; bits that are equal for all languages are left out.
+  half of the bits; bits that are equal for all languages are left out.  With
+  more than ``HADAMARD`` languages, random words of ``RANDOM_BITS`` bits, which
+  differ in about half of them, so that the model does not grow with their number
+  but for one codeword each.
 * Bit classifiers: naive Bayes over letters.  Runs of letters are lower-cased,
   padded with a space; all n-grams of 1 to 3 characters are hashed to
   ``DIMENSIONS``.  Bit b weighs an n-gram by ln P(g | languages with b = 1) -
@@ -13,7 +16,8 @@ and the codeword nearest to the predicted bits, by a weighted loss, wins.
   text is the mean weight of its n-grams, in units of the spread of this mean
   over the fitted texts.
 * The counts behind the weights come from every training row (one sum per
-  language and dimension, made in Spark).  Bit weights (accuracy of each
+  language and dimension), and the weights from these, both made in Spark; the
+  driver receives one number per dimension and bit.  Bit weights (accuracy of each
   classifier) and spreads come from a bounded sample of training rows:
   ``SAMPLE_ROWS`` rows with the smallest hash of doc_id.
 * Decoding: loss(c) = sum over bits of weight_b * exp(-code_cb * margin_b); the
@@ -28,7 +32,7 @@ Defined results: ``und`` with score 0 for a null text, a text without a letter,
 or when there is nothing to learn from; ambiguous is then true.  With a single
 language in training every other text gets it, with score 1.  An empty table
 gives an empty table; repeated rows count and are returned as often as they
-come; languages beyond ``MAX_LANGUAGES`` (the rarest) are not learned.
+come.  Every language found is learned.
 """
 
 from __future__ import annotations
@@ -44,7 +48,8 @@ from .common import ship, stored
 
 DIMENSIONS = 1 << 14
 SAMPLE_ROWS = 4000
-MAX_LANGUAGES = 256
+HADAMARD, RANDOM_BITS = 256, 512
+_BLOCK = 256                      # dimensions of one group
 AMBIGUITY = 0.05
 SMOOTHING = 0.5
 UND = "und"
@@ -92,14 +97,17 @@ def _pieces(text: str) -> list[str]:
 
 
 def codewords(n: int) -> np.ndarray:
-    """n rows of +1 / -1, any two of which differ in half of the columns."""
-    order = 8
-    while order < 2 * n:
-        order *= 2
-    h = np.array([[1]])
-    while len(h) < order:
-        h = np.block([[h, h], [h, -h]])
-    rows = h[order - n:, 1:] if n > 1 else h[:1, 1:]
+    """n rows of +1 / -1, any two of which differ in (about) half of the columns."""
+    if n > HADAMARD:
+        rows = np.random.default_rng(7).choice(np.array([-1, 1]), (n, RANDOM_BITS))
+    else:
+        order = 8
+        while order < 2 * n:
+            order *= 2
+        h = np.array([[1]])
+        while len(h) < order:
+            h = np.block([[h, h], [h, -h]])
+        rows = h[order - n:, 1:] if n > 1 else h[:1, 1:]
     vary = (rows != rows[0]).any(axis=0)
     return rows[:, vary]
 
@@ -123,8 +131,10 @@ class Model:
         return total / n if n else None
 
     def losses(self, margin: np.ndarray) -> np.ndarray:
+        """sum of weight * exp(-code * margin), each term one of two values."""
         m = np.clip(margin / self.spread, -8, 8)
-        return np.exp(-self.code * m) @ self.weight / self.weight.sum()
+        near, far = self.weight * np.exp(-m), self.weight * np.exp(m)
+        return ((near + far).sum() + self.code @ (near - far)) / 2 / self.weight.sum()
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         if not self.languages:
@@ -155,8 +165,9 @@ def _texts(batch: pa.RecordBatch, name: str):
 
 
 def fit(train: DataFrame) -> Model:
-    """``train(doc_id, text, lang)``, lang not null.  The driver receives one
-    sum per language and dimension, and margins of ``SAMPLE_ROWS`` texts."""
+    """``train(doc_id, text, lang)``, lang not null.  The driver receives the
+    languages with their totals, one number per dimension and bit, and margins
+    of ``SAMPLE_ROWS`` texts."""
     spark = train.sparkSession
 
     def count(batches):
@@ -177,19 +188,37 @@ def fit(train: DataFrame) -> Model:
     counts = (train.select("lang", "text").mapInArrow(count, "lang string, dim int, n long")
               .groupBy("lang", "dim").agg(F.sum("n").alias("n")))
     counts = stored(counts)
-    top = [r["lang"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
-    languages = sorted(top)
+    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    languages = sorted(totals)
     code = codewords(len(languages))
     if not languages:
         return Model([], code, np.zeros((DIMENSIONS, 0)))
-    got = counts.where(F.col("lang").isin(languages)).toPandas()
-    share = np.full((len(languages), DIMENSIONS), SMOOTHING)
-    share[got["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(int), got["dim"].to_numpy(int)] += got["n"].to_numpy()
-    share /= share.sum(axis=1, keepdims=True)
-    table = np.empty((DIMENSIONS, code.shape[1]), np.float32)
-    for b in range(code.shape[1]):
-        on = code[:, b] > 0
-        table[:, b] = np.log(share[on].mean(axis=0)) - np.log(share[~on].mean(axis=0))
+    # P(g | language) = (n + SMOOTHING) / whole; bits weigh the means over their languages
+    whole = np.array([totals[x] for x in languages], float) + SMOOTHING * DIMENSIONS
+    on, off = code > 0, code <= 0
+    floor_on, floor_off = (SMOOTHING * (side / whole[:, None]).sum(axis=0) / np.maximum(side.sum(axis=0), 1) for side in (on, off))
+    place = {x: i for i, x in enumerate(languages)}
+    sent = spark.sparkContext.broadcast((place, whole, on, floor_on, floor_off))
+
+    def weigh(t: pa.Table) -> pa.Table:
+        place, whole, on, floor_on, floor_off = sent.value
+        who = np.array([place[x] for x in t.column("lang").to_pylist()])
+        dims, row = np.unique(t.column("dim").to_numpy(), return_inverse=True)
+        share = t.column("n").to_numpy() / whole[who]
+        sums = np.zeros((len(dims), on.shape[1])), np.zeros((len(dims), on.shape[1]))
+        for i in np.argsort(who, kind="stable").tolist():
+            sums[0][row[i]] += share[i] * on[who[i]]
+            sums[1][row[i]] += share[i] * ~on[who[i]]
+        up = sums[0] / np.maximum(on.sum(axis=0), 1) + floor_on
+        down = sums[1] / np.maximum((~on).sum(axis=0), 1) + floor_off
+        weights = (np.log(up) - np.log(down)).astype(np.float32)
+        return pa.table({"dim": pa.array(dims.astype(np.int32)), "w": pa.array(list(weights), pa.list_(pa.float32()))})
+
+    table = np.tile((np.log(floor_on) - np.log(floor_off)).astype(np.float32), (DIMENSIONS, 1))
+    if code.shape[1]:
+        got = counts.groupBy(F.floor(F.col("dim") / _BLOCK)).applyInArrow(weigh, "dim int, w array<float>").toPandas()
+        if len(got):
+            table[got["dim"].to_numpy()] = np.stack(got["w"].to_list())
     model = Model(languages, code, table)
     if code.shape[1] == 0:
         return model
@@ -202,13 +231,13 @@ def fit(train: DataFrame) -> Model:
                 yield pa.record_batch({"lang": pa.array([x for x, _ in got]), "m": pa.array([m for _, m in got], pa.list_(pa.float64()))})
 
     n = train.count()
-    few = train.where(F.col("lang").isin(languages))
+    few = train
     if n > SAMPLE_ROWS:      # at most about SAMPLE_ROWS rows, whatever the input
         few = few.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * SAMPLE_ROWS / n))
     sample = few.select("lang", "text").mapInArrow(margins, "lang string, m array<double>").limit(2 * SAMPLE_ROWS).toPandas()
     if len(sample):
         m = np.stack(sample["m"].to_list())
-        truth = code[sample["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(int)]
+        truth = code[sample["lang"].map(place).to_numpy(int)]
         model.spread = np.maximum(np.abs(m).mean(axis=0), 1e-6)
         right = ((np.sign(m) == truth).sum(axis=0) + 1) / (len(m) + 2)
         model.weight = np.maximum(np.log(right / (1 - right)), 1e-3)

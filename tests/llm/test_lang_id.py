@@ -84,3 +84,65 @@ def test_clear_texts_are_not_ambiguous_however_many_languages(n):
         assert m.predict("clear")[::2] == (f"l{i:03}", False)
         m.margins = lambda text, i=i: (code[i] + code[(i + 1) % n]) / 2
         assert m.predict("half and half")[2]
+
+
+def brute(train, texts):
+    """The same classifier written out, one language and one n-gram at a time."""
+    from collections import Counter
+    from math import exp, log
+    langs = sorted({lang for _, _, lang in train if len(L.ngrams_any(_text(train, lang)))})
+    code = L.codewords(len(langs))
+    counts = {x: Counter() for x in langs}
+    for _, t, lang in train:
+        if lang in counts:
+            counts[lang].update(L.ngrams(t or "").tolist())
+    share = lambda x, g: (counts[x][g] + L.SMOOTHING) / (sum(counts[x].values()) + L.SMOOTHING * L.DIMENSIONS)
+
+    def margin(text, b):
+        gs = L.ngrams(text).tolist()
+        on, off = ([x for x, c in zip(langs, code) if (c[b] > 0) == side] for side in (True, False))
+        w = {g: log(sum(share(x, g) for x in on) / len(on)) - log(sum(share(x, g) for x in off) / len(off)) for g in set(gs)}
+        return sum(w[g] for g in gs) / len(gs)
+
+    bits = range(code.shape[1])
+    fitted = [(langs.index(lang), [margin(t, b) for b in bits]) for _, t, lang in train]
+    spread = [max(sum(abs(m[b]) for _, m in fitted) / len(fitted), 1e-6) for b in bits]
+    weight = []
+    for b in bits:
+        right = (sum((m[b] > 0) == (code[i][b] > 0) for i, m in fitted) + 1) / (len(fitted) + 2)
+        weight.append(max(log(right / (1 - right)), 1e-3))
+    out = []
+    for t in texts:
+        m = [max(-8, min(8, margin(t, b) / spread[b])) for b in bits]
+        loss = [sum(weight[b] * exp(-c[b] * m[b]) for b in bits) / sum(weight) for c in code]
+        p = [exp(min(loss) - x) for x in loss]
+        out.append((langs[p.index(max(p))], max(p) / sum(p)))
+    return out
+
+
+def _text(train, lang):
+    return " ".join(t or "" for _, t, x in train if x == lang)
+
+
+@pytest.mark.parametrize("most", [256, 3])
+def test_equals_a_version_written_out(make, monkeypatch, most):
+    monkeypatch.setattr(L, "HADAMARD", most)
+    monkeypatch.setattr(L, "RANDOM_BITS", 24)
+    rows = corpus(36)
+    train = [(d, t, lang) for d, t, lang, _ in rows if zlib.crc32(str(d).encode()) % 3 != 1]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in L.identify(make(rows)).collect()}
+    for (d, t, _, _), (lang, score) in zip(rows, brute(train, [t for _, t, _, _ in rows])):
+        assert got[d][0] == lang and got[d][1] == pytest.approx(score, rel=1e-4)
+
+
+def test_every_language_is_learned(make, monkeypatch):
+    """More languages than the Hadamard words serve, some with few rows."""
+    monkeypatch.setattr(L, "HADAMARD", 8)
+    monkeypatch.setattr(L, "RANDOM_BITS", 64)
+    rng = np.random.default_rng(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{i:02}": ["".join(rng.choice(list(letters), 6)) for _ in range(8)] for i in range(20)}
+    rows = [(1000 * j + i, " ".join(rng.choice(words[x], 25)), x, "s") for j, x in enumerate(words) for i in range(6 if j % 2 else 12)]
+    out = {r.doc_id: r for r in L.identify(make(rows)).collect()}
+    held = [(d, x) for d, _, x, _ in rows if zlib.crc32(str(d).encode()) % 3 == 1]
+    assert np.mean([out[d].lang_pred == x for d, x in held]) > 0.97 and {out[d].lang_pred for d, _ in held} == {x for _, x in held}
