@@ -12,8 +12,9 @@ of ln P(token | both sides) over all its tokens.
   P(word | bucket), the latter from the counts of all words (Witten-Bell: a word
   seen n times has n / (N + T + 1), with N tokens of T words in the bucket; the
   unseen ones share (T + 1) / (N + T + 1) by a uniform model of their bytes).
-  The counts of all words stay a Spark table, joined to the distinct rare words
-  of each document.
+  The counts of all words stay a Spark table.  Tasks hold its most frequent
+  words, ``NEAR`` at most; only the words beyond these are joined to it, as
+  distinct words of each document.
 * Network: hidden = tanh(sum over places of scale_place * E[token] + bias);
   P(token) = P(class | hidden) * P(token | class, hidden).  Biases start at the
   corpus' own frequencies, so that training starts from the unigram model.
@@ -34,6 +35,7 @@ as often as they come.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -52,6 +54,9 @@ PAD = CLASSES * CLASSES
 WIDTH = 16
 WINDOW = 2
 PLACES = (-2, -1, 1, 2)
+NEAR = 1 << 17                    # rare words whose probability inside the bucket tasks hold: some 20 MB a worker
+_CODES = 1 << 11                  # above all ids
+MEMO = 1 << 17                    # buckets of words a task remembers
 ROUNDS = 2
 RATE = 0.05
 BATCH = 8192
@@ -67,14 +72,33 @@ params = sum(int(np.prod(s)) for s in _SHAPES.values())
 # ---- tokens ------------------------------------------------------------------
 
 class Vocabulary(dict):
-    """Ids of the ``TOP`` words; ``rare``: a Spark table (word, inside) of all
-    others with ln P(word | bucket); ``unseen``: ln of what each bucket leaves
-    to words that the corpus does not hold."""
+    """Ids of the ``TOP`` words; ``near``: ln P(word | bucket) of at most ``NEAR``
+    next ones, in steps of 1 / ``_FIXED``; ``rare``: a Spark table (word, inside) of
+    all words outside the vocabulary, ``far``: of those that ``near`` lacks;
+    ``unseen``: ln of what each bucket leaves to words that the corpus does not
+    hold."""
 
+    near: dict[bytes, int]
     rare: DataFrame
+    far: DataFrame
     unseen: list[float]
 
 
+class Ids(dict):
+    """Ids of all words: those of a vocabulary, and the buckets of others as
+    they come up."""
+
+    def __init__(self, vocab: dict[bytes, int]):
+        super().__init__(vocab)
+        self.limit = len(vocab) + MEMO
+
+    def __missing__(self, word: bytes) -> int:
+        i = TOP + crc32(word) % RARE
+        if len(self) < self.limit:
+            self[word] = i
+        return i
+
+
 def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
@@ -100,16 +124,37 @@ def count_words(df: DataFrame, text: str) -> DataFrame:
 
 
 def token_ids(text: str | None, vocab: dict[bytes, int]) -> list[int]:
-    get = vocab.get
-    return [i if (i := get(w)) is not None else TOP + crc32(w) % RARE for w in words(text)]
-
-
-def rare_words(texts, vocab: dict[bytes, int]) -> pa.Array:
-    """The distinct words outside ``vocab`` of each text and their numbers."""
-    found = [Counter(w for w in words(t) if w not in vocab) for t in texts]
-    items = pa.StructArray.from_arrays([pa.array([w for c in found for w in c], pa.binary()),
-                                        pa.array([n for c in found for n in c.values()], pa.int64())], names=["word", "n"])
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(c) for c in found])], pa.int32()), items)
+    ids = vocab if isinstance(vocab, Ids) else Ids(vocab)
+    return [ids[w] for w in words(text)]
+
+
+def coded(vocab: dict[bytes, int], near: dict[bytes, int]) -> tuple[dict[bytes, int], np.ndarray]:
+    """One number per known word, its id and (times ``_CODES``) its place among
+    ``near``, from 1; and the values at these places."""
+    codes = dict(vocab)
+    for place, w in enumerate(near, start=1):
+        codes[w] = TOP + crc32(w) % RARE + _CODES * place
+    return codes, np.array([0, *near.values()], np.int64)
+
+
+def rare_words(split: list[list[bytes]], codes: np.ndarray, near: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Of each text (its words; ``codes`` of all texts' words): the sum of the
+    values of its words in ``near``, and the distinct words outside both the
+    vocabulary and ``near`` with their numbers."""
+    sizes = np.array([len(w) for w in split], np.int64)
+    doc = np.repeat(np.arange(len(split)), sizes)
+    held = np.flatnonzero(codes >= _CODES)
+    sums = np.zeros(len(split), np.int64)
+    np.add.at(sums, doc[held], near[codes[held] // _CODES])
+    far: list[dict[bytes, int]] = [{} for _ in split]
+    starts = np.cumsum(sizes) - sizes
+    at = np.flatnonzero((codes >= TOP) & (codes < _CODES))
+    for i, k in zip(doc[at].tolist(), (at - starts[doc[at]]).tolist()):
+        w, d = split[i][k], far[i]
+        d[w] = d.get(w, 0) + 1
+    items = pa.StructArray.from_arrays([pa.array([w for c in far for w in c], pa.binary()),
+                                        pa.array([n for c in far for n in c.values()], pa.int64())], names=["word", "n"])
+    return pa.array(sums), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(c) for c in far])], pa.int32()), items)
 
 
 def windows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,14 +285,16 @@ def unflat(v: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _joined_ids(texts, vocab) -> tuple[np.ndarray, list[int]]:
-    out, sizes = [PAD] * WINDOW, []
-    for t in texts:
-        ids = token_ids(t, vocab)
-        sizes.append(len(ids))
-        out.extend(ids)
-        out.extend([PAD] * WINDOW)
-    return np.array(out, np.int16), sizes
+def flat_ids(split: list[list[bytes]], vocab: dict[bytes, int]) -> np.ndarray:
+    ids = vocab if isinstance(vocab, Ids) else Ids(vocab)
+    return np.fromiter(map(ids.__getitem__, chain.from_iterable(split)), np.int32, sum(map(len, split)))
+
+
+def padded(ids: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """The texts' ids one after another, parted by PADs."""
+    out = np.full(len(ids) + WINDOW * (len(sizes) + 1), PAD, np.int16)
+    out[np.arange(len(ids)) + WINDOW * (np.repeat(np.arange(len(sizes)), sizes) + 1)] = ids
+    return out
 
 
 # ---- Spark -----------------------------------------------------------------------
@@ -272,7 +319,18 @@ def train(df: DataFrame, text: str, doc_id: str, rounds: int = ROUNDS):
         freq[TOP + r["bucket"]], kinds[r["bucket"]] = r["n"], r["kinds"]
     mass = np.log(freq[TOP:] + kinds + 1)
     vocab.unseen = (np.log(kinds + 1) - mass).tolist()
-    vocab.rare = others.select("word", (F.ln("n") - _of_bucket(mass.tolist())).alias("inside"))
+    inside = others.select("word", "n", (F.ln("n") - _of_bucket(mass.tolist())).alias("inside"))
+    vocab.rare = inside.select("word", "inside")
+    # by powers of two of the counts: at most 64 numbers tell which words fit
+    size = F.floor(F.log2("n")).cast("int")
+    least, fit = 64, 0
+    for r in sorted(others.groupBy(size.alias("size")).count().collect(), reverse=True):
+        if (fit := fit + r["count"]) > NEAR:
+            break
+        least = r["size"]
+    vocab.near = {bytes(r["word"]): round(r["inside"] * _FIXED) for r in inside.where(size >= least).collect()}
+    inside = inside.where(size < least)
+    vocab.far = inside.select("word", F.round(F.col("inside") * _FIXED).cast("long").alias("inside"))
     net = start_network(freq)
     narrow = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     for r in range(rounds):
@@ -280,11 +338,12 @@ def train(df: DataFrame, text: str, doc_id: str, rounds: int = ROUNDS):
 
         def learn(batches, held=held):
             vocab, net = held.value
+            vocab = Ids(vocab)
             t = Trainer(net)
             for b in batches:
                 for lo in range(0, b.num_rows, 256):
-                    ids, _ = _joined_ids((v.as_py() for v in b.column("text").slice(lo, 256)), vocab)
-                    t.learn(ids)
+                    split = [words(v) for v in b.column("text").slice(lo, 256).to_pylist()]
+                    t.learn(padded(flat_ids(split, vocab), [len(w) for w in split]))
             if t.tokens:
                 value = np.rint(flat(t.net).astype(np.float64) * _FIXED).astype(np.int64)
                 yield pa.record_batch({"place": pa.array(np.arange(params, dtype=np.int32)), "value": pa.array(value),
@@ -305,7 +364,12 @@ def train(df: DataFrame, text: str, doc_id: str, rounds: int = ROUNDS):
 def document_scores(texts, vocab, net) -> tuple[list[int], np.ndarray]:
     """Tokens of each text and its sum of ln P(class member | both sides): for
     a rare word that of its bucket."""
-    ids, sizes = _joined_ids(texts, vocab)
+    split = [words(t) for t in texts]
+    return token_scores(flat_ids(split, vocab), [len(w) for w in split], net)
+
+
+def token_scores(flat: np.ndarray, sizes: list[int], net) -> tuple[list[int], np.ndarray]:
+    ids = padded(flat, sizes)
     at, context = windows(ids)
     logp, table = np.empty(len(at)), places_table(net)
     for i in range(0, len(at), BATCH):
@@ -316,39 +380,46 @@ def document_scores(texts, vocab, net) -> tuple[list[int], np.ndarray]:
     return sizes, np.bincount(doc, weights=logp, minlength=len(sizes))
 
 
-def score(df: DataFrame, vocab: Vocabulary, net, text: str = "text") -> DataFrame:
-    """``df`` with ``n_tokens, pll, mean_pll`` (existing ones are replaced)."""
+def score(df: DataFrame, vocab: Vocabulary, net, text: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """``df``, or some ``columns`` of it, with ``n_tokens, pll, mean_pll``
+    (existing ones are replaced)."""
     spark = df.sparkSession
     df = df.drop("n_tokens", "pll", "mean_pll")
-    numbered = df.withColumn("__row", F.monotonically_increasing_id())
-    schema = StructType([*numbered.schema.fields, *StructType.fromDDL(
-        "n_tokens long, __network double, __rare array<struct<word: binary, n: long>>").fields])
+    columns = df.columns if columns is None else columns
+    numbered = df.select(*[F.col(f"`{c}`") for c in columns], F.monotonically_increasing_id().alias("__row"), F.col(f"`{text}`").alias("__text"))
+    schema = StructType([*numbered.schema.fields[:-1], *StructType.fromDDL(
+        "n_tokens long, __network double, __near long, __rare array<struct<word: binary, n: long>>").fields])
     target = to_arrow(spark, schema)
-    held = spark.sparkContext.broadcast((dict(vocab), net))
+    held = spark.sparkContext.broadcast((*coded(vocab, vocab.near), net))
 
     def run(batches):
-        vocab, net = held.value
+        codes, near, net = held.value
+        codes = Ids(codes)
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                texts = part.column(text).to_pylist()
-                sizes, sums = document_scores(texts, vocab, net)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sizes, pa.int64()), pa.array(sums),
-                                                  rare_words(texts, vocab).cast(target.field("__rare").type)], schema=target)
+                split = [words(t) for t in part.column("__text").to_pylist()]
+                found = flat_ids(split, codes)
+                sizes, sums = token_scores(found % _CODES, [len(w) for w in split], net)
+                inside, far = rare_words(split, found, near)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sizes, pa.int64()), pa.array(sums), inside,
+                                                  far.cast(target.field("__rare").type)], schema=target)
 
     scored = stored(numbered.mapInArrow(run, schema))
-    unseen = _of_bucket(vocab.unseen) - float(np.log(_FIRST)) - F.length("word") * float(np.log(_NEXT))
+    unseen = (_of_bucket(vocab.unseen) - float(np.log(_FIRST)) - F.length("word") * float(np.log(_NEXT))) * _FIXED
     # whole numbers, so that the order of summation does not matter; no word that is one of many tokens is a key here
     inside = (scored.select("__row", F.explode("__rare").alias("r")).select("__row", "r.word", "r.n")
-              .join(vocab.rare, "word", "left")
-              .groupBy("__row").agg(F.sum(F.col("n") * F.round(F.coalesce("inside", unseen) * _FIXED).cast("long")).alias("__inside")))
-    pll = F.col("__network") + F.coalesce("__inside", F.lit(0)) / _FIXED
-    return (scored.join(inside, "__row", "left").withColumn("pll", pll)
-            .select(*[F.col(f"`{c}`") for c in df.columns], "n_tokens", "pll",
+              .join(vocab.far, "word", "left")
+              .groupBy("__row").agg(F.sum(F.col("n") * F.coalesce("inside", F.round(unseen).cast("long"))).alias("__inside")))
+    pll = F.col("__network") + (F.col("__near") + F.coalesce("__inside", F.lit(0))) / _FIXED
+    return (scored.drop("__rare").join(inside, "__row", "left").withColumn("pll", pll)
+            .select(*[F.col(f"`{c}`") for c in columns], "n_tokens", "pll",
                     F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")).alias("mean_pll")))
 
 
-def score_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
-    """Train on all rows of ``df`` and score all of them."""
+def score_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", rounds: int = ROUNDS,
+                    columns: list[str] | None = None) -> DataFrame:
+    """Train on all rows of ``df`` and score all of them; ``columns`` of ``df``
+    to keep, all by default."""
     ship(df.sparkSession)
-    return score(df, *train(df, text, doc_id, rounds), text=text)
+    return score(df, *train(df, text, doc_id, rounds), text=text, columns=columns)

@@ -72,10 +72,20 @@ def op1_quality_rules(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
 
 
-def _op1_sql() -> str:
-    from .quality import ALPHA, DELTA, MAX_STRATA, SIGNALS
+def quality_rules_loose(spark, sf_dir):
+    """Operator 1 with looser risks, so that rules are certified from the few labels of a small table as well."""
+    from .quality import score_quality
+    return score_quality(pick(documents(spark, sf_dir), "doc_id", "text", "lang"), table(spark, sf_dir, "labels"), **LOOSE).select(
+        "doc_id", "base_failed", "kept", "rejected_by")
+
+
+LOOSE = {"alpha": 0.5, "delta": 0.2}
+
+
+def _op1_sql(alpha: float, delta: float) -> str:
+    from .quality import SIGNALS
     m = len(SIGNALS)
-    a = ALPHA / m
+    a = alpha / m
     signals = ", ".join(f"CASE WHEN {den} > 0 THEN CAST(floor(1000 * {num} / {den}) AS BIGINT) ELSE 0 END AS {s}"
                         for s, (num, den, _) in SIGNALS.items())
     per_signal = "\nUNION ALL ".join(f"SELECT stratum, good, '{s}' AS signal, {s} AS v FROM labelled" for s in SIGNALS)
@@ -109,8 +119,7 @@ one_label AS (
   SELECT doc_id, min(CASE WHEN quality > 0 THEN 1 ELSE 0 END) AS good FROM labels
   WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
 own AS (
-  SELECT '=' || lang AS own FROM counted JOIN one_label USING (doc_id) WHERE NOT base_failed AND lang IS NOT NULL
-  GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT {MAX_STRATA}),
+  SELECT '=' || lang AS own FROM counted JOIN one_label USING (doc_id) WHERE NOT base_failed AND lang IS NOT NULL GROUP BY 1),
 judged AS (SELECT counted.*, coalesce(own, 'other') AS stratum FROM counted LEFT JOIN own ON '=' || lang = own),
 labelled AS (SELECT * FROM judged JOIN one_label USING (doc_id) WHERE NOT base_failed),
 each AS ({per_signal}),
@@ -121,7 +130,7 @@ tested AS (
 walked AS (
   SELECT *, bool_and(CASE WHEN n_good > 0 AND k_good <= {a!r} * n_good THEN list_sum(list_transform(range(0, k_good::BIGINT + 1), lambda i:
              exp(lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1) + i * ln({a!r}::DOUBLE) + (n_good - i) * ln(1 - {a!r}::DOUBLE))))
-           ELSE 1 END <= {DELTA!r} / ((SELECT count(DISTINCT stratum) FROM labelled) * {m}))
+           ELSE 1 END <= {delta!r} / ((SELECT count(DISTINCT stratum) FROM labelled) * {m}))
            OVER (PARTITION BY stratum, signal ORDER BY cutoff DESC) AS ok,
          k_bad * n_good - k_good * n_bad AS gain
   FROM tested),
@@ -136,7 +145,13 @@ FROM final
 """
 
 
-register(op1_quality_rules, _op1_sql())
+def _register_op1():
+    from .quality import ALPHA, DELTA
+    register(op1_quality_rules, _op1_sql(ALPHA, DELTA))
+    register(quality_rules_loose, f"SELECT doc_id, base_failed, kept, rejected_by FROM ({_op1_sql(**LOOSE)})")
+
+
+_register_op1()
 
 
 def op8_secret_scan(spark, sf_dir):
@@ -176,7 +191,7 @@ register(op5_source_mixing)
 
 def op3_lm_scoring(spark, sf_dir):
     from .lm_score import score_documents
-    return score_documents(pick(documents(spark, sf_dir), "doc_id", "text")).select("doc_id", "n_tokens", "pll", "mean_pll")
+    return score_documents(pick(documents(spark, sf_dir), "doc_id", "text"), columns=["doc_id"]).select("doc_id", "n_tokens", "pll", "mean_pll")
 
 
 register(op3_lm_scoring)

@@ -106,3 +106,16 @@ def test_words_of_a_bucket_are_told_apart(make):
     _, sums = L.document_scores(["f1 genuine f2", f"f1 {odd} f2 genuine {odd}"], vocab, net)
     assert out[30] == pytest.approx(sums[0] + spelt, abs=1e-5) and out[30] < out[20]
     assert out[31] == pytest.approx(sums[1] + 2 * spelt + known[b"genuine"], abs=1e-5)
+
+
+def test_words_beyond_those_that_tasks_hold_score_alike(make, monkeypatch):
+    rows = [(i, " ".join(f"w{j % 40}" for j in range(i, 60 + i)) + f" once{i} " + " ".join(f"u{i}x{j} v{i // 3}x{j}" for j in range(60))) for i in range(30)]
+    df = make(rows)
+    vocab, net = L.train(df, "text", "doc_id")
+    assert len(vocab.near) > 0 and vocab.far.count() == 0
+    monkeypatch.setattr(L, "NEAR", len(vocab.near) - 1)
+    fewer, _ = L.train(df, "text", "doc_id", rounds=0)
+    assert len(fewer.near) < len(vocab.near) and fewer.far.count() == vocab.rare.count() - len(fewer.near)
+    new = make([*rows, (99, "never seen w1 once3 u29x59 v9x7 u29x59")])
+    a, b = ({r.doc_id: r.pll for r in L.score(new, v, net).collect()} for v in (vocab, fewer))
+    assert a == pytest.approx(b, abs=1e-9)
