@@ -16,8 +16,10 @@ documents.  Among the certified ones the cutoff that best parts bad from good
 (share of bad less share of good rejected) is taken, the most lenient on ties;
 where none parts them, or too few labels certify any, the rule is off.
 
-Strata: the ``MAX_STRATA`` languages with the most labels, each its own; all
-others (and null) share one.  That bounds the cutoff table, which is broadcast.
+Strata: every language with labels is its own; null and languages without any
+share one.  (``max_strata`` makes the smaller ones share it too.)  A rule needs
+hundreds of good labels to be certified, so the cutoff table holds a small part
+of the number of labels; Spark broadcasts it where its size allows.
 
 Defined results: null or empty text: all counts 0, base_failed.  Labels with a
 null quality or doc_id are left out; of several labels of a document the lowest
@@ -34,7 +36,6 @@ from .common import BLANKS, stored
 ALPHA = 0.05
 DELTA = 0.05
 MIN_WORDS = 50
-MAX_STRATA = 256
 SYMBOLS = "#*$%&|<>"
 SHARES = [5, 10, 20, 40, 60, 80, 100, 150, 200, 250, 300, 400, 500, 600, 700, 800, 900]
 LENGTHS = [4000, 5000, 6000, 7000, 8000, 9000, 10000, 12000, 15000, 20000, 30000]
@@ -141,10 +142,9 @@ def binomial_cdf(k: Column, n: Column, a: float) -> Column:
     return F.when((n > 0) & (k_ <= a * n_), F.least(one, F.exp(top) * ratio)).otherwise(one)
 
 
-def certified_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA,
-                      max_strata: int = MAX_STRATA) -> DataFrame:
+def certified_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """``labelled(stratum, good, <signals>)`` -> ``(stratum, signal, cutoff)``,
-    a row for each rule that is on; at most (max_strata + 1) * rules rows."""
+    a row for each rule that is on."""
     a = alpha / len(SIGNALS)
     per_signal = F.array(*[
         F.struct(F.lit(s).alias("signal"),
@@ -172,7 +172,7 @@ def certified_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float =
 
 
 def score_quality(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang",
-                  alpha: float = ALPHA, delta: float = DELTA, max_strata: int = MAX_STRATA) -> DataFrame:
+                  alpha: float = ALPHA, delta: float = DELTA, max_strata: int | None = None) -> DataFrame:
     """doc_id, the base counts, the signals, ``base_failed``, ``rejected_by``
     (names of the certified rules that reject) and ``kept``."""
     counted = base_counts(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"),
@@ -181,13 +181,14 @@ def score_quality(df: DataFrame, labels: DataFrame, text: str = "text", doc_id:
     one_label = (labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
                  .groupBy("doc_id").agg(F.min(F.when(F.col("quality") > 0, 1).otherwise(0)).alias("good")))
     labelled = counted.where(~F.col("base_failed")).join(one_label, "doc_id")
-    own = (labelled.where("stratum IS NOT NULL").groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
-           .orderBy(F.desc("n"), "stratum").limit(max_strata).select("stratum", F.col("stratum").alias("own")))
-    own = F.broadcast(stored(own))
+    own = labelled.where("stratum IS NOT NULL").groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+    if max_strata is not None:
+        own = own.orderBy(F.desc("n"), "stratum").limit(max_strata)
+    own = stored(own.select("stratum", F.col("stratum").alias("own")))
     labelled = labelled.join(own, "stratum", "left").withColumn("stratum", F.coalesce("own", F.lit("other")))
-    cutoffs = (certified_cutoffs(labelled, alpha, delta, max_strata).groupBy("stratum")
+    cutoffs = (certified_cutoffs(labelled, alpha, delta).groupBy("stratum")
                .agg(F.map_from_entries(F.collect_list(F.struct("signal", "cutoff"))).alias("cuts")))
-    cutoffs = F.broadcast(stored(cutoffs))
+    cutoffs = stored(cutoffs)
     judged = (counted.join(own, "stratum", "left").drop("stratum").withColumn("stratum", F.coalesce("own", F.lit("other")))
               .join(cutoffs, "stratum", "left"))
     rejected = F.array_compact(F.array(*[
