@@ -68,9 +68,13 @@ def merged(states: DataFrame, keys: list[str], spec: Spec, k: int = SKETCH_K) ->
     return states.groupBy(*keys).agg(*aggs)
 
 
-def spread(name: str) -> Column:
-    """Sample standard deviation of a ``moments`` measure, NULL below two values."""
-    return F.when(F.col(f"{name}_n") > 1, F.sqrt(F.col(f"{name}_m2") / (F.col(f"{name}_n") - 1)))
+def spread(name: str, least: str | None = None, most: str | None = None) -> Column:
+    """Sample standard deviation of a ``moments`` measure, NULL below two values;
+    0 where ``least`` and ``most`` are equal (merged means may differ in a bit)."""
+    out = F.sqrt(F.col(f"{name}_m2") / (F.col(f"{name}_n") - 1))
+    if least and most:
+        out = F.when(F.col(least) == F.col(most), F.lit(0.0)).otherwise(out)
+    return F.when(F.col(f"{name}_n") > 1, out)
 
 
 def approximate_median(sketch: str) -> Column:
@@ -97,7 +101,7 @@ def stream_spec(sad_threshold: float = D.SAD_THRESHOLD, inclusive: bool = False)
 def stream_metrics(states: DataFrame, keys: list[str]) -> DataFrame:
     """G1's columns from states; the median is approximate."""
     named = states.select(*keys, *[c for c in D.STREAM_MEASURES if c in states.columns], F.col("valence_mean").alias("avg_valence"),
-                          spread("valence").alias("std_valence"), approximate_median("valence_sketch").alias("median_valence"))
+                          spread("valence", "min_valence", "max_valence").alias("std_valence"), approximate_median("valence_sketch").alias("median_valence"))
     return D.form_ratios(named, D.STREAM_RATIOS, ("valence_streams",))
 
 
@@ -129,7 +133,7 @@ def summary_spec(features: list[str], sad_threshold: float = D.SAD_THRESHOLD) ->
 def summary(states: DataFrame, features: list[str]) -> DataFrame:
     """``daily.daily_summary`` from day states; the median is approximate."""
     day = states.withColumns({
-        "avg_valence": F.col("valence_mean"), "std_valence": spread("valence"), "median_valence": approximate_median("valence_sketch")} | {
+        "avg_valence": F.col("valence_mean"), "std_valence": spread("valence", "min_valence", "max_valence"), "median_valence": approximate_median("valence_sketch")} | {
         f"avg_{f}": F.try_divide(F.col(f"_{f}_total"), F.nullif(F.col(f"_{f}_rows"), F.lit(0))) for f in features})
     return D.summary_columns(D.with_weight_choice(day).where(F.col("date").isNotNull()), features)
 
