@@ -78,3 +78,32 @@ def test_empty_charts_and_empty_lookups(spark):
     row, = M.cascade_match(charts, M.feature_lookups(feats, ["ordinal"])).collect()
     assert row.merge_method is None and row.track_genre == "unknown"
     assert M.cascade_match(charts.limit(0), M.feature_lookups(feats, ["ordinal"])).collect() == []
+
+
+def test_each_song_and_date_is_cleaned_once(spark):
+    rows = [(i, ("13/01/2020", "2020-01-14", "01/15/2020", None, "")[i % 5], float(1 + i % 7), "home", "Top 200", (None, f"spotify:track:{TID}")[i % 2],
+             ("Song (Live)", "SONG", None)[i % 3], ("A & B", None)[i % 2], float(i)) for i in range(210)]
+    charts = spark.createDataFrame(rows, CHARTS)
+    songs = M.song_keys(charts)
+    assert songs.count() == 6
+    assert {(r.title, r.artist, r.title_clean, r.artist_clean, r.artist_first_clean) for r in songs.collect()} == {
+        (t, a, "song" if t else "", "a and b" if a else "", "a" if a else "") for t in ("Song (Live)", "SONG", None) for a in ("A & B", None)}
+    assert M.with_song_keys(charts).count() == 210
+    out = M.chart_filter(charts, "home", ["ordinal"])
+    found = {}
+    for o, d, r, _, _, u, t, a, s in rows:
+        # the vote is even, so dates are read day first: 01/15/2020 is none
+        key = ({"13/01/2020": "2020-01-13", "2020-01-14": "2020-01-14"}.get(d), r, "song" if t else "", "a and b" if a else "")
+        if key[0]:
+            found.setdefault(key, (t, a, "a" if a else "", TID if u else None, s))
+    assert {(r.date, r["rank"], r.title_clean, r.artist_clean): (r.title, r.artist, r.artist_first_clean, r.track_id, r.streams) for r in out.collect()} == found
+    assert out.count() == len(found)
+
+
+def test_cascade_reads_no_chart_text_again(spark):
+    charts = M.chart_filter(spark.createDataFrame([(1, "2020-01-01", 1.0, "home", "Top 200", None, "Hello", "Adele, Guest", 5.0),
+                                                   (2, "2020-01-02", 1.0, "home", "Top 200", None, None, None, 5.0)], CHARTS), "home", ["ordinal"])
+    out = M.cascade_match(charts, M.feature_lookups(spark.createDataFrame([(1, None, "Hello", "Adele", " Pop ", 0.1, 0.1)], FEATS), ["ordinal"]))
+    assert {(r.title, r.artist_first, r.track_genre) for r in out.collect()} == {("Hello", "adele guest", "unknown"), (None, "", "unknown")}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("featuring") == 0
