@@ -213,7 +213,11 @@ def popularity_enrich(final: DataFrame, popularity: DataFrame, uri_col: str, fin
                if f.name not in (uri_col, country_col) and f.dataType.typeName() in ("double", "float", "long", "integer")]
     # the right side is reduced to exactly the join keys: spellings of one
     # track's URI share a tail, so no row of ``final`` is ever multiplied
-    keyed = popularity.where(F.col(uri_col).isNotNull()).withColumn("_track_id", uri_tail(uri_col))
+    # a spelling is read once, whatever the number of its rows
+    given = [c for c in (uri_col, country_col if both_country else None) if c]
+    keyed = popularity.where(F.col(uri_col).isNotNull()).groupBy(*given).agg(*[f(F.col(c).cast("double")).alias(f"_{t}_{c}")
+                                                                              for c in numeric for t, f in (("sum", F.sum), ("n", F.count))])
+    keyed = keyed.withColumn("_track_id", uri_tail(uri_col))
     left = final.withColumn("_track_id", uri_tail(final_uri_col))
     keys = ["_track_id"]
     if both_country:
@@ -221,5 +225,5 @@ def popularity_enrich(final: DataFrame, popularity: DataFrame, uri_col: str, fin
         left = left.withColumn("_country_key", norm_text_key(final_country_col))
         keys.append("_country_key")
     clash = set(final.columns)
-    means = keyed.groupBy(*keys).agg(*[F.avg(c).alias(f"{c}_pop" if c in clash else c) for c in numeric])
+    means = keyed.groupBy(*keys).agg(*[F.try_divide(F.sum(f"_sum_{c}"), F.sum(f"_n_{c}")).alias(f"{c}_pop" if c in clash else c) for c in numeric])
     return left.join(means, keys, "left").drop(*keys)

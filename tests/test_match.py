@@ -107,3 +107,15 @@ def test_cascade_reads_no_chart_text_again(spark):
     assert {(r.title, r.artist_first, r.track_genre) for r in out.collect()} == {("Hello", "adele guest", "unknown"), (None, "", "unknown")}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("featuring") == 0
+
+
+def test_popularity_reads_a_spelling_once(spark):
+    pop = spark.createDataFrame([(u, c, p, n) for u, c in (("spotify:track:x", " Home"), ("https://h/track/x/", "home"), ("spotify:track:y", None), (None, "home"))
+                                 for p, n in ((1.0, 2), (4.0, 4), (None, None))], "url string, country string, price double, plays long")
+    final = spark.createDataFrame([("x", "HOME", 1.0), ("y", "home", 2.0), ("z", "home", 3.0)], "id string, market string, price double")
+    out = M.popularity_enrich(final, pop, "url", "id", "country", "market")
+    assert {r.id: (r.price, r.price_pop, r.plays) for r in out.collect()} == {"x": (1.0, 2.5, 3.0), "y": (2.0, None, None), "z": (3.0, None, None)}
+    assert dict(out.dtypes)["plays"] == "double"
+    assert {r.id: r.plays for r in M.popularity_enrich(final, pop, "url", "id").collect()} == {"x": 3.0, "y": 3.0, "z": None}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [url#") == 1               # by spelling, before the tails
