@@ -109,3 +109,16 @@ def test_target_correlations_equal_the_pairwise_tests(spark):
         assert r.n == want.n
         for c in ("pearson_r", "pearson_p", "spearman_rho", "spearman_p"):
             assert (r[c] is None) == (want[c] is None) and (r[c] is None or r[c] == pytest.approx(want[c], abs=1e-12)), (f, t, c)
+
+
+def test_target_correlations_sort_distinct_values_only(spark, monkeypatch):
+    from skytune.operators import stattests as S
+    df = spark.range(600).selectExpr("CAST(id % 7 AS double) AS a", "CASE WHEN id % 3 > 0 THEN CAST(id % 11 AS double) END AS b", "CAST(id % 5 AS double) AS y")
+    sizes, plain = [], S.positions
+    monkeypatch.setattr(S, "positions", lambda rows, *args, **named: sizes.append(rows.count()) or plain(rows, *args, **named))
+    got = {r.feature: r for r in S.target_correlations(df, ["a", "b"], ["y"], min_n=30, parts=3).collect()}
+    assert sizes == [5, 18]                 # values of y; of a and of b
+    for f in ("a", "b"):
+        want = S.correlation_tests(df.selectExpr("'k' AS k", f"{f} AS x", "y"), ["k"], "x", "y", min_n=30).first()
+        assert got[f].n == want.n
+        assert abs(got[f].pearson_r - want.pearson_r) < 1e-12 and abs(got[f].spearman_rho - want.spearman_rho) < 1e-12
