@@ -4,7 +4,8 @@ Numbers (year first, or last with two or four digits, any of ``- / .`` or a spac
 between them), eight digits, and English month names in either order are read;
 a weekday before and a time after the date are dropped.  Whether 03/04/2020 is
 in March or April is decided by the column: texts that fit only one order vote
-(one aggregate over all rows), a text that fits only one order is read by that.
+(a distinct text with the number of its rows), a text that fits only one order is
+read by that.  Distinct texts are read once, and joined back.
 Anything else, and days that do not exist, are NULL.
 """
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .nulls import col_of
 
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
@@ -57,11 +59,15 @@ def _date(y: Column, m: Column, d: Column) -> Column:
     return F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd")
 
 
-def order_votes(c: str | Column) -> tuple[Column, Column]:
-    """Aggregates: texts that can only be day first, and only month first."""
+def order_votes(c: str | Column, rows: str | Column | None = None) -> tuple[Column, Column]:
+    """Aggregates: texts that can only be day first, and only month first;
+    ``rows`` is how many rows a text stands for, one if not given."""
     s = date_part(c)
     a, b = _number(s, YEAR_LAST, 1), _number(s, YEAR_LAST, 2)
-    return F.count_if((a > 12) & b.between(1, 12)), F.count_if((b > 12) & a.between(1, 12))
+    day, month = (a > 12) & b.between(1, 12), (b > 12) & a.between(1, 12)
+    if rows is None:
+        return F.count_if(day), F.count_if(month)
+    return tuple(F.coalesce(F.sum(F.when(v, col_of(rows))), F.lit(0).cast("long")) for v in (day, month))
 
 
 def parse_date_text(c: str | Column, dayfirst: bool | Column = False) -> Column:
@@ -83,7 +89,11 @@ def parse_date_text(c: str | Column, dayfirst: bool | Column = False) -> Column:
 def with_dates(df: DataFrame, text: str, out: str = "date", tie_dayfirst: bool = False) -> DataFrame:
     """``df`` with the dates of a text column; the order of day and month by
     the vote of all its rows (``tie_dayfirst`` where it is even)."""
-    day, month = order_votes(F.col(f"`{text}`"))
+    c = F.col(f"`{text}`")
+    # stored: their number decides whether the join is a broadcast
+    texts = cut_lineage(df.where(c.isNotNull()).groupBy(c.alias("_text")).agg(F.count(F.lit(1)).alias("_rows")))
+    day, month = order_votes("_text", "_rows")
     wins = (day >= month) if tie_dayfirst else (day > month)
-    first = df.select(wins.alias("first")).scalar()
-    return df.withColumn(out, parse_date_text(F.col(f"`{text}`"), first))
+    first = texts.select(wins.alias("first")).scalar()
+    dates = cut_lineage(texts.select("_text", parse_date_text("_text", first).alias("_date")))
+    return df.join(dates, c == F.col("_text"), "left").withColumn(out, F.col("_date")).drop("_text", "_date")

@@ -86,3 +86,13 @@ def test_a_comparison_needs_its_groups(spark):
         W.compared(df.where("v <> 2"))
     with pytest.raises(ValueError, match="no day"):
         W.compared(df.where("v = 3"))
+
+
+def test_a_date_text_is_read_once(spark):
+    texts = ["03/04/2020", "25/04/2020", None, "no date", "2020-01-05T10:00:00"]
+    df = spark.createDataFrame([(i, texts[i % 5]) for i in range(100)], "i int, t string")
+    out = DX.with_dates(df, "t")
+    assert out.columns == ["i", "t", "date"] and out.count() == 100
+    want = {"03/04/2020": dt.date(2020, 4, 3), "25/04/2020": dt.date(2020, 4, 25), "2020-01-05T10:00:00": dt.date(2020, 1, 5)}
+    assert {(r.t, r.date) for r in out.collect()} == {(t, want.get(t)) for t in texts}
+    assert "RLIKE" not in out._jdf.queryExecution().optimizedPlan().toString()
