@@ -116,3 +116,14 @@ def test_round_sig_same_in_both_engines(spark):
     con.executemany("insert into t values (?, ?)", list(enumerate(vals)))
     exp = [r[0] for r in con.execute(f"select {round_sig_sql('x')} from t order by i").fetchall()]
     assert got == exp
+
+
+def test_round_doubles_is_round_sig_and_finds_places_once(spark):
+    from skytune.functions.nulls import round_doubles, round_sig
+    vals = [None, 0.0, float("inf"), -float("inf"), 1e-320, 1e300, -2.5e-7, 0.5, 123456789012.5, *[(-1.7) ** i / 3 for i in range(-60, 60)]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, `a b` double")
+    out = round_doubles(df)
+    assert out.schema.simpleString() == df.schema.simpleString()
+    assert out.orderBy("i").collect() == df.select("i", round_sig(df["`a b`"]).alias("a b")).orderBy("i").collect()
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LOG10") == 1
+    assert round_doubles(df.select("i")).columns == ["i"]

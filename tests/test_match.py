@@ -119,3 +119,20 @@ def test_popularity_reads_a_spelling_once(spark):
     assert {r.id: r.plays for r in M.popularity_enrich(final, pop, "url", "id").collect()} == {"x": 3.0, "y": 3.0, "z": None}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [url#") == 1               # by spelling, before the tails
+
+
+def test_entity_names_are_judged_per_day_not_per_row(spark):
+    d = dt.date(2020, 1, 1)
+    names = ["pop", "NaN", " ", None, "\t", "none", "rock "]
+    out = EN.entity_daily_shares(spark.createDataFrame([(d, names[i % 7], 1.0) for i in range(140)], "date date, g string, analysis_weight double"), "g")
+    assert {(r.g, r.entity_weight, r.entity_tracks, r.entity_share) for r in out.collect()} == {("pop", 20.0, 20, 0.5), ("rock ", 20.0, 20, 0.5)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "analysis_weight" not in plan                     # rows are gone before names are judged
+
+
+def test_strip_blanks_is_the_regex(spark):
+    from skytune.functions import text as TX
+    vals = ["", " ", "a", "\t\n a b \x0b\f\r", " x ", None, "a,", ",b", " A b , c", "no comma\n"]
+    df = spark.createDataFrame([(v,) for v in vals], "v string")
+    assert [r[0] for r in df.select(TX.strip_blanks("v")).collect()] == [r[0] for r in df.selectExpr(r"regexp_replace(v, '^\\s+|\\s+$', '')").collect()]
+    assert [r[0] for r in df.select(TX.first_artist_simple("v")).collect()] == [None if v is None else v.lower().split(",")[0].strip(" \t\n\x0b\f\r") for v in vals]
