@@ -83,6 +83,49 @@ def test_noise_depends_on_the_row_alone():
         assert [(x.tolist(), p) for x, p, _ in alone] == [(x.tolist(), p) for x, p, _ in r]
 
 
+def test_fewer_samples_are_the_first_of_more():
+    texts, keys = ["ab aba ab" * 30, "ba ba", "aba", "", None], [5, 6, 7, 8, 9]
+    many = S.segment(TINY, texts, keys, 9)
+    for k in (1, 2, 5):
+        for a, b in zip(S.segment(TINY, texts, keys, k), many):
+            assert (a is None) == (b is None) and [(x.tolist(), p) for x, p, _ in a or []] == [(x.tolist(), p) for x, p, _ in (b or [])[:k]]
+
+
+def test_what_is_left_out_of_the_queue_is_never_needed(monkeypatch):
+    texts, keys = ["ab aba ab " * n for n in range(1, 80, 6)], list(range(14))
+    short = S.segment(TINY, texts, keys, 9)
+    monkeypatch.setattr(S, "_HEAD", 2000)              # all siblings of a path at once, none cut off
+    monkeypatch.setattr(S.Search, "floor", lambda self: -math.inf)
+    for a, b in zip(short, S.segment(TINY, texts, keys, 9)):
+        assert [x.tolist() for x, _, _ in a] == [x.tolist() for x, _, _ in b]
+        assert [y for _, *y in a] == [pytest.approx(y) for _, *y in b]
+
+
+def test_words_are_numbered_by_text():
+    code, lengths, number, counts = S.distinct_words(["a  b ", None, "", " a", "▁ a\x00", "a\x00"])
+    joined = code.tobytes().decode("utf-32-le", "surrogatepass")
+    at = np.r_[0, np.cumsum(lengths)]
+    words = [joined[a:b] for a, b in zip(at[:-1], at[1:])]
+    assert [words[i] for i in number] == ["▁a", "▁▁b", "▁", "▁▁a", "▁\udc81", "▁a\x00", "▁a\x00"]
+    assert len(set(words)) == len(words) and counts.tolist() == [3, 0, 0, 1, 2, 1]
+
+
+@needs_model
+def test_the_query_leaves_other_paths_than_the_first(spark, make, tmp_path):
+    from skytune.llm.queries import op4_sentencepiece
+    rows = [(i, f"the quick brown fox number {i} jumps over the lazy dog and runs away") for i in range(40)] + [(90, None), (91, ""), (92, "\n")]
+    make(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in op4_sentencepiece(spark, str(tmp_path)).collect()}
+    assert len(out) == len(rows) and out[90].samples is None and len(out[91].samples) == 1
+    assert all(len({s.ids_hash for s in out[i].samples}) == len(out[i].samples) == 8 and out[i].exact for i in range(40))
+    other = 0
+    for r in S.sample_segmentations(make(rows[:40])).collect():
+        ids = [s.ids for s in r.samples]
+        shared = [[len(os.path.commonprefix([a, b])) for b in ids[:i]] for i, a in enumerate(ids)]
+        other += any(max(n) > n[0] for n in shared[2:])
+    assert other > 10
+
+
 @needs_model
 def test_round_trip_of_any_text():
     vocab = S.Vocabulary.load()
