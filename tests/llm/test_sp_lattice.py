@@ -126,6 +126,53 @@ def test_the_query_leaves_other_paths_than_the_first(spark, make, tmp_path):
     assert other > 10
 
 
+def test_shares_of_arcs_from_plain_sums_and_from_logarithms(monkeypatch):
+    letters, lengths, _, _ = S.distinct_words(["ab aba abba", "c" * 300, "aba\n" * 40, "b"])
+    plain = S.Lattice(TINY, letters, lengths)                  # the word of 300 c is too unlikely for a double
+    monkeypatch.setattr(S, "_PART", 1)
+    alone = S.Lattice(TINY, letters, lengths)
+    monkeypatch.setattr(S, "_SMALL", math.inf)
+    logs = S.Lattice(TINY, letters, lengths)
+    for a, b in ((plain, alone), (alone, logs)):
+        assert a.piece.tolist() == b.piece.tolist() and a.to.tolist() == b.to.tolist()
+        assert a.logp == pytest.approx(b.logp, abs=1e-9) and np.abs(a.below - b.below).max() <= 2
+    for n in range(len(plain.last)):
+        assert plain.below[plain.first[n]] == 0 and math.exp(plain.logp[plain.first[n]:plain.last[n] + 1].max()) <= 1 + 1e-9
+
+
+@needs_model
+def test_a_slice_of_text_takes_little_memory():
+    import tracemalloc
+    vocab, rng = S.Vocabulary.load(), np.random.default_rng(0)
+    letters = np.array(list("eeeeaaooiinnttssrhlducmp"))
+    words = ["".join(rng.choice(letters, n)) for n in rng.integers(2, 11, 60_000)]
+    texts, left = [], S._SLICE
+    while left > 0:
+        texts.append(" ".join(words[i] for i in rng.integers(0, len(words), 500)))
+        left -= len(texts[-1])
+    tracemalloc.start()
+    S.segment(vocab, texts, list(range(len(texts))), S.SAMPLES)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 140 << 20
+
+
+@needs_model
+def test_digests_are_compiled(spark, make, tmp_path):
+    import contextlib
+    import io
+    import re
+
+    from skytune.llm.queries import op4_sentencepiece
+    make([(1, "a b c"), (2, None)]).write.parquet(f"{tmp_path}/documents.parquet")
+    said = io.StringIO()
+    with contextlib.redirect_stdout(said):
+        op4_sentencepiece(spark, str(tmp_path)).explain("codegen")
+    codes = said.getvalue().split("== Subtree ")[1:]
+    hashed = [x for x in codes if "xxhash64" in x]
+    assert hashed and all(int(re.search(r"maxMethodCodeSize:(\d+)", x)[1]) < 8000 for x in hashed)      # more is never compiled by the JVM
+
+
 @needs_model
 def test_round_trip_of_any_text():
     vocab = S.Vocabulary.load()
