@@ -140,21 +140,15 @@ def test_shares_of_arcs_from_plain_sums_and_from_logarithms(monkeypatch):
         assert plain.below[plain.first[n]] == 0 and math.exp(plain.logp[plain.first[n]:plain.last[n] + 1].max()) <= 1 + 1e-9
 
 
-@needs_model
-def test_a_slice_of_text_takes_little_memory():
-    import tracemalloc
-    vocab, rng = S.Vocabulary.load(), np.random.default_rng(0)
-    letters = np.array(list("eeeeaaooiinnttssrhlducmp"))
-    words = ["".join(rng.choice(letters, n)) for n in rng.integers(2, 11, 60_000)]
-    texts, left = [], S._SLICE
-    while left > 0:
-        texts.append(" ".join(words[i] for i in rng.integers(0, len(words), 500)))
-        left -= len(texts[-1])
-    tracemalloc.start()
-    S.segment(vocab, texts, list(range(len(texts))), S.SAMPLES)
-    peak = tracemalloc.get_traced_memory()[1]
-    tracemalloc.stop()
-    assert peak < 140 << 20
+def test_runs_of_texts_share_a_lattice(monkeypatch):
+    texts, keys = ["ab aba ab", None, "", "ba ba " * 9, "aba", " ", "b a"] * 3, list(range(21))
+    whole = S.segment(TINY, texts, keys, 8)
+    monkeypatch.setattr(S, "_WORDS", 7)
+    parts = [(lo, hi, drawn) for lo, hi, *_, drawn in S.draws(TINY, texts, keys, 8)]
+    assert len(parts) > 3 and [lo for lo, *_ in parts[1:]] == [hi for _, hi, _ in parts[:-1]] and parts[-1][1] == 21
+    assert all(sum(len((t or "").split()) for t in texts[lo:hi]) <= 7 + 18 for lo, hi, _ in parts)       # and one text
+    for a, b in zip(whole, S.segment(TINY, texts, keys, 8), strict=True):
+        assert (a is None) == (b is None) and [(x.tolist(), p, i) for x, p, i in a or []] == [(x.tolist(), p, i) for x, p, i in b or []]
 
 
 @needs_model
