@@ -42,6 +42,32 @@ def test_stages_take_effect_and_stand_edges(spark, make, edge_rows):
         assert empty_out.count() == 0
 
 
+def test_stages_hand_long_texts_on_some_mb_at_a_time(spark, make):
+    import pyarrow as pa
+
+    from skytune.llm.common import SMALL_BATCHES
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch({"n": pa.array([b.nbytes])})
+
+    docs = make([(i, f"{i} " * 10_000) for i in range(400)], parts=1)
+    before = {k: spark.conf.get(k, None) for k in SMALL_BATCHES}
+    try:
+        for _, stage in P.STAGES:
+            for k in SMALL_BATCHES:
+                spark.conf.unset(k)
+            stage(spark, make([]), "")
+            found = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+            assert max(found) < 4 << 20 and sum(found) > 12e6
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "77")          # the session's own choice stays
+        P.source_mixing(spark, make([]), "")
+        assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "77"
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_a_query_for_each_operator():
     assert {int(n[2:].split("_")[0]) for n in Q.QUERIES if n.startswith("op")} == set(range(1, 14))
     assert set(Q.ORACLE_SQL) <= set(Q.QUERIES)

@@ -192,3 +192,17 @@ def test_edges(make, edge_rows):
     a, b = [r for r in out if r.doc_id == 7]
     assert a.samples == b.samples
     assert S.sample_segmentations(make([])).count() == 0
+
+
+def test_a_lattice_is_not_held_twice_while_it_is_built(monkeypatch):
+    import tracemalloc
+    rng = np.random.default_rng(2)
+    text = " ".join("".join(w) for w in rng.choice(list("ab"), size=(60_000, 14)))
+    letters, lengths, _, _ = S.distinct_words([text])
+    monkeypatch.setattr(S, "_PART", 1000)
+    tracemalloc.start()
+    lat = S.Lattice(TINY, letters, lengths)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    held = sum(x.nbytes for x in vars(lat).values() if isinstance(x, np.ndarray))
+    assert peak < 1.36 * held
